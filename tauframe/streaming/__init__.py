@@ -1,0 +1 @@
+"""Left empty on purpose: every workload here is a batch over finished trajectories."""
