@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
+from tauframe.functions.arrays import matrix_of
 from tauframe.functions.hashing import key_digest
-from tauframe.operators.covariance import matrix_of
 from tauframe.session import materialise
 
 POOL_ROWS = 4096     # far points looked at on the driver between two passes over the data

@@ -9,21 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tauframe.functions.arrays import matrix_of
 from tauframe.operators.blocks import sorted_blocks
 from tauframe.operators.sequences import CHUNK_ROWS, check_lags, with_halo
 
 
-def matrix_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """List column -> (rows, width) without copying per row."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    if not len(column):
-        return np.zeros((0, 0))
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
-
-
 def lagged_moments(features: DataFrame, lags: Sequence[int], column: str = "x",
                    traj: Sequence[str] = ("traj_id",), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``(lag, i, j, n, sx, sy, same, cross)`` over all pairs (x now, y = x ``lag`` later).

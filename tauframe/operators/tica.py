@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
 from tauframe.functions import dense
-from tauframe.operators.covariance import Moments, assemble, lagged_moments, matrix_of, shrink
+from tauframe.functions.arrays import matrix_of, rows_of
+from tauframe.operators.covariance import Moments, assemble, lagged_moments, shrink
 from tauframe.operators.grouped import per_model
 
 
@@ -57,9 +58,8 @@ class TicaModel:
 
         @arrow_udf("array<double>")
         def project(x: pa.Array) -> pa.Array:
-            y = (matrix_of(x) - mean) @ weights if len(x) else np.zeros((0, weights.shape[1]))
-            ends = np.arange(len(x) + 1) * weights.shape[1]
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(y.reshape(-1)))
+            return rows_of((matrix_of(x) - mean) @ weights if len(x)
+                           else np.zeros((0, weights.shape[1])))
 
         return features.withColumn(name, project(F.col(column).cast("array<double>"))).drop(column)
 

@@ -50,5 +50,5 @@ def vector_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same vectors read as packed atom coordinates ``xyz`` (3 numbers per atom)."""
     return index_frames(table(spark, sf_dir, "embeddings"), "label", ["vec_id"],
-                        [F.slice(F.col("embedding").cast("array<double>"), 1, 3 * ATOMS)
+                        ["vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 3 * ATOMS)
                          .alias("xyz")])
