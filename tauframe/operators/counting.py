@@ -134,17 +134,3 @@ def populations(sym_counts: DataFrame, keys: Sequence[str] = ("lag",)) -> DataFr
 
 def distinct_states(dtraj: DataFrame) -> DataFrame:
     return dtraj.select("state").where(F.col("state").isNotNull()).distinct()
-
-
-def densify(matrix: DataFrame, keys: Sequence[str], value: str = "p") -> DataFrame:
-    """Add the absent cells of each model's square matrices as zeros.
-
-    ``keys`` identify one model; its state list has as many entries as its matrix has rows."""
-    keys = list(keys)
-    cells = F.explode(F.array(F.col("i"), F.col("j"))).alias("s")
-    states = (matrix.select(*keys, cells).groupBy(*keys)
-              .agg(F.array_sort(F.collect_set("s")).alias("_states")))
-    grid = (states.withColumn("i", F.explode("_states")).withColumn("j", F.explode("_states"))
-            .drop("_states"))
-    return (grid.join(matrix, [*keys, "i", "j"], "left")
-            .withColumn(value, F.coalesce(F.col(value).cast("double"), F.lit(0.0))))

@@ -6,11 +6,13 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tauframe.functions.arrays import matrix_of
 from tauframe.operators.blocks import sorted_blocks
+from tauframe.operators.grouped import per_model
 from tauframe.operators.sequences import CHUNK_ROWS, check_lags, with_halo
 
 
@@ -59,19 +61,6 @@ def lagged_moments(features: DataFrame, lags: Sequence[int], column: str = "x",
                                                 ("n", "sx", "sy", "same", "cross")])
 
 
-def covariance_table(moments: DataFrame) -> DataFrame:
-    """``(lag, i, j, n, c0, ct)``: mean-free, time-symmetrised covariances."""
-    mean = (F.col("sx") + F.col("sy")) / (2 * F.col("n"))
-    other = moments.select("lag", F.col("i").alias("j"), F.col("j").alias("i"),
-                           F.col("cross").alias("_t"), mean.alias("_mj"))
-    # the transpose supplies both the mirrored cross term and the mean of column j
-    return (moments.withColumn("_mi", mean).join(other, ["lag", "i", "j"])
-            .select("lag", "i", "j", "n",
-                    (F.col("same") / (2 * F.col("n")) - F.col("_mi") * F.col("_mj")).alias("c0"),
-                    ((F.col("cross") + F.col("_t")) / (2 * F.col("n"))
-                     - F.col("_mi") * F.col("_mj")).alias("ct")))
-
-
 @dataclass
 class Moments:
     """One lag's mean, covariance and lagged covariance as arrays."""
@@ -82,7 +71,7 @@ class Moments:
     n: int
 
 
-def assemble(pdf) -> Moments:
+def assemble(pdf: pd.DataFrame) -> Moments:
     """Rows of ``lagged_moments`` of one lag -> arrays (d x d, whatever the frame count)."""
     d = int(pdf["i"].max()) + 1
     pdf = pdf.sort_values(["i", "j"])
@@ -94,6 +83,21 @@ def assemble(pdf) -> Moments:
     return Moments(mean, grid("same") / (2 * n) - outer, (cross + cross.T) / (2 * n) - outer, n)
 
 
+def covariance_table(moments: DataFrame) -> DataFrame:
+    """``(lag, i, j, n, c0, ct)``: mean-free, time-symmetrised covariances. One small group per
+    lag; a self-join for the transpose would run the pass over the frames twice."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = assemble(pdf)
+        i, j = np.indices(m.cov.shape)
+        return pd.DataFrame({"i": i.reshape(-1), "j": j.reshape(-1), "n": m.n,
+                             "c0": m.cov.reshape(-1), "ct": m.lagged.reshape(-1)})
+
+    return per_model(moments, ["lag"], run, [
+        ("i", T.IntegerType()), ("j", T.IntegerType()), ("n", T.LongType()),
+        ("c0", T.DoubleType()), ("ct", T.DoubleType())])
+
+
 def shrink(cov: np.ndarray, n: int) -> np.ndarray:
     """Rao-Blackwellised Ledoit-Wolf shrinkage towards a multiple of the identity
     (Chen, Wiesel, Eldar, Hero, IEEE Trans. Signal Process. 58, 5016, 2010)."""

@@ -20,6 +20,7 @@ from tauframe.functions.hashing import digest_bucket
 HOT_ROWS = 4_000_000     # longest run of rows ranked inside one task
 MAX_HOT = 50_000         # bound on the broadcast list of long trajectories
 CHUNK_ROWS = 1 << 16     # frames in one chunk of a trajectory
+RANK_ROWS = 1_000_000    # rows of one group ranked by one task
 
 
 def _ordinal(df: DataFrame, name: str) -> Column | None:
@@ -68,45 +69,52 @@ def index_frames(df: DataFrame, traj: str, order_by: Sequence[str], payload: Seq
                  hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """``(traj_id, frame, *payload)``: position of every row inside its trajectory.
 
-    Trajectories longer than ``hot_rows`` are cut into cells of their first order column, so
-    one that holds a third of the table is ranked by many tasks. The list of long trajectories
-    is broadcast; raising the threshold with the table size keeps it below ``MAX_HOT`` rows.
-    Rows without a trajectory or an order key are left out.
+    A row count (no column data is read for it) decides the plan. Up to ``hot_rows`` rows, no
+    trajectory can be too long for one task. Beyond, trajectories longer than ``hot_rows`` are
+    cut into cells of their first order column, so one that holds a third of the table is
+    ranked by many tasks. The list of long trajectories is broadcast: raising the threshold
+    with the table size keeps it below ``MAX_HOT`` rows. ``hot_rows=None`` skips the count and
+    the splitting. Rows without a trajectory or an order key are left out.
     """
     order_by = list(order_by)
-    rows = df
-    for name in (traj, *order_by):
-        rows = rows.where(F.col(name).isNotNull())
+    rows = df.dropna(subset=[traj, *order_by])
     first = _ordinal(df, order_by[0])
-    if hot_rows is None or first is None:
+    total = None if hot_rows is None or first is None else df.count()
+    if total is None or total <= hot_rows:
         by = Window.partitionBy(traj).orderBy(*order_by)
         frame = (F.row_number().over(by) - 1).cast("bigint")
         return rows.select(F.col(traj).alias("traj_id"), frame.alias("frame"), *payload)
 
+    # fewer than MAX_HOT trajectories can each hold more than 1/MAX_HOT of all rows
+    floor = max(hot_rows, total // MAX_HOT)
     rows = rows.withColumn("_ord", first)
-    sizes = rows.groupBy(traj).agg(F.count(F.lit(1)).alias("_rows"),
-                                   F.min("_ord").alias("_lo"), F.max("_ord").alias("_hi"))
-    # at most MAX_HOT trajectories can each hold more than 1/MAX_HOT of all rows
-    floor = sizes.agg((F.sum("_rows") / MAX_HOT).alias("floor")).scalar()
-    hot = (sizes.where((F.col("_rows") > hot_rows) & (F.col("_rows") > floor))
-           .select(traj, "_lo", "_hi", (F.ceil(F.col("_rows") / hot_rows) * 4).alias("_cells")))
+    hot = (rows.groupBy(traj).agg(F.count(F.lit(1)).alias("_rows"),
+                                  F.min("_ord").alias("_lo"), F.max("_ord").alias("_hi"))
+           .where(F.col("_rows") > floor)
+           .select(traj, "_lo", "_hi", (F.ceil(F.col("_rows") / floor) * 4).alias("_cells")))
     scale = (F.col("_ord") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * F.col("_cells")
     placed = (rows.join(F.broadcast(hot), traj, "left")
               .withColumn("_hot", F.col("_cells").isNotNull())
               .withColumn("_cell", F.coalesce(F.floor(scale), F.lit(0)))
               .drop("_lo", "_hi", "_cells"))
+    # at most 4 * (MAX_HOT + total / floor) <= 8 * MAX_HOT cells
     out = ranked(placed, [traj], "_cell", order_by, "frame", split=F.col("_hot"),
                  broadcast_offsets=True)
     return out.select(F.col(traj).alias("traj_id"), "frame", *payload)
 
 
 def hash_rank(df: DataFrame, group: Sequence[str], digest: Column, ties: Sequence[str],
-              name: str) -> DataFrame:
-    """0-based rank in the order of a digest. Digests are uniform, so their leading bits
-    split every group evenly."""
-    with_digest = (df.withColumn("_digest", digest)
-                   .withColumn("_bucket", digest_bucket(F.col("_digest"))))
-    return ranked(with_digest, group, "_bucket", ["_digest", *ties], name).drop("_digest", "_bucket")
+              name: str, group_rows: int | None = None) -> DataFrame:
+    """0-based rank in the order of a digest. Digests are uniform, so their leading bits split
+    every group evenly; groups known to have at most ``RANK_ROWS`` rows are ranked whole."""
+    with_digest = df.withColumn("_digest", digest)
+    if group_rows is not None and group_rows <= RANK_ROWS:
+        by = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy(
+            "_digest", *ties)
+        rank = (F.row_number().over(by) - 1).cast("bigint")
+        return with_digest.withColumn(name, rank).drop("_digest")
+    bucketed = with_digest.withColumn("_bucket", digest_bucket(F.col("_digest")))
+    return ranked(bucketed, group, "_bucket", ["_digest", *ties], name).drop("_digest", "_bucket")
 
 
 def with_halo(frames: DataFrame, span: int, traj: Sequence[str] = ("traj_id",),

@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tauframe.operators.counting import count_transitions, densify, transition_matrix
+from tauframe.functions import dense
+from tauframe.operators.counting import count_transitions, transition_matrix
+from tauframe.operators.grouped import per_model
 
 
 def matrix_series(dtraj: DataFrame, n_lags: int, stride: int = 1, reversible: str | None = None,
@@ -21,8 +24,20 @@ def matrix_series(dtraj: DataFrame, n_lags: int, stride: int = 1, reversible: st
     counts = count_transitions(dtraj, lags, keys=keys)
     tpm = transition_matrix(counts, [*keys, "lag"], reversible)
     step = (F.col("lag") / stride - 1).cast("int")
-    tpm = tpm.select(*keys, step.alias("k"), "i", "j", "p")
-    return densify(tpm, [*keys, "k"])
+    return fill_cells(tpm.select(*keys, step.alias("k"), "i", "j", "p"), keys)
+
+
+def fill_cells(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Add absent cells as zeros, over the states that any step of the model has.
+
+    Done per model in one pass: a join against a grid of states would need the counts twice."""
+    state = series.schema["i"].dataType
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return dense.long_form(dense.tensor(pdf, "p")[0], dense.state_list(pdf), "p")
+
+    return per_model(series, keys, run, [("k", T.IntegerType()), ("i", state), ("j", state),
+                                         ("p", T.DoubleType())])
 
 
 def lag_time(k: str | Column, dt: float) -> Column:
@@ -40,23 +55,24 @@ def derivative(series: DataFrame, dt: float, keys: Sequence[str] = ()) -> DataFr
 def normalisation(series: DataFrame, keys: Sequence[str] = (), tol: float = 1e-3) -> DataFrame:
     """``(keys.., row_ok, col_ok)``: does every row, or every column, of every step sum to 1?"""
     keys = list(keys)
-    def ok(axis):
-        sums = series.groupBy(*keys, "k", axis).agg(F.sum("p").alias("_s"))
-        return sums.groupBy(*keys).agg(F.bool_and(F.abs(F.col("_s") - 1) < tol)
-                                       .alias("row_ok" if axis == "i" else "col_ok"))
-    rows, cols = ok("i"), ok("j")
-    return rows.join(cols, keys) if keys else rows.crossJoin(cols)   # one row each
+    ends = F.explode(F.array(F.struct(F.lit("row").alias("axis"), F.col("i").alias("state")),
+                             F.struct(F.lit("col").alias("axis"), F.col("j").alias("state"))))
+    sums = (series.select(*keys, "k", "p", ends.alias("_e")).groupBy(*keys, "k", "_e")
+            .agg((F.abs(F.sum("p") - 1) < tol).alias("_ok")))
+    on = lambda axis: F.bool_and(F.when(F.col("_e.axis") == axis, F.col("_ok")))
+    return sums.groupBy(*keys).agg(on("row").alias("row_ok"), on("col").alias("col_ok"))
 
 
 def orient(series: DataFrame, keys: Sequence[str] = (), tol: float = 1e-3) -> DataFrame:
     """Row-normalised form of a row- or column-normalised series; anything else is an error."""
     keys = list(keys)
-    flags = normalisation(series, keys, tol)
-    joined = (series.join(flags, keys) if keys else series.crossJoin(F.broadcast(flags)))
+    model = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    off = lambda axis: F.abs(F.sum("p").over(Window.partitionBy(*keys, "k", axis)) - 1)
     fail = F.raise_error("transition matrices are neither row nor column normalised")
-    swap = F.when(F.col("row_ok"), F.lit(False)).when(F.col("col_ok"), F.lit(True)).otherwise(
-        fail.cast("boolean"))
-    return (joined.withColumn("_swap", swap)
+    swap = (F.when(F.max("_off_i").over(model) < tol, F.lit(False))
+            .when(F.max("_off_j").over(model) < tol, F.lit(True)).otherwise(fail.cast("boolean")))
+    return (series.withColumn("_off_i", off("i")).withColumn("_off_j", off("j"))
+            .withColumn("_swap", swap)
             .select(*keys, "k", F.when(F.col("_swap"), F.col("j")).otherwise(F.col("i")).alias("i"),
                     F.when(F.col("_swap"), F.col("i")).otherwise(F.col("j")).alias("j"), "p"))
 

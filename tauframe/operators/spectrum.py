@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tauframe.functions import dense
 from tauframe.functions.hashing import digest_int, key_digest
-from tauframe.operators.counting import count_transitions, symmetrise
+from tauframe.operators.counting import count_transitions
 from tauframe.operators.grouped import field_type, per_model
 from tauframe.operators.sequences import hash_rank
 
@@ -68,17 +68,17 @@ def mean_first_passage(tpm: DataFrame, lag_time: float, keys: Sequence[str] = ()
 def number_trajectories(dtraj: DataFrame, seed: int = 0) -> DataFrame:
     """``(traj_id, idx)``: trajectories numbered 0..N-1 in hash order."""
     ids = dtraj.select("traj_id").distinct()
-    return hash_rank(ids, [], key_digest(seed, "traj_id"), ["traj_id"], "idx")
+    return hash_rank(ids, [], key_digest(seed, "traj_id"), ["traj_id"], "idx", ids.count())
 
 
 def bootstrap_draws(numbered: DataFrame, n_boot: int, seed: int = 0) -> DataFrame:
     """``(boot_id, traj_id, weight)``: each resample draws as many trajectories, with
     replacement, as there are; ``weight`` is how often one was drawn."""
-    total = numbered.agg(F.count(F.lit(1)).alias("total")).scalar()
+    total = numbered.select("traj_id").count()
     slots = numbered.select(F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot_id"),
                             F.col("idx").alias("slot"))
-    picks = slots.select("boot_id", F.pmod(digest_int(key_digest(seed, "boot_id", "slot")), total)
-                         .alias("idx"))
+    picks = slots.select("boot_id", F.pmod(digest_int(key_digest(seed, "boot_id", "slot")),
+                                           F.lit(max(total, 1))).alias("idx"))
     return (picks.groupBy("boot_id", "idx").agg(F.count(F.lit(1)).alias("weight"))
             .join(numbered, "idx").select("boot_id", "traj_id", "weight"))
 
@@ -111,29 +111,29 @@ def timescale_summary(its: DataFrame) -> DataFrame:
 def assign_folds(trajectories: DataFrame, repeats: int, folds: int, seed: int = 0) -> DataFrame:
     """``(repeat, traj_id, fold)``: for each repeat an independent shuffle cut into ``folds``
     parts whose sizes differ by at most one."""
-    cells = (trajectories.select("traj_id").distinct()
-             .withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))))
-    ranked = hash_rank(cells, ["repeat"], key_digest(seed, "repeat", "traj_id"), ["traj_id"], "_r")
-    total = trajectories.select("traj_id").distinct().agg(F.count(F.lit(1)).alias("t")).scalar()
-    base = F.floor(total / folds)
-    extra = total % folds
-    head = extra * (base + 1)
+    ids = trajectories.select("traj_id").distinct()
+    total = ids.count()
+    cells = ids.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    ranked = hash_rank(cells, ["repeat"], key_digest(seed, "repeat", "traj_id"), ["traj_id"], "_r",
+                       total)
+    base, extra = divmod(total, folds)
+    head = extra * (base + 1)        # rows of the ``extra`` folds that hold one more
     fold = F.when(F.col("_r") < head, F.floor(F.col("_r") / (base + 1))).otherwise(
-        extra + F.floor((F.col("_r") - head) / F.greatest(base, F.lit(1))))
+        extra + F.floor((F.col("_r") - head) / max(base, 1)))
     return ranked.select("repeat", "traj_id", fold.cast("int").alias("fold"))
 
 
-def fold_counts(dtraj: DataFrame, lag: int, folds: DataFrame) -> DataFrame:
-    """``(repeat, fold, i, j, n_test, n_train)``; train = all folds minus the test fold."""
+def fold_counts(dtraj: DataFrame, lag: int, assigned: DataFrame, folds: int) -> DataFrame:
+    """``(repeat, fold, i, j, n_test, n_train)``; a trajectory's counts go to the test side of
+    its own fold and to the train side of every other, so each frame is counted once."""
     per_traj = count_transitions(dtraj, [lag], keys=["traj_id"])
-    test = (per_traj.join(folds, "traj_id").groupBy("repeat", "fold", "i", "j")
-            .agg(F.sum("n").alias("n_test")))
-    whole = test.groupBy("repeat", "i", "j").agg(F.sum("n_test").alias("n_all"))
-    parts = folds.select("repeat", "fold").distinct()
-    return (whole.join(parts, "repeat").join(test, ["repeat", "fold", "i", "j"], "left")
-            .select("repeat", "fold", "i", "j",
-                    F.coalesce("n_test", F.lit(0)).alias("n_test"),
-                    (F.col("n_all") - F.coalesce("n_test", F.lit(0))).alias("n_train")))
+    own = (per_traj.join(assigned.withColumnRenamed("fold", "_own"), "traj_id")
+           .groupBy("repeat", "_own", "i", "j").agg(F.sum("n").alias("_n")))
+    sides = own.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    tested = F.col("fold") == F.col("_own")
+    return sides.groupBy("repeat", "fold", "i", "j").agg(
+        F.sum(F.when(tested, F.col("_n")).otherwise(0)).alias("n_test"),
+        F.sum(F.when(tested, 0).otherwise(F.col("_n"))).alias("n_train"))
 
 
 def rayleigh_scores(split_counts: DataFrame, n_timescales: int = 3,
@@ -169,7 +169,7 @@ def cross_validate(dtraj: DataFrame, lag: int, repeats: int = 10, folds: int = 6
                    n_timescales: int = 3, seed: int = 0) -> DataFrame:
     """``(repeat, fold, train_score, test_score)``."""
     assigned = assign_folds(dtraj, repeats, folds, seed)
-    return rayleigh_scores(fold_counts(dtraj, lag, assigned), n_timescales)
+    return rayleigh_scores(fold_counts(dtraj, lag, assigned, folds), n_timescales)
 
 
 def score_summary(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

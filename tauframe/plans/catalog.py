@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tauframe.operators import (clustering, counting, covariance, features, lumping, memory,
                                 reversible, sampling, sequences, series, spectrum, tica)
 from tauframe.plans import bindings as bind
-from tauframe.session import scratch_path
+from tauframe.session import materialise, scratch_path
 from tauframe.sources import readers, sinks
 
 PAIRS = [(i, j) for i in range(10) for j in range(i + 1, 10)]   # 10 atoms, 45 features
@@ -46,6 +46,11 @@ def _series(spark, sf_dir) -> DataFrame:
     return series.matrix_series(bind.event_states(spark, sf_dir), SERIES_LEN)
 
 
+def _saved_series(spark, sf_dir) -> DataFrame:
+    """The series written once: it is small, and several steps read it."""
+    return materialise(_series(spark, sf_dir), "series")
+
+
 def _distances(spark, sf_dir) -> DataFrame:
     return features.pair_distances(bind.vector_coordinates(spark, sf_dir), PAIRS)
 
@@ -238,18 +243,23 @@ def populations_stationary(spark, sf_dir):
     return rounded(spectrum.stationary(counting.transition_matrix(counts)), "p")
 
 
+def _strong_counts(spark, sf_dir):
+    """Microstate counts, and half the largest count as the weakest link that connects."""
+    counts = materialise(counting.count_transitions(bind.event_microstates(spark, sf_dir), [1]),
+                         "counts")
+    return counts, float(counts.agg(F.max("n") * 0.5).first()[0])
+
+
 @query
 def ergodic_trimming(spark, sf_dir):
-    counts = counting.count_transitions(bind.event_microstates(spark, sf_dir), [1])
-    strong = counts.agg(F.max("n") * 0.5).first()[0]
-    return reversible.ergodic_states(counts, cutoff=float(strong))
+    counts, cutoff = _strong_counts(spark, sf_dir)
+    return reversible.ergodic_states(counts, cutoff=cutoff)
 
 
 @query
 def trimmed_counts(spark, sf_dir):
-    counts = counting.count_transitions(bind.event_microstates(spark, sf_dir), [1])
-    strong = counts.agg(F.max("n") * 0.5).first()[0]
-    return reversible.trim_counts(counts, reversible.ergodic_states(counts, cutoff=float(strong)))
+    counts, cutoff = _strong_counts(spark, sf_dir)
+    return reversible.trim_counts(counts, reversible.ergodic_states(counts, cutoff=cutoff))
 
 
 # -- series --------------------------------------------------------------------------------
@@ -330,7 +340,7 @@ def mean_integral_kernel(spark, sf_dir):
 
 @query
 def memory_prediction(spark, sf_dir):
-    made = _series(spark, sf_dir)
+    made = _saved_series(spark, sf_dir)
     return rounded(memory.predict_memory(made, _kernel(made), DT, tau=4, end=8), "p")
 
 
@@ -347,7 +357,7 @@ def markov_prediction_compat(spark, sf_dir):
 
 @query
 def comparison_table(spark, sf_dir):
-    made = _series(spark, sf_dir)
+    made = _saved_series(spark, sf_dir)
     table = memory.comparison_table(
         made, memory.predict_memory(made, _kernel(made), DT, tau=4, end=8),
         memory.predict_markov(made, DT, tau=4, end=8), tau=4, every=1, diagonal=False)
@@ -356,13 +366,13 @@ def comparison_table(spark, sf_dir):
 
 @query
 def rmse_sweep(spark, sf_dir):
-    made = _series(spark, sf_dir)
+    made = _saved_series(spark, sf_dir)
     return rounded(memory.rmse_sweep(made, _kernel(made), DT, end=7), "memory_rmse", "markov_rmse")
 
 
 @query
 def rmse_sweep_compat(spark, sf_dir):
-    made = _series(spark, sf_dir)
+    made = _saved_series(spark, sf_dir)
     return rounded(memory.rmse_sweep(made, _kernel(made), DT, end=7, compat=True),
                    "memory_rmse", "markov_rmse")
 
@@ -376,7 +386,7 @@ def mean_first_passage(spark, sf_dir):
 @query
 def mean_first_passage_predicted(spark, sf_dir):
     """Passage times from the last predicted matrix, the end of the usual chain."""
-    made = _series(spark, sf_dir)
+    made = _saved_series(spark, sf_dir)
     last = series.last_matrix(memory.predict_memory(made, _kernel(made), DT, tau=4, end=8)
                               .withColumnRenamed("idx", "k"))
     return rounded(spectrum.mean_first_passage(last, 8.0), "mfpt")
@@ -427,7 +437,7 @@ def fold_assignment(spark, sf_dir):
 @query
 def fold_counts(spark, sf_dir):
     dtraj = bind.order_states(spark, sf_dir)
-    return spectrum.fold_counts(dtraj, 1, spectrum.assign_folds(dtraj, 3, 6))
+    return spectrum.fold_counts(dtraj, 1, spectrum.assign_folds(dtraj, 3, 6), 6)
 
 
 @query
@@ -537,11 +547,26 @@ def feature_selection(spark, sf_dir):
     return rounded(tica.select_features(moments, [4, 8, 12, 16, 20, 24, 28]), "t")
 
 
+@query
+def feature_selection_pairs(spark, sf_dir):
+    """The first two of all 64 columns, starting from column 0."""
+    moments = covariance.lagged_moments(bind.vector_features(spark, sf_dir), [1, 2])
+    return rounded(tica.select_features(moments, [1, 2], first=0), "t")
+
+
+@query
+def tica_projection_few(spark, sf_dir):
+    x = _few_columns(spark, sf_dir)
+    y = tica.fit_tica(x, 1, n_components=2).transform(x)
+    return y.select("vec_id", "traj_id", "frame", r6(F.col("y")[0]).alias("y0"),
+                    r6(F.col("y")[1]).alias("y1"))
+
+
 @query
 def timescale_curve(spark, sf_dir):
-    moments = covariance.lagged_moments(_distances(spark, sf_dir), [2, 4, 6])
-    return rounded(tica.timescale_curve(tica.select_features(moments, [4, 12, 20, 28]),
-                                        tica.tica_timescales(moments, 1), len(PAIRS), 0.1), "t")
+    moments = covariance.lagged_moments(_few_columns(spark, sf_dir), [1, 2])
+    return rounded(tica.timescale_curve(tica.select_features(moments, [1, 2], first=0),
+                                        tica.tica_timescales(moments, 1), 4, 0.1), "t")
 
 
 # -- clustering and lumping ----------------------------------------------------------------
@@ -575,10 +600,9 @@ def nearest_center(spark, sf_dir):
 @query
 def clustering_sweep(spark, sf_dir):
     """State sizes for each setting; equal settings are clustered once."""
-    x = _distances(spark, sf_dir)
-    y = tica.fit_tica(x, 2, n_components=4).transform(x)
-    grid = spark.createDataFrame([("no_components", 2, 2, 20), ("no_components", 3, 3, 20),
-                                  ("no_clusters", 20, 3, 20), ("no_clusters", 30, 3, 30)],
+    y = _points(spark, sf_dir)
+    grid = spark.createDataFrame([("no_components", 2, 2, 6), ("no_components", 3, 3, 6),
+                                  ("no_clusters", 6, 3, 6), ("no_clusters", 9, 3, 9)],
                                  "parameter string, value int, no_components int, no_clusters int")
     runs = clustering.sweep(grid, lambda no_components, no_clusters: clustering.k_centers(
         features.leading_columns(y, no_components), no_clusters))
@@ -599,7 +623,7 @@ def macrostates(spark, sf_dir):
 @query
 def macrostate_series(spark, sf_dir):
     """Microstates -> lumping -> reversible matrices of the macrostates over a lag sweep."""
-    micro = bind.event_microstates(spark, sf_dir)
+    micro = materialise(bind.event_microstates(spark, sf_dir), "microstates")
     lumped = lumping.lump_states(counting.count_transitions(micro, [1]), 4)
     macro = lumping.apply_lumping(micro, lumped)
     return rounded(series.matrix_series(macro, 10, reversible="mle"), "p")

@@ -371,6 +371,61 @@ SELECT lag, k::INTEGER AS k, {r6('mu - 1')} AS eigenvalue,
   {r6('CASE WHEN mu > 1 AND mu < 2 THEN -lag / ln(mu - 1) END')} AS t FROM eig"""
 
 
+def selection(width: int) -> list[str]:
+    """``sel``: column 0, then the column that one rank-1 update explains worst along its own
+    direction; timescales from the 1 x 1 and 2 x 2 problems in closed form."""
+    return [*moments([1, 2], width),
+            """di AS (SELECT lag, i, c0, ct FROM cv WHERE i = j)""",
+            """sc AS (SELECT cv.lag, cv.i, cv.j, cv.ct / sqrt(a.c0 * b.c0) AS g FROM cv
+    JOIN di a ON a.lag = cv.lag AND a.i = cv.i JOIN di b ON b.lag = cv.lag AND b.i = cv.j)""",
+            """f0 AS (SELECT lag, i, g AS g0 FROM sc WHERE j = 0)""",
+            """ga AS (SELECT f.lag, f.i, abs(d.g - f.g0 * f.g0 / z.g0) * abs(f.g0) AS gain FROM f0 f
+    JOIN sc d ON d.lag = f.lag AND d.i = f.i AND d.j = f.i
+    JOIN f0 z ON z.lag = f.lag AND z.i = 0 WHERE f.i <> 0)""",
+            "pi AS (SELECT lag, arg_max(i, gain) AS second FROM ga GROUP BY lag)",
+            """ab AS (SELECT pi.lag, second, a.c0 AS c00, a.ct AS t00, b.c0 AS c01, b.ct AS t01,
+    d.c0 AS c11, d.ct AS t11 FROM pi
+    JOIN cv a ON a.lag = pi.lag AND a.i = 0 AND a.j = 0
+    JOIN cv b ON b.lag = pi.lag AND b.i = 0 AND b.j = second
+    JOIN cv d ON d.lag = pi.lag AND d.i = second AND d.j = second)""",
+            # det(T - l C) = qa l^2 - qb l + qc
+            """qd AS (SELECT *, c00 * c11 - c01 * c01 AS qa,
+    t00 * c11 + t11 * c00 - 2 * t01 * c01 AS qb, t00 * t11 - t01 * t01 AS qc FROM ab)""",
+            """la AS (SELECT lag, second, t00 / c00 AS l1,
+    (qb + sqrt(qb * qb - 4 * qa * qc)) / (2 * qa) AS l2 FROM qd)""",
+            """sel AS (SELECT lag, n_cols::INTEGER AS n_cols, rank::INTEGER AS rank,
+    feature_id::INTEGER AS feature_id, CASE WHEN l > 0 AND l < 1 THEN -lag / ln(l) END AS t FROM (
+      SELECT lag, 1 AS n_cols, 0 AS rank, 0 AS feature_id, l1 AS l FROM la UNION ALL
+      SELECT lag, 2, 0, 0, l2 FROM la UNION ALL SELECT lag, 2, 1, second, l2 FROM la))"""]
+
+
+def projection_sql() -> str:
+    """Eigenvectors as columns of the projectors, scaled to unit variance, largest entry
+    positive; projections scaled by their eigenvalue."""
+    d = 4
+    column = ("list_transform(range(4), lambda x: s[x * 4 + (list_position(list_transform(range(4), "
+              "lambda c: abs(s[c * 5 + 1])), list_max(list_transform(range(4), lambda c: abs(s[c * 5 + 1]))))"
+              " - 1) + 1])")
+    parts = " UNION ALL ".join(
+        f"SELECT {k} AS k, {column} AS v, mu - 1 AS l FROM pr{k} JOIN ei{k} USING (lag)"
+        for k in range(2))
+    return with_(
+        *moments([1]),
+        "cl AS (SELECT lag, list(c0 ORDER BY i, j) AS c0, list(ct ORDER BY i, j) AS ct FROM cv GROUP BY lag)",
+        *inverse("ci", "cl", "c0", d, "lag"),
+        f"bb AS (SELECT lag, {lin(d, (1, 'a'), (1, eye(d)))} AS b FROM (SELECT lag, {mm('inv', 'ct', d)} AS a FROM cl JOIN ci USING (lag)))",
+        *top_eigenvalues("bb", "lag", d, 2),
+        f"vs AS ({parts})",
+        "vn AS (SELECT k, l, v, list_sum(list_transform(range(16), lambda x: v[x // 4 + 1] * c0[x + 1] * v[x % 4 + 1])) AS var FROM vs CROSS JOIN cl)",
+        """vf AS (SELECT k, list_transform(v, lambda e: e * l / sqrt(var) * CASE WHEN list_max(v) >= -list_min(v)
+    THEN 1 ELSE -1 END) AS w FROM vn)""",
+        "me AS (SELECT list((sx + sy) / (2 * n) ORDER BY i) AS m FROM mo WHERE j = 0)",
+        """ys AS (SELECT vec_id, traj_id, frame, k, list_sum(list_transform(range(4), lambda c:
+    (x[c + 1] - m[c + 1]) * w[c + 1])) AS y FROM ve CROSS JOIN vf CROSS JOIN me)""") + f"""
+SELECT vec_id, traj_id, frame, {r6('max(y) FILTER (WHERE k = 0)')} AS y0,
+  {r6('max(y) FILTER (WHERE k = 1)')} AS y1 FROM ys GROUP BY vec_id, traj_id, frame"""
+
+
 def timescales_sql() -> str:
     d = D5
     return with_(
@@ -383,8 +438,10 @@ SELECT lag, k::INTEGER AS k, {r6('mu - 1')} AS eigenvalue,
   {r6('CASE WHEN mu > 1 AND mu < 2 THEN -lag / ln(mu - 1) END')} AS t FROM eig"""
 
 
-def k_centers_ctes(k: int = 6) -> list[str]:
-    out = [VE, "c0 AS (SELECT traj_id, frame, x FROM ve WHERE traj_id = 0 AND frame = 0)",
+def k_centers_ctes(k: int = 6, width: int = 64, start: str = "traj_id, frame") -> list[str]:
+    """``g{k-1}``: every point with its distance to, and number of, its nearest center."""
+    cut = VE.replace("embedding::DOUBLE[]", f"embedding[1:{width}]::DOUBLE[]")
+    out = [cut, f"c0 AS (SELECT traj_id, frame, x FROM ve ORDER BY {start} LIMIT 1)",
            "g0 AS (SELECT ve.traj_id, ve.frame, ve.x, list_distance(ve.x, c0.x) AS distance, 0 AS state FROM ve CROSS JOIN c0)"]
     for s in range(1, k):
         out += [f"c{s} AS (SELECT traj_id, frame, x FROM g{s - 1} ORDER BY distance DESC, traj_id, frame LIMIT 1)",
@@ -610,11 +667,30 @@ SELECT (row_number() OVER (ORDER BY x.atom, y.atom) - 1)::INTEGER AS feature_id,
         f"SELECT lag, i, j, n, {r6('c0')} AS c0, {r6('ct')} AS ct FROM cv"
     out["tica_timescales"] = tica_sql()
 
+    out["feature_selection_pairs"] = with_(*selection(64)) + f"""
+SELECT lag, n_cols, rank, feature_id, {r6('t')} AS t FROM sel"""
+    out["timescale_curve"] = with_(
+        *selection(4),
+        "cl AS (SELECT lag, list(c0 ORDER BY i, j) AS c0, list(ct ORDER BY i, j) AS ct FROM cv GROUP BY lag)",
+        *inverse("ci", "cl", "c0", 4, "lag"),
+        f"bb AS (SELECT lag, {lin(4, (1, 'a'), (1, eye(4)))} AS b FROM (SELECT lag, {mm('inv', 'ct', 4)} AS a FROM cl JOIN ci USING (lag)))",
+        *top_eigenvalues("bb", "lag", 4, 1)) + f"""
+SELECT lag, n_cols, {r6('t * 0.1')} AS t FROM sel WHERE rank = 0 UNION ALL
+SELECT lag, 4::INTEGER, {r6('CASE WHEN mu > 1 AND mu < 2 THEN -lag / ln(mu - 1) END * 0.1')} FROM eig"""
+    out["tica_projection_few"] = projection_sql()
+
     # clustering and lumping
     out["k_centers"] = with_(*k_centers_ctes()) + \
         f"SELECT traj_id, frame, {r6('distance')} AS distance, state::INTEGER AS state FROM g5"
     out["k_centers_found"] = with_(*k_centers_ctes()) + " UNION ALL ".join(
         f"SELECT {k}::INTEGER AS state, traj_id, frame FROM c{k}" for k in range(6))
+    first = "md5(concat_ws('|', '0', traj_id, frame)), traj_id, frame"
+    runs = [("no_components", 2, 2, 6), ("no_components", 3, 3, 6), ("no_clusters", 6, 3, 6),
+            ("no_clusters", 9, 3, 9)]
+    out["clustering_sweep"] = " UNION ALL ".join(
+        f"""SELECT '{name}' AS parameter, {value}::INTEGER AS value, state::INTEGER AS state,
+  count(*)::BIGINT AS n FROM ({with_(*k_centers_ctes(k, width, first))} SELECT state FROM g{k - 1})
+  GROUP BY state""" for name, value, width, k in runs)
     out["nearest_center"] = with_(
         VE, "ce AS (SELECT traj_id AS s, x AS c FROM ve WHERE frame = 0 AND traj_id < 4)",
         """nd AS (SELECT traj_id, frame, list_distance(x, c) AS d, s, row_number() OVER (
