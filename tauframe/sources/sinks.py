@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.functions import arrow_udf
 
 
 def overwrite(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
@@ -18,24 +20,15 @@ def write_new(df: DataFrame, path: str) -> str:
     return path
 
 
+@arrow_udf(T.StringType())
+def _general(values: pa.Array) -> pa.Array:
+    return pa.array([None if v is None else "%g" % v for v in values.to_pylist()], pa.string())
+
+
 def general_number(col: Column | str) -> Column:
-    """A DOUBLE as C's ``%g`` prints it: 6 significant digits, no trailing zeros, exponent
-    form below 1e-4 and from 1e6 on."""
-    col = F.col(col) if isinstance(col, str) else col
-    fixed = F.format_string("%.5e", col)
-    exponent = F.regexp_extract(fixed, r"e([+-]\d+)$", 1).cast("int")
-    mantissa = F.regexp_replace(F.regexp_replace(fixed, r"e.*$", ""), r"\.?0+$", "")
-    scientific = F.concat(mantissa, F.lit("e"), F.regexp_extract(fixed, r"e([+-]\d+)$", 1))
-    # exponents -4..5 leave between 0 and 9 decimals
-    plain = F.lit(None).cast("string")
-    for e in range(-4, 6):
-        text = F.format_string(f"%.{5 - e}f", col)
-        if 5 - e > 0:
-            text = F.regexp_replace(text, r"\.?0+$", "")
-        plain = F.when(exponent == e, text).otherwise(plain)
-    return (F.when(col.isNull(), F.lit(None).cast("string")).when(F.isnan(col), F.lit("nan"))
-            .when(col == 0, F.lit("0")).when(exponent.between(-4, 5), plain)
-            .otherwise(scientific))
+    """A DOUBLE as C's ``%g`` prints it. The JVM's own formatter rounds the shortest decimal
+    form instead of the binary value, so ties come out differently there."""
+    return _general(F.col(col) if isinstance(col, str) else col)
 
 
 def write_tsv(df: DataFrame, path: str, general: bool = False) -> str:
