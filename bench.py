@@ -31,7 +31,9 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = build_session("bench", f"local[{cpus}]", **{
-        "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false",
+        "spark.sql.shuffle.partitions": cpus,
+        # tables of a few MB: let AQE keep partitions small enough to use every core
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64kb", "spark.ui.enabled": "false",
         "spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g"), "spark.log.level": "ERROR"})
     names = sys.argv[1:] or HEADLINE
     times = {}

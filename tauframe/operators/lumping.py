@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tauframe.functions import dense
 from tauframe.operators.grouped import field_type, per_model
+from tauframe.session import materialise
 
 
 def simplex_corners(vectors: np.ndarray) -> list[int]:
@@ -115,7 +116,11 @@ def lump_states(counts: DataFrame, n_macro: int, keys: Sequence[str] = ("lag",),
 
 def apply_lumping(dtraj: DataFrame, lumping: DataFrame) -> DataFrame:
     """``(traj_id, frame, state = macrostate)``. Frames in trimmed states are left out, which
-    splits their trajectory there. The map has one row per microstate, so AQE broadcasts it."""
-    named = lumping.select("state", "macrostate")
+    splits their trajectory there.
+
+    A state may hold a third of all frames, so frames must not be shuffled by state. The map
+    (one row per microstate) is saved first: its file size is then known to the planner, which
+    broadcasts it below the broadcast threshold."""
+    named = materialise(lumping.select("state", F.col("macrostate").alias("_macro")), "lumping")
     return (dtraj.join(named, "state")
-            .select("traj_id", "frame", F.col("macrostate").alias("state")))
+            .select("traj_id", "frame", F.col("_macro").alias("state")))

@@ -75,8 +75,9 @@ def bootstrap_draws(numbered: DataFrame, n_boot: int, seed: int = 0) -> DataFram
     """``(boot_id, traj_id, weight)``: each resample draws as many trajectories, with
     replacement, as there are; ``weight`` is how often one was drawn."""
     total = numbered.select("traj_id").count()
-    slots = numbered.select(F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot_id"),
-                            F.col("idx").alias("slot"))
+    slots = numbered.sparkSession.range(total).select(
+        F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot_id"),
+        F.col("id").alias("slot"))
     picks = slots.select("boot_id", F.pmod(digest_int(key_digest(seed, "boot_id", "slot")),
                                            F.lit(max(total, 1))).alias("idx"))
     return (picks.groupBy("boot_id", "idx").agg(F.count(F.lit(1)).alias("weight"))
@@ -87,9 +88,14 @@ def bootstrap_counts(dtraj: DataFrame, lags: Sequence[int], draws: DataFrame) ->
     """``(boot_id, lag, i, j, n)``. Counts add up over trajectories, so frames are counted
     once per lag and every resample is a weighted sum of per-trajectory counts."""
     per_traj = count_transitions(dtraj, lags, keys=["traj_id"])
-    return (per_traj.join(draws, "traj_id")
-            .groupBy("boot_id", "lag", "i", "j")
-            .agg(F.sum(F.col("n") * F.col("weight")).alias("n")))
+    # one row per trajectory on the draw side: the join copies nothing, and the resamples are
+    # unfolded inside the task that adds them up
+    picks = draws.groupBy("traj_id").agg(
+        F.collect_list(F.struct("boot_id", "weight")).alias("_picks"))
+    return (per_traj.join(picks, "traj_id")
+            .select("lag", "i", "j", "n", F.explode("_picks").alias("_pick"))
+            .groupBy(F.col("_pick.boot_id").alias("boot_id"), "lag", "i", "j")
+            .agg(F.sum(F.col("n") * F.col("_pick.weight")).alias("n")))
 
 
 def bootstrap_timescales(dtraj: DataFrame, lags: Sequence[int], n_boot: int, n: int = 4,

@@ -244,10 +244,10 @@ def populations_stationary(spark, sf_dir):
 
 
 def _strong_counts(spark, sf_dir):
-    """Microstate counts, and half the largest count as the weakest link that connects."""
+    """Microstate counts, and the count that nine tenths of the transitions do not exceed."""
     counts = materialise(counting.count_transitions(bind.event_microstates(spark, sf_dir), [1]),
                          "counts")
-    return counts, float(counts.agg(F.max("n") * 0.5).first()[0])
+    return counts, float(counts.agg(F.percentile("n", F.lit(0.9))).first()[0])
 
 
 @query
@@ -330,7 +330,8 @@ def initial_rate(spark, sf_dir):
 
 @query
 def memory_kernel(spark, sf_dir):
-    return rounded(memory.kernel_table(_kernel(_series(spark, sf_dir)), DT), "kernel")
+    made = memory.memory_kernel(_series(spark, sf_dir), DT, 5)
+    return rounded(memory.kernel_table(made, DT), "kernel")
 
 
 @query

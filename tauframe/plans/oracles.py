@@ -460,7 +460,7 @@ def distances(pairs) -> str:
 
 def ergodic() -> list[str]:
     return [MI, *counts("mi", [1]),
-            "lim AS (SELECT max(n) * 0.5 AS z FROM cnt)",
+            "lim AS (SELECT quantile_cont(n, 0.9) AS z FROM cnt)",
             "nodes AS (SELECT i AS s FROM cnt UNION SELECT j FROM cnt)",
             """rc AS (SELECT s AS a, s AS b FROM nodes
     UNION SELECT rc.a, c.j FROM rc JOIN cnt c ON c.i = rc.b WHERE c.n > (SELECT z FROM lim))""",
@@ -573,7 +573,7 @@ SELECT (SELECT bool_and(abs(s - 1) < 1e-3) FROM (SELECT sum(p) AS s FROM ser GRO
     out["initial_rate"] = with_(*pre, CELLS, *s.ctes) + \
         f"SELECT c.i, c.j, {r6('g[c.pos]')} AS rate FROM {s.last} CROSS JOIN cells c"
     out["memory_kernel"] = with_(*pre, CELLS, *s.ctes) + unpack(
-        s, {n: f"k{n}" for n in range(8)}, "n", "kernel", "(z.n + 1) * 1.0::DOUBLE AS time, ")
+        s, {n: f"k{n}" for n in range(5)}, "n", "kernel", "(z.n + 1) * 1.0::DOUBLE AS time, ")
     pre, s = kernel()
     s.add(i0="k0")
     for n in range(1, 6):
