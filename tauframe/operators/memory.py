@@ -1,6 +1,6 @@
 """Non-Markovian propagation: memory kernels, their integral, predictions and their errors.
 
-The model is the discretised generalised master equation of Cao et al., J. Chem. Phys. 153,
+The model is the discretised generalised master equation of J. Chem. Phys. 153,
 014105 (2020). A series holds L matrices of a handful of states, so one model is one small
 group; independent models, and independent memory times of a sweep, run in parallel.
 """

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tauframe.functions.hashing import digest_int, key_digest

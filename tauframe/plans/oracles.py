@@ -300,13 +300,13 @@ def boot_its() -> list[str]:
       SELECT boot_id, lag, 1, l2 FROM ev2))"""]
 
 
-FOLDS = """fo AS (SELECT repeat, traj_id, (ntile(6) OVER (PARTITION BY repeat
+def folds(source: str = "od", base: str = OD, repeats: int = 3) -> list[str]:
+    return [base,
+            f"""fo AS (SELECT repeat, traj_id, (ntile(6) OVER (PARTITION BY repeat
     ORDER BY md5(concat_ws('|', '0', repeat, traj_id)), traj_id) - 1)::INTEGER AS fold
-    FROM (SELECT DISTINCT traj_id FROM od) CROSS JOIN (SELECT unnest(range(3))::INTEGER AS repeat))"""
-
-
-def folds() -> list[str]:
-    return [OD, FOLDS, *counts("od", [1], "pt", "traj_id"),
+    FROM (SELECT DISTINCT traj_id FROM {source})
+    CROSS JOIN (SELECT unnest(range({repeats}))::INTEGER AS repeat))""",
+            *counts(source, [1], "pt", "traj_id"),
             """te AS (SELECT repeat, fold, i, j, sum(n) AS n FROM pt JOIN fo USING (traj_id)
     GROUP BY repeat, fold, i, j)""",
             """tn AS (SELECT f.repeat, p.fold, i, j, sum(n) AS n FROM te f
@@ -315,6 +315,45 @@ def folds() -> list[str]:
     coalesce(tn.n, 0)::BIGINT AS n_train FROM te FULL JOIN tn USING (repeat, fold, i, j))"""]
 
 
+def scores_micro() -> str:
+    """Three slow processes of 20 states. The right eigenvectors are columns of the projectors
+    found by repeated squaring; the score is tr(A B^-1) with A = V'FV and B = V'WV."""
+    d = 20
+    row = lambda m, x: f"list_sum(list_transform(range({d}), lambda q: {m}[({x}) * {d} + q + 1]))"
+    best = (f"list_position(list_transform(range({d}), lambda c: abs(s[c * {d + 1} + 1])), "
+            f"list_max(list_transform(range({d}), lambda c: abs(s[c * {d + 1} + 1]))))")
+    vectors = " UNION ALL ".join(
+        [f"SELECT g, 0 AS k, list_transform(range({d}), lambda x: 1.0) AS v FROM tr"]
+        + [f"SELECT g, {k + 1} AS k, list_transform(range({d}), lambda x: s[x * {d} + {best}]) AS v FROM pr{k}"
+           for k in range(3)])
+    return with_(
+        *folds("mi", MI, 10), "st AS (SELECT DISTINCT state AS s FROM mi)",
+        "cells AS (SELECT a.s AS i, b.s AS j, row_number() OVER (ORDER BY a.s, b.s) AS pos FROM st a CROSS JOIN st b)",
+        "gk AS (SELECT DISTINCT repeat, fold, repeat * 6 + fold AS g FROM fc)",
+        """ra AS (SELECT g, list(coalesce(n_train, 0)::DOUBLE ORDER BY pos) AS a,
+    list(coalesce(n_test, 0)::DOUBLE ORDER BY pos) AS b FROM gk CROSS JOIN cells c
+    LEFT JOIN fc ON fc.repeat = gk.repeat AND fc.fold = gk.fold AND fc.i = c.i AND fc.j = c.j
+    GROUP BY g)""",
+        f"sy AS (SELECT g, {lin(d, (0.5, 'a'), (0.5, 'ta'))} AS f, {lin(d, (0.5, 'b'), (0.5, 'tb'))} AS e FROM (SELECT *, {transposed('a', d)} AS ta, {transposed('b', d)} AS tb FROM ra))",
+        f"rs AS (SELECT *, list_transform(range({d}), lambda x: {row('f', 'x')}) AS w, list_sum(f) AS z FROM sy)",
+        f"tr AS (SELECT g, list_transform(range({d * d}), lambda x: f[x + 1] / w[x // {d} + 1] + CASE WHEN x // {d} = x % {d} THEN 1 ELSE 0 END - 2 * w[x % {d} + 1] / z) AS b FROM rs)",
+        *top_eigenvalues("tr", "g", d, 3),
+        f"vs AS ({vectors})",
+        # each vector scaled to unit length so that B is well conditioned
+        "vu AS (SELECT g, k, list_transform(v, lambda e: e / sqrt(list_sum(list_transform(v, lambda h: h * h)))) AS v FROM vs)",
+        f"tw AS (SELECT g, list_transform(e, lambda h: h / list_sum(e)) AS e, list_transform(range({d}), lambda x: {row('e', 'x')} / list_sum(e)) AS w FROM rs)",
+        f"""ab AS (SELECT g, x.k AS ka, y.k AS kb,
+    list_sum(list_transform(range({d * d}), lambda c: x.v[c // {d} + 1] * e[c + 1] * y.v[c % {d} + 1])) AS a,
+    list_sum(list_transform(range({d}), lambda c: x.v[c + 1] * w[c + 1] * y.v[c + 1])) AS b
+    FROM vu x JOIN vu y USING (g) JOIN tw USING (g))""",
+        "ml AS (SELECT g, list(a ORDER BY ka, kb) AS a, list(b ORDER BY ka, kb) AS b FROM ab GROUP BY g)",
+        *inverse("bi", "ml", "b", 4, "g", 90),
+        f"ts AS (SELECT g, {trace('q', 4)} AS score FROM (SELECT g, {mm('a', 'inv', 4)} AS q FROM ml JOIN bi USING (g)))",
+        "tn2 AS (SELECT g, 1 + sum(mu - 1) AS score FROM eig GROUP BY g)") + f"""
+SELECT repeat, fold, {r6('tn2.score')} AS train_score, {r6('ts.score')} AS test_score
+FROM gk JOIN ts USING (g) JOIN tn2 USING (g)"""
+
+
 def scores() -> list[str]:
     """One slow process of 3 states. The second eigenvector is a column of (T - l2)(T - 1);
     with v and the test flux F: score = 1 + (vFv - (pi v)^2) / (pi vv - (pi v)^2)."""
@@ -631,10 +670,11 @@ SELECT (SELECT bool_and(abs(s - 1) < 1e-3) FROM (SELECT sum(p) AS s FROM ser GRO
         f"SELECT boot_id, lag, k, {r6('eigenvalue')} AS eigenvalue, {r6('t')} AS t FROM its"
     out["bootstrap_summary"] = with_(*boot_its()) + f"""SELECT lag, k, {r6('avg(t)')} AS mean_t,
   {r6('stddev_pop(t)')} AS std_t, count(t)::BIGINT AS n_finite FROM its GROUP BY lag, k"""
-    out["fold_assignment"] = with_(OD, FOLDS) + "SELECT repeat, traj_id, fold FROM fo"
+    out["fold_assignment"] = with_(*folds()) + "SELECT repeat, traj_id, fold FROM fo"
     out["fold_counts"] = with_(*folds()) + "SELECT repeat, fold, i, j, n_test, n_train FROM fc"
     out["rayleigh_scores"] = with_(*scores()) + f"""SELECT repeat, fold,
   {r6('train_score')} AS train_score, {r6('test_score')} AS test_score FROM sc"""
+    out["rayleigh_scores_micro"] = scores_micro()
     q = lambda p: r6(f"quantile_cont(test_score, {p})")
     out["rayleigh_summary"] = with_(*scores()) + f"""SELECT {q(0.25)} AS test_q1,
   {q(0.5)} AS test_median, {q(0.75)} AS test_q3, {r6('min(test_score)')} AS test_min,

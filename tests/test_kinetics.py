@@ -5,8 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import matrix
-from tauframe.functions import dense
-from tauframe.operators import (clustering, counting, covariance, features, lumping, reversible,
+from tauframe.operators import (clustering, covariance, features, lumping, reversible,
                                 sampling, spectrum, tica)
 
 ATOMS = [2, 5, 6, 7, 9, 11, 15, 16, 17, 18]   # 1-based example list
