@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tauframe.functions.hashing import digest_int, key_digest
+from tauframe.session import materialise
 
 
 def sample_states(dtraj: DataFrame, n: int = 10, seed: int = 0, replace: bool = True) -> DataFrame:
@@ -33,15 +34,20 @@ def sample_states(dtraj: DataFrame, n: int = 10, seed: int = 0, replace: bool =
 
 
 def pick_frames(frames: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``frames`` named by ``wanted`` (traj_id, frame), each once. The key filter is
-    small, so Catalyst broadcasts it and the large side is not shuffled."""
-    return frames.join(wanted.select("traj_id", "frame").distinct(), ["traj_id", "frame"],
-                       "left_semi")
+    """Rows of ``frames`` named by ``wanted`` (traj_id, frame), each once."""
+    return frames.join(_saved(wanted.select("traj_id", "frame").distinct()),
+                       ["traj_id", "frame"], "left_semi")
 
 
 def sampled_structures(frames: DataFrame, samples: DataFrame) -> DataFrame:
     """Manifest rows with the coordinates of the sampled frames attached."""
-    return samples.join(pick_frames(frames, samples), ["traj_id", "frame"])
+    return frames.join(_saved(samples), ["traj_id", "frame"])
+
+
+def _saved(keys: DataFrame) -> DataFrame:
+    """A written key list has a size the planner knows before it plans: small ones are
+    broadcast and the frames are filtered where they are read, without a shuffle."""
+    return materialise(keys, "keys")
 
 
 def manifest(samples: DataFrame, prefix: str = "macro") -> DataFrame:

@@ -77,7 +77,9 @@ def index_frames(df: DataFrame, traj: str, order_by: Sequence[str], payload: Seq
     the splitting. Rows without a trajectory or an order key are left out.
     """
     order_by = list(order_by)
-    rows = df.dropna(subset=[traj, *order_by])
+    rows = df
+    for name in (traj, *order_by):
+        rows = rows.where(F.col(name).isNotNull())      # unlike dropna, this reaches the scan
     first = _ordinal(df, order_by[0])
     total = None if hot_rows is None or first is None else df.count()
     if total is None or total <= hot_rows:

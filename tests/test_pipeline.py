@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tauframe.operators import counting, features, memory, spectrum
+from tauframe.operators import counting, features, memory, sampling, spectrum
 from tauframe.plans import catalog, pipeline
 
 
@@ -76,3 +76,19 @@ def test_lumping_map_does_not_shuffle_frames_by_state(spark):
     df = catalog.macrostate_map(spark, "/root/testdata/sf0.001")
     text = plan(df)
     assert "BroadcastHashJoin" in text and "hashpartitioning(state" not in text
+
+
+def test_null_keys_are_filtered_in_the_scan(spark):
+    text = plan(catalog.transition_counts(spark, "/root/testdata/sf0.001"))
+    assert "IsNotNull(user_id)" in text and "IsNotNull(ts)" in text
+
+
+def test_sampled_structures_do_not_shuffle_coordinates(spark, tmp_path):
+    spark.range(200).selectExpr("0 as traj_id", "id as frame", "array(1.0D, 2.0D, 3.0D) as xyz"
+                                ).write.parquet(str(tmp_path / "f"))
+    frames = spark.read.parquet(str(tmp_path / "f"))
+    states = frames.selectExpr("traj_id", "frame", "frame % 3 as state")
+    got = sampling.sampled_structures(frames, sampling.sample_states(states, 2))
+    assert "Exchange hash" not in plan(got) and got.count() == 6
+    wanted = sampling.sample_states(states, 2)
+    assert sampling.pick_frames(frames, wanted).count() == wanted.select("frame").distinct().count()
