@@ -14,8 +14,8 @@ from tauframe.functions.arrays import matrix_of
 from tauframe.functions.hashing import key_digest
 from tauframe.session import materialise
 
-POOL_ROWS = 4096     # far points looked at on the driver between two passes over the data
-BINS = 4096
+POOL_ROWS = 20_000   # far points looked at on the driver between two passes over the data
+BINS = 16_384
 CUT_EVERY = 16       # passes between two cuts of the lineage
 
 
@@ -114,9 +114,11 @@ def k_centers(points: DataFrame, k: int, first: tuple | None = None, seed: int =
     centers, keys = [np.array(row[0]["y"])], [(row[0]["traj_id"], row[0]["frame"])]
     state = _nearer(points, np.array(centers), 0, True).persist(StorageLevel.MEMORY_AND_DISK)
     upper = state.agg(F.max("distance")).first()[0]
-    passes = 1
+    passes, older = 1, None
     while len(centers) < k and upper > 0:
         pool, bound = _far_points(state, upper)
+        if older is not None:
+            older.unpersist()            # ``state`` has been computed from it by now
         y = np.array([r["y"] for r in pool])
         far = np.array([r["distance"] for r in pool])
         new: list[np.ndarray] = []
@@ -137,9 +139,6 @@ def k_centers(points: DataFrame, k: int, first: tuple | None = None, seed: int =
         if passes % CUT_EVERY == 0:
             state = materialise(state, "kcenters")
         state = state.persist(StorageLevel.MEMORY_AND_DISK)
-        if len(centers) < k:
-            state.count()
-            older.unpersist()
     return Clustering(np.array(centers), keys, state.drop("y"))
 
 

@@ -8,6 +8,7 @@ group; independent models, and independent memory times of a sweep, run in paral
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,9 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from tauframe.functions import dense
 from tauframe.operators.grouped import field_type, per_model
 from tauframe.operators.sequences import every_nth
-from tauframe.operators.series import derivative
+from tauframe.operators.series import derivative, orient, unflatten
+from tauframe.session import materialise
+from tauframe.sources.readers import ingest_series
 
 
 def initial_rate(series: DataFrame, dt: float, keys: Sequence[str] = ()) -> DataFrame:
@@ -229,7 +232,58 @@ def _percent(weighted: np.ndarray, rows: int) -> float:
     return float(100 * np.sqrt((weighted ** 2).sum() / (d * d * rows)))
 
 
-def build_model(series: DataFrame, dt: float, kernel_steps: int, keys: Sequence[str] = ()) -> dict:
-    """The usual chain in one call: derivative, initial rate and kernel of a series."""
-    return {"derivative": derivative(series, dt, keys), "rate": initial_rate(series, dt, keys),
-            "kernel": memory_kernel(series, dt, kernel_steps, keys)}
+@dataclass(frozen=True)
+class MemoryModel:
+    """The usual chain on one series: each step returns a table or a new model.
+
+    The series, and the kernel once computed, are written to the shared folder: both are small
+    and every later step reads them."""
+
+    series: DataFrame
+    dt: float = 1.0
+    kernel: DataFrame | None = None
+    kernel_steps: int = 0
+
+    @classmethod
+    def from_flat(cls, flat: DataFrame, n_lags: int, dimension: int, dt: float = 1.0
+                  ) -> "MemoryModel":
+        """From rows ``(k, m)``, row- or column-normalised, checked against the given sizes."""
+        made = orient(unflatten(ingest_series(flat, n_lags, dimension)))
+        return cls(materialise(made, "series"), dt)
+
+    def derivative(self) -> DataFrame:
+        return derivative(self.series, self.dt)
+
+    def initial_rate(self) -> DataFrame:
+        return initial_rate(self.series, self.dt)
+
+    def with_kernel(self, steps: int = 10) -> "MemoryModel":
+        kernel = materialise(memory_kernel(self.series, self.dt, steps), "kernel")
+        return replace(self, kernel=kernel, kernel_steps=steps)
+
+    def _need(self, steps: int) -> DataFrame:
+        if self.kernel is None:
+            raise ValueError("compute the kernel first (with_kernel)")
+        if steps > self.kernel_steps:
+            raise ValueError(f"the kernel has {self.kernel_steps} steps, {steps} are needed")
+        return self.kernel
+
+    def kernel_table(self) -> DataFrame:
+        return kernel_table(self._need(1), self.dt)
+
+    def mean_integral_kernel(self, steps: int) -> DataFrame:
+        return mean_integral_kernel(self._need(steps), self.dt, steps)
+
+    def predict(self, tau: int = 10, end: int = 100) -> DataFrame:
+        return predict_memory(self.series, self._need(tau + 2), self.dt, tau, end)
+
+    def predict_markov(self, tau: int = 10, end: int = 100, add_identity: bool = False,
+                       compat: bool = False) -> DataFrame:
+        return predict_markov(self.series, self.dt, tau, end, add_identity, compat)
+
+    def comparison(self, tau: int, end: int, every: int = 10, diagonal: bool = True) -> DataFrame:
+        return comparison_table(self.series, self.predict(tau, end),
+                                self.predict_markov(tau, end), tau, every, diagonal)
+
+    def rmse(self, end: int = 100, pi_step: int = 10, compat: bool = False) -> DataFrame:
+        return rmse_sweep(self.series, self._need(end + 1), self.dt, end, pi_step, compat=compat)

@@ -16,14 +16,24 @@ from tauframe.operators.counting import count_transitions, transition_matrix
 from tauframe.operators.grouped import per_model
 
 
+def lag_steps(first: float, last: float, step: float, timestep: float) -> tuple[int, int, int]:
+    """``(n_lags, stride, start)`` in frames for lag times first, first + step, .. last."""
+    stride, start = round(step / timestep), round(first / timestep)
+    if stride < 1 or start < 1:
+        raise ValueError("lag times must be at least one time step apart")
+    return (round(last / timestep) - start) // stride + 1, stride, start
+
+
 def matrix_series(dtraj: DataFrame, n_lags: int, stride: int = 1, reversible: str | None = None,
-                  keys: Sequence[str] = ()) -> DataFrame:
-    """Transition matrices at lags ``stride, 2*stride, .. n_lags*stride``, zeros included."""
+                  keys: Sequence[str] = (), start: int | None = None) -> DataFrame:
+    """Transition matrices at ``n_lags`` lags ``start, start + stride, ..`` (start = stride
+    unless given), zeros included."""
     keys = list(keys)
-    lags = [stride * (k + 1) for k in range(n_lags)]
-    counts = count_transitions(dtraj, lags, keys=keys)
+    start = stride if start is None else start
+    counts = count_transitions(dtraj, [start + stride * k for k in range(n_lags)],
+                               keys=keys, traj=[*keys, "traj_id"])
     tpm = transition_matrix(counts, [*keys, "lag"], reversible)
-    step = (F.col("lag") / stride - 1).cast("int")
+    step = ((F.col("lag") - start) / stride).cast("int")
     return fill_cells(tpm.select(*keys, step.alias("k"), "i", "j", "p"), keys)
 
 

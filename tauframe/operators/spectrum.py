@@ -129,15 +129,18 @@ def assign_folds(trajectories: DataFrame, repeats: int, folds: int, seed: int =
     return ranked.select("repeat", "traj_id", fold.cast("int").alias("fold"))
 
 
-def fold_counts(dtraj: DataFrame, lag: int, assigned: DataFrame, folds: int) -> DataFrame:
-    """``(repeat, fold, i, j, n_test, n_train)``; a trajectory's counts go to the test side of
-    its own fold and to the train side of every other, so each frame is counted once."""
-    per_traj = count_transitions(dtraj, [lag], keys=["traj_id"])
+def fold_counts(dtraj: DataFrame, lag: int, assigned: DataFrame, folds: int,
+                keys: Sequence[str] = ()) -> DataFrame:
+    """``(keys.., repeat, fold, i, j, n_test, n_train)``; a trajectory's counts go to the test
+    side of its own fold and to the train side of every other, so each frame is counted once.
+    ``keys`` tell discretisations of the same trajectories apart."""
+    keys = list(keys)
+    per_traj = count_transitions(dtraj, [lag], keys=[*keys, "traj_id"], traj=[*keys, "traj_id"])
     own = (per_traj.join(assigned.withColumnRenamed("fold", "_own"), "traj_id")
-           .groupBy("repeat", "_own", "i", "j").agg(F.sum("n").alias("_n")))
+           .groupBy(*keys, "repeat", "_own", "i", "j").agg(F.sum("n").alias("_n")))
     sides = own.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
     tested = F.col("fold") == F.col("_own")
-    return sides.groupBy("repeat", "fold", "i", "j").agg(
+    return sides.groupBy(*keys, "repeat", "fold", "i", "j").agg(
         F.sum(F.when(tested, F.col("_n")).otherwise(0)).alias("n_test"),
         F.sum(F.when(tested, 0).otherwise(F.col("_n"))).alias("n_train"))
 
@@ -172,10 +175,12 @@ def rayleigh_scores(split_counts: DataFrame, n_timescales: int = 3,
 
 
 def cross_validate(dtraj: DataFrame, lag: int, repeats: int = 10, folds: int = 6,
-                   n_timescales: int = 3, seed: int = 0) -> DataFrame:
-    """``(repeat, fold, train_score, test_score)``."""
+                   n_timescales: int = 3, seed: int = 0, keys: Sequence[str] = ()) -> DataFrame:
+    """``(keys.., repeat, fold, train_score, test_score)``. With ``keys`` naming a setting, all
+    settings are scored in one job on the same splits."""
     assigned = assign_folds(dtraj, repeats, folds, seed)
-    return rayleigh_scores(fold_counts(dtraj, lag, assigned, folds), n_timescales)
+    return rayleigh_scores(fold_counts(dtraj, lag, assigned, folds, keys), n_timescales,
+                           [*keys, "repeat", "fold"])
 
 
 def score_summary(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

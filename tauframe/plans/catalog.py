@@ -378,6 +378,13 @@ def rmse_sweep_compat(spark, sf_dir):
                    "memory_rmse", "markov_rmse")
 
 
+@query
+def rmse_from_flat(spark, sf_dir):
+    """The same errors through the model object, from a flattened series."""
+    model = memory.MemoryModel.from_flat(series.flatten(_series(spark, sf_dir)), SERIES_LEN, 5, DT)
+    return rounded(model.with_kernel(KERNEL_STEPS).rmse(end=7), "memory_rmse", "markov_rmse")
+
+
 @query
 def mean_first_passage(spark, sf_dir):
     made = _series(spark, sf_dir).where(F.col("k") < 3)
@@ -455,6 +462,24 @@ def rayleigh_summary(spark, sf_dir):
                    "test_max", "train_mean", "train_std")
 
 
+@query
+def rayleigh_sweep(spark, sf_dir):
+    """Two discretisations of the same trajectories, scored on the same splits, summarised."""
+    orders = bind.table(spark, sf_dir, "orders")
+    runs = {"status": F.col("o_orderstatus"),
+            "key": F.concat(F.lit("k"), (F.col("o_orderkey") % 3).cast("string"))}
+    frames = sequences.index_frames(orders, "o_custkey", ["o_orderdate", "o_orderkey"],
+                                    ["o_orderstatus", "o_orderkey"])
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("run_id"), state.alias("state"))
+                               for name, state in runs.items()]))
+    both = (frames.select("traj_id", "frame", each.alias("_r"))
+            .select("_r.run_id", "traj_id", "frame", "_r.state"))
+    scores = spectrum.cross_validate(both, 1, 3, 6, n_timescales=1, keys=["run_id"])
+    return rounded(spectrum.score_summary(scores, ["run_id"]).select(
+        "run_id", "test_median", "train_mean", "train_std", "n_scores"),
+        "test_median", "train_mean", "train_std")
+
+
 @query
 def rayleigh_scores_micro(spark, sf_dir):
     """Three timescales on 20 states, 10 repeats of 6 folds."""

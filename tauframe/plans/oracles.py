@@ -354,7 +354,7 @@ SELECT repeat, fold, {r6('tn2.score')} AS train_score, {r6('ts.score')} AS test_
 FROM gk JOIN ts USING (g) JOIN tn2 USING (g)"""
 
 
-def scores() -> list[str]:
+def scores(base: str = OD) -> list[str]:
     """One slow process of 3 states. The second eigenvector is a column of (T - l2)(T - 1);
     with v and the test flux F: score = 1 + (vFv - (pi v)^2) / (pi vv - (pi v)^2)."""
     dot = lambda a, b: " + ".join(f"{a.format(k)} * {b.format(k)}" for k in range(3))
@@ -363,7 +363,7 @@ def scores() -> list[str]:
             "(m[(x // 3) * 3 + q + 1] - CASE WHEN x // 3 = q THEN l2 ELSE 0 END) * "
             "(m[q * 3 + x % 3 + 1] - CASE WHEN q = x % 3 THEN 1 ELSE 0 END))))")
     size = lambda c: f"(abs(w[{c + 1}]) + abs(w[{c + 4}]) + abs(w[{c + 7}]))"
-    return [*folds(), *sym3("fc", "repeat, fold", "n_train"),
+    return [*folds(base=base), *sym3("fc", "repeat, fold", "n_train"),
             *two_eigenvalues("sm", "repeat, fold"),
             f"vw AS (SELECT repeat, fold, l1, {prod} AS w FROM ev2)",
             f"""vv AS (SELECT repeat, fold, l1, CASE WHEN {size(0)} >= {size(1)} AND {size(0)} >= {size(2)}
@@ -647,6 +647,7 @@ SELECT (SELECT bool_and(abs(s - 1) < 1e-3) FROM (SELECT sum(p) AS s FROM ser GRO
   {r6('o[c.pos]')} AS observed, {r6('f[c.pos]')} AS memory, {r6('y[c.pos]')} AS markov
   FROM ({picks}) CROSS JOIN cells c"""
     out["rmse_sweep"] = rmse(False)
+    out["rmse_from_flat"] = rmse(False)
     out["rmse_sweep_compat"] = rmse(True)
     out["mean_first_passage"] = with_(
         *ser, CELLS, "tm AS (SELECT k, m AS t FROM mats WHERE k < 3)",
@@ -674,6 +675,12 @@ SELECT (SELECT bool_and(abs(s - 1) < 1e-3) FROM (SELECT sum(p) AS s FROM ser GRO
     out["fold_counts"] = with_(*folds()) + "SELECT repeat, fold, i, j, n_test, n_train FROM fc"
     out["rayleigh_scores"] = with_(*scores()) + f"""SELECT repeat, fold,
   {r6('train_score')} AS train_score, {r6('test_score')} AS test_score FROM sc"""
+    by_key = OD.replace("o_orderstatus AS state", "'k' || (o_orderkey % 3) AS state")
+    out["rayleigh_sweep"] = " UNION ALL ".join(
+        f"""SELECT '{name}' AS run_id, {r6('median(test_score)')} AS test_median,
+  {r6('avg(train_score)')} AS train_mean, {r6('stddev_pop(train_score)')} AS train_std,
+  count(*)::BIGINT AS n_scores FROM ({with_(*scores(base))} SELECT * FROM sc)"""
+        for name, base in (("status", OD), ("key", by_key)))
     out["rayleigh_scores_micro"] = scores_micro()
     q = lambda p: r6(f"quantile_cont(test_score, {p})")
     out["rayleigh_summary"] = with_(*scores()) + f"""SELECT {q(0.25)} AS test_q1,

@@ -229,3 +229,39 @@ def test_small_matrix_edits(spark):
     assert [(r.i, r.j) for r in reversible.drop_state(m, 0).collect()] == [(1, 1)]
     flipped = {(r.i, r.j): r.p for r in reversible.transpose(m).collect()}
     assert flipped[(1, 0)] == 0.4 and flipped[(0, 1)] == 0.2
+
+
+def test_model_object(spark, hidden_chain, chain):
+    flat = series.flatten(chain)
+    model = memory.MemoryModel.from_flat(flat, 60, 4, 0.1)
+    with pytest.raises(ValueError, match="kernel first"):
+        model.predict(5, 20)
+    full = model.with_kernel(20)
+    assert model.kernel is None and full.kernel_steps == 20
+    p = stack(full.predict(5, 30).collect(), "idx", "p", 4)
+    k = dense.memory_kernel(hidden_chain, 0.1, 20)
+    assert np.allclose(p, dense.propagate_memory(hidden_chain, k, 0.1, 5, 30))
+    assert full.mean_integral_kernel(10).count() == 10 and full.kernel_table().count() == 320
+    assert full.comparison(5, 30, every=10).count() == 4 * 4
+    assert full.rmse(end=12).count() == 10
+    assert full.derivative().count() == 59 * 16 and full.initial_rate().count() == 16
+    with pytest.raises(ValueError, match="needed"):
+        full.rmse(end=30)
+    # a column-normalised input gives the same model
+    turned = memory.MemoryModel.from_flat(series.flatten(reversible.transpose(chain)), 60, 4, 0.1)
+    assert np.allclose(stack(turned.series.collect(), "k", "p", 4), hidden_chain)
+
+
+def test_lag_steps():
+    assert series.lag_steps(0.1, 50, 0.1, 0.1) == (500, 1, 1)
+    assert series.lag_steps(1.0, 5.0, 0.5, 0.1) == (9, 5, 10)
+    with pytest.raises(ValueError):
+        series.lag_steps(0.1, 1, 0.01, 0.1)
+
+
+def test_series_start_and_stride(spark):
+    d = spark.createDataFrame([(0, f, (f // 3) % 2) for f in range(60)],
+                              "traj_id int, frame bigint, state int")
+    a = stack(series.matrix_series(d, 3, stride=2, start=5).collect(), "k", "p", 2)
+    one = stack(series.matrix_series(d, 9).collect(), "k", "p", 2)
+    assert np.allclose(a, one[[4, 6, 8]])
