@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tauframe.llm import chat, fingerprints, mixing, pii, quality_rules
+from tauframe.llm import chat, fingerprints, mixing, pieces, pii, quality_rules
 
-MODULES = (quality_rules, fingerprints, mixing, chat, pii)
+MODULES = (quality_rules, fingerprints, mixing, chat, pii, pieces)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
