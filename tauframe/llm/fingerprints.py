@@ -120,6 +120,8 @@ def edited_text(text: Column, beginning: Column) -> Column:
 def pair_with_next(docs: DataFrame) -> DataFrame:
     """``doc_id, text, fingerprint, beginning, next_fingerprint`` for each row of ``docs``."""
     rows = with_fingerprint(docs.select("doc_id", whole("text").alias("text")), "text")
+    # rows without an id apart, so that both uses below have the same filter and share one exchange
+    apart, rows = rows.where("doc_id is null"), rows.where("doc_id is not null")
     wanted = (docs.select("doc_id", F.floor(F.char_length(whole("text")) / 4).cast("int").alias("k"))
               .groupBy("doc_id").agg(F.max("k").alias("k"))
               .join(next_ids(docs), F.col("doc_id") == F.col("id"))
@@ -128,9 +130,11 @@ def pair_with_next(docs: DataFrame) -> DataFrame:
              .select("reader", F.struct(F.substring("text", F.lit(1), F.col("k")).alias("beginning"),
                                         F.col("fingerprint").alias("next_fingerprint")).alias("n"))
              .groupBy(F.col("reader").alias("doc_id")).agg(F.min("n").alias("n")))
-    return rows.join(ahead, "doc_id", "left").select(
+    paired = rows.join(ahead, "doc_id", "left").select(
         "doc_id", "text", "fingerprint", F.coalesce("n.beginning", F.lit("")).alias("beginning"),
         "n.next_fingerprint")
+    return paired.unionByName(apart.select("*", F.lit("").alias("beginning"),
+                                           F.lit(None).cast("string").alias("next_fingerprint")))
 
 
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
