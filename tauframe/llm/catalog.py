@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tauframe.llm import chat, fingerprints, mixing, pieces, pii, quality_rules, warc
+from tauframe.llm import chat, fingerprints, mixing, near_dedup, pieces, pii, quality_rules, warc
 
-MODULES = (quality_rules, fingerprints, mixing, chat, pii, pieces, warc)
+MODULES = (quality_rules, fingerprints, mixing, chat, pii, pieces, warc, near_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
