@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tauframe.llm import chat, fingerprints, mixing, near_dedup, pieces, pii, quality_rules, substring_dedup, warc
+from tauframe.llm import chat, fingerprints, licenses, mixing, near_dedup, pieces, pii, quality_rules, substring_dedup, warc
 
-MODULES = (quality_rules, fingerprints, mixing, chat, pii, pieces, warc, near_dedup, substring_dedup)
+MODULES = (quality_rules, fingerprints, mixing, chat, pii, pieces, warc, near_dedup, substring_dedup, licenses)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
