@@ -194,8 +194,9 @@ def fit(docs: DataFrame, precision: float = 0.95) -> boosting.Model | None:
     fold 0 of ``FOLDS`` calibrate; the others fit.
     """
     held = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0
-    rows = (prepare(docs.select("doc_id", "text")).where(F.size("_wide") > 0)
-            .select(held.alias("held"), F.inline("_wide"))
+    # the outer form: the inner one would put a filter on the list, computed anew, below everything
+    rows = (prepare(docs.select("doc_id", "text")).select(held.alias("held"), F.inline_outer("_wide"))
+            .where("digits is not null")
             .groupBy(*FEATURES, "held").agg(F.count("*").alias("n"), F.count_if("passed").alias("k")))
     got = [(tuple(r[f] for f in FEATURES), r["held"], r["n"], r["k"]) for r in rows.collect()]
     return boosting.fit(FEATURES, got, precision=precision)
