@@ -29,10 +29,10 @@ END = "\r\n"
 #: Capture time where the source has none.
 NO_DATE = "1970-01-01T00:00:00Z"
 _QUOTED = "(?:\"[^\"]*+\"|'[^']*+'|[^\"'<>]++)*+>"
-HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+HIDDEN = r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z))"
 BLOCK = (r"(?i)</?(?:p|div|br|hr|h[1-6]|li|ul|ol|dl|dt|dd|tr|td|th|table|article|section|header|footer"
          r"|nav|main|aside|title|body|head|html|blockquote|pre|form|figure)\b" + _QUOTED)
-TAG = r"</?[A-Za-z]" + _QUOTED + r"|<![A-Za-z][^<>]*>"
+TAG = r"<(?:/?[A-Za-z]" + _QUOTED + r"|![A-Za-z][^<>]*>)"
 REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]{2,6});"
 #: Fixed values of the HTML standard.
 NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©",
@@ -57,11 +57,15 @@ def decode_references(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
-def plain_text(html: Column) -> Column:
-    t = F.regexp_replace(html, HIDDEN, "")
-    t = F.regexp_replace(F.regexp_replace(t, BLOCK, "\n"), TAG, "")
-    t = F.regexp_replace(decode_references(t), "[ \\t\\r\\f\\x0B]+", " ")
-    return F.regexp_replace(F.regexp_replace(t, " ?\n[ \n]*", "\n"), "^[ \n]+|[ \n]+$", "")
+def without_tags(html: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, ""), BLOCK, "\n"), TAG, "")
+
+
+def plain_text(bare: Column) -> Column:
+    """Text from what ``without_tags`` leaves (a column, as it is used several times)."""
+    blank = "[ \\t\\r\\f\\x0B]"  # single spaces stay as they are
+    t = F.regexp_replace(decode_references(bare), f" {blank}+|[\\t\\r\\f\\x0B]{blank}*", " ")
+    return F.btrim(F.regexp_replace(t, " ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def digest(block: Column) -> Column:
@@ -77,11 +81,13 @@ def record_id(*names: Column) -> Column:
 
 def responses(pages: DataFrame) -> DataFrame:
     """Response records from ``page_id, url, html``: ``page_id, record_id, target_uri, date,
-    http_header, payload``."""
-    body, url = whole("html"), whole("url")
+    http_header, payload, payload_digest``."""
+    body, url = F.col("_body"), whole("url")
+    pages = pages.select("page_id", "url", whole("html").alias("_body"))
+    pages = pages.withColumn("payload_digest", digest(body))
     return pages.select(
         "page_id", record_id(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")),
-                             url, digest(body)).alias("record_id"),
+                             url, F.col("payload_digest")).alias("record_id"), "payload_digest",
         url.alias("target_uri"), F.lit(NO_DATE).alias("date"),
         F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "),
                  F.octet_length(body).cast("string"), F.lit(END)).alias("http_header"),
@@ -95,14 +101,16 @@ def _first(text: Column, pattern: str) -> Column:
 def derive(source: DataFrame) -> DataFrame:
     """Two rows per response: ``record_type, record_id, refers_to, concurrent_to, target_uri, date,
     content_type, source_digest, block_digest, content_length, block``, and the columns of
-    ``source`` that are not part of a record."""
-    used = ("record_id", "target_uri", "date", "http_header", "payload")
+    ``source`` that are not part of a record (nor named like one)."""
+    used = ("record_id", "target_uri", "date", "http_header", "payload", "payload_digest", "record_type",
+            "refers_to", "concurrent_to", "content_type", "source_digest", "block_digest", "content_length",
+            "block", "_src", "_bare", "_fields", "_text", "_meta")
     own = [c for c in source.columns if c not in used]
     payload, header = whole("payload"), whole("http_header")
     rows = source.select(
         *own, whole("record_id").alias("_src"), whole("target_uri").alias("target_uri"),
-        F.coalesce("date", F.lit(NO_DATE)).alias("date"), digest(payload).alias("source_digest"),
-        plain_text(payload).alias("_text"),
+        F.coalesce("date", F.lit(NO_DATE)).alias("date"), F.col("payload_digest").alias("source_digest"),
+        without_tags(payload).alias("_bare"),
         F.concat(
             F.lit("title: "), _first(payload, r"(?is)<title\b[^<>]*>([^<]*)"), F.lit(END),
             F.lit("language: "), _first(payload, r"(?is)<html\b[^<>]*?\blang=[\"']?([A-Za-z-]+)"), F.lit(END),
@@ -113,7 +121,7 @@ def derive(source: DataFrame) -> DataFrame:
                 payload, F.lit(r"(?i)<a\s[^<>]*?\bhref=[\"']([^\"'<>]*)"), F.lit(1)),
                 lambda x: F.concat(F.lit("outlink: "), F.regexp_replace(x, "[\\r\\n]+", " "), F.lit(END))), ""),
         ).alias("_fields"))
-    rows = rows.withColumn("_meta", record_id(F.lit("metadata"), F.col("_src")))
+    rows = rows.withColumn("_text", plain_text(F.col("_bare"))).withColumn("_meta", record_id(F.lit("metadata"), F.col("_src")))
 
     def record(kind, rid, other, content, block):
         return F.struct(
