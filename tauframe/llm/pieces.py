@@ -34,6 +34,7 @@ import math
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ TRUE_MARK = "\ud800"
 UNIT = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SLICE_CHARS = 2_000_000
-TABLE_UNITS = 250_000
+TABLE_UNITS = 400_000
 
 
 class Vocabulary:
@@ -71,6 +72,7 @@ class Vocabulary:
             elif kind == 1:
                 self.bytes_of[i] = p.replace(MARK, " ").encode()
                 self.score[i] = -round(SCALE * math.log(1 + min(-s, len(pieces))))
+        self.score = np.append(self.score, NONE)  # at -1: no piece
         self.longest = max(map(len, self.index))
         self.crossing = [p for p in self.index if "\n" in p and len(p) > 1
                          or re.search(f"[^{MARK}]{MARK}", p)]
@@ -169,36 +171,50 @@ def search(vocab: Vocabulary, unit: str, n: int) -> list[tuple[int, tuple[int, .
     return out
 
 
-def viterbi(vocab: Vocabulary, batch: list[str]) -> list[tuple[int, int, np.ndarray]]:
-    """``(score, gap, ids)`` of each unit; the gap to the second-best path is -1 when there is none."""
-    out: list = [None] * len(batch)
+def viterbi(vocab: Vocabulary, batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``score, gap, n_ids`` of each unit and all ids in a row; the gap to the second-best path is -1
+    when there is none."""
     by_length: dict[int, list[int]] = {}
     for k, u in enumerate(batch):
         by_length.setdefault(len(u), []).append(k)
+    order, got = [], []
     for size, members in by_length.items():
-        rows = max(1, 400_000 // size)
+        rows = max(1, 100_000 // size)  # stays in cache
         for lo in range(0, len(members), rows):
             part = members[lo:lo + rows]
-            for k, r in zip(part, _columns(vocab, [batch[k] for k in part], size)):
-                out[k] = r
-    return out
+            order += part
+            got.append(_columns(vocab, [batch[k] for k in part], size))
+    if not order:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    score, gap, n, ids = (np.concatenate(x) for x in zip(*got))
+    back = np.argsort(order)
+    return score[back], gap[back], n[back], ids[_ragged((np.cumsum(n) - n)[back], n[back])]
+
+
+def _ragged(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places begin[0] .. begin[0] + n[0] - 1, begin[1] .. in a row."""
+    ends = np.cumsum(n)
+    return np.repeat(begin - (ends - n), n) + np.arange(ends[-1] if len(n) else 0)
 
 
-def _columns(vocab: Vocabulary, batch: list[str], size: int) -> list[tuple[int, int, np.ndarray]]:
+def _columns(vocab: Vocabulary, batch: list[str], size: int):
+    """``viterbi`` for units of one length: a row per place, a column per unit."""
     codes = np.frombuffer("".join(batch).encode("utf-32-le", "surrogatepass"), np.uint32)
     codes = np.ascontiguousarray(codes.reshape(len(batch), size).T).astype(np.uint64) + np.uint64(1)
     most = min(vocab.longest, size)
-    ids, scores, h = [], [], np.zeros_like(codes)
+    ids = np.full((most, size, len(batch)), -1, np.int32)
+    scores, h = [], np.zeros_like(codes)
     bare = None
     for n in range(1, most + 1):
         h = h[:size - n + 1] * BASE + codes[n - 1:]
         got = vocab.look_up(h)
-        score = np.where(got >= 0, vocab.score[got], NONE)
+        score = vocab.score[got]  # the last one stands for no piece
         if n == 1:
             bare = got < 0
             for i, j in zip(*np.nonzero(bare)):
                 score[i, j] = vocab.score[list(vocab.fallback(batch[j][i]))].sum()
-        ids.append(got)
+        ids[n - 1, :size - n + 1] = got
         scores.append(score)
     ahead = np.full((size + 1, len(batch)), NONE, np.int64)
     behind = ahead.copy()
@@ -214,49 +230,42 @@ def _columns(vocab: Vocabulary, batch: list[str], size: int) -> list[tuple[int,
     second = np.full(len(batch), NONE, np.int64)
     on_best = np.zeros(len(batch), np.int64)
     # the longest piece at each place that lies on a best path, for the way back
-    take = np.zeros((size, len(batch)), np.int64)
+    take = np.zeros((size, len(batch)), np.int8)
     for n in range(1, most + 1):
         total = ahead[:size - n + 1] + scores[n - 1] + behind[n:]
         hit = total == best
         on_best += hit.sum(0)
         take[:size - n + 1][hit] = n
-        np.maximum(second, np.where(hit, NONE, total).max(0), out=second)
+        total[hit] = NONE
+        np.maximum(second, total.max(0), out=second)
     lanes = np.arange(len(batch))
-    at, path, used = np.zeros(len(batch), np.int64), np.full((size, len(batch)), -1, np.int64), np.zeros(len(batch), np.int64)
-    all_ids = np.full((most, size, len(batch)), -1, np.int64)
-    for n in range(1, most + 1):
-        all_ids[n - 1, :size - n + 1] = ids[n - 1]
-    for _ in range(size):
-        go = lanes[at < size]
-        if not len(go):
-            break
+    at, path = np.zeros(len(batch), np.int64), np.full((size, len(batch)), -1, np.int32)
+    used = np.zeros(len(batch), np.int64)
+    go = lanes
+    while len(go):
         n = take[at[go], go]
-        path[at[go], go] = all_ids[n - 1, at[go], go]
-        path[at[go], go] = np.where(path[at[go], go] < 0, -2, path[at[go], go])
+        got = ids[n - 1, at[go], go]
+        path[at[go], go] = np.where(got < 0, -2, got)
         used[go] += 1
         at[go] += n
+        go = go[at[go] < size]
     gap = np.where(on_best > used, 0, np.where(second > NONE // 2, best - second, -1))
-    out = []
-    for j in range(len(batch)):
-        p = path[:, j]
-        p = p[p != -1]
-        if bare[:, j].any():
-            full: list[int] = []
-            place = 0
-            for i in p:
-                if i == -2:
-                    full.extend(vocab.fallback(batch[j][place]))
-                    place += 1
-                else:
-                    full.append(int(i))
-                    place += len(vocab_piece(vocab, int(i)))
-            p = np.array(full, np.int64)
-        out.append((int(best[j]), int(gap[j]), p))
-    return out
-
-
-def vocab_piece(vocab: Vocabulary, i: int) -> str:
-    return vocab.bytes_of[i].decode()
+    path = path.T
+    flat, n_ids = path[path != -1].astype(np.int64), used.copy()
+    if bare.any():  # write out the characters in bytes
+        parts, lo = [], 0
+        for j in range(len(batch)):
+            own = flat[lo:lo + used[j]]
+            lo += used[j]
+            if (own == -2).any():
+                place, full = np.flatnonzero(path[j] != -1), []
+                for i, p in zip(own.tolist(), place.tolist()):
+                    full.extend(vocab.fallback(batch[j][p]) if i == -2 else (i,))
+                own = np.array(full, np.int64)
+                n_ids[j] = len(own)
+            parts.append(own)
+        flat = np.concatenate(parts)
+    return best, gap, n_ids, flat
 
 
 class Encoder:
@@ -264,25 +273,32 @@ class Encoder:
 
     def __init__(self, vocab: Vocabulary, n: int):
         self.vocab, self.n = vocab, n
-        self._clear()
-
-    def _clear(self):
         self.place: dict[str, int] = {}
         self.names: list[str] = []
-        self.score = np.zeros(0, np.int64)
-        self.gap = np.zeros(0, np.int64)
-        self.begin = np.zeros(1, np.int64)
+        none = np.zeros(0, np.int64)
+        self.score, self.gap, self.begin, self.size, self.uses = none, none, none, none, none
         self.pool = np.zeros(0, np.int32)
         self.found: dict[str, list] = {}
 
+    def _shrink(self):
+        """Keeps the half of the units that were used most."""
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[:TABLE_UNITS // 2])
+        self.names = [self.names[k] for k in keep.tolist()]
+        self.place = {u: k for k, u in enumerate(self.names)}
+        self.pool = self.pool[_ragged(self.begin[keep], self.size[keep])]
+        self.score, self.gap, self.size = self.score[keep], self.gap[keep], self.size[keep]
+        self.begin, self.uses = np.cumsum(self.size) - self.size, self.uses[keep] // 2
+        self.found = {}
+
     def _learn(self, fresh: list[str]):
-        got = viterbi(self.vocab, fresh)
+        score, gap, n, ids = viterbi(self.vocab, fresh)
         self.names += fresh
-        self.score = np.append(self.score, [g[0] for g in got])
-        gap = np.array([g[1] for g in got], np.int64)
+        self.score = np.append(self.score, score)
         self.gap = np.append(self.gap, np.where(gap < 0, np.iinfo(np.int64).max, gap))
-        self.begin = np.append(self.begin, self.begin[-1] + np.cumsum([len(g[2]) for g in got]))
-        self.pool = np.concatenate([self.pool, *[g[2].astype(np.int32) for g in got]])
+        self.begin = np.append(self.begin, len(self.pool) + np.cumsum(n) - n)
+        self.size = np.append(self.size, n)
+        self.uses = np.append(self.uses, np.zeros(len(n), np.int64))
+        self.pool = np.append(self.pool, ids.astype(np.int32))
 
     def _others(self, unit: str, score: int, ids: tuple[int, ...]) -> list[tuple[int, tuple[int, ...]]]:
         """Other segmentations of a unit: ``(loss, ids)``, best first."""
@@ -294,37 +310,41 @@ class Encoder:
         """``(ids, score, others)`` of each text; others: ``(score, [(begin, end, ids), ...])``,
         the pieces that replace ``ids[begin:end]``, best first, at most n - 1."""
         if len(self.place) > TABLE_UNITS:
-            self._clear()
+            self._shrink()
         split = [units(t) for t in texts]
         place, fresh = self.place, []
-        for us in split:
-            for u in us:
-                if u not in place:
-                    place[u] = len(place)
-                    fresh.append(u)
+        for u in set().union(*split) if split else ():
+            if u not in place:
+                fresh.append(u)
         if fresh:
+            fresh.sort()
+            place.update(zip(fresh, range(len(place), len(place) + len(fresh))))
             self._learn(fresh)
-        for us in split:
-            idx = np.fromiter(map(place.__getitem__, us), np.int64, len(us))
-            n = self.begin[idx + 1] - self.begin[idx]
-            ends = np.cumsum(n)
-            ids = self.pool[np.repeat(self.begin[idx] - (ends - n), n) + np.arange(ends[-1] if len(us) else 0)]
-            score = int(self.score[idx].sum())
-            yield ids, score, self._merge(idx, ids, score, ends, n)
-
-    def _merge(self, idx, ids, score, ends, n):
+        sizes = [len(us) for us in split]
+        idx = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64, sum(sizes))
+        self.uses += np.bincount(idx, minlength=len(self.uses))
+        n = self.size[idx]
+        ids = self.pool[_ragged(self.begin[idx], n)]
+        ends, scores, gaps, lo = np.cumsum(n), self.score[idx], self.gap[idx], 0
+        for size in sizes:
+            hi = lo + size
+            first = int(ends[lo] - n[lo]) if size else 0
+            own = ids[first:int(ends[hi - 1])] if size else ids[:0]
+            score = int(scores[lo:hi].sum())
+            yield own, score, self._merge(idx[lo:hi], gaps[lo:hi], own, score, ends[lo:hi] - first, n[lo:hi])
+            lo = hi
+
+    def _merge(self, idx, gaps, ids, score, ends, n):
         want = self.n - 1
         if not want or not len(idx):
             return []
-        gaps = self.gap[idx]
-        near = np.argsort(gaps, kind="stable")[:want] if len(idx) <= want else np.sort(
-            np.argpartition(gaps, want - 1)[:want])
+        near = range(len(idx)) if len(idx) <= want else np.sort(np.argpartition(gaps, want - 1)[:want]).tolist()
         best = [(0, ())]
         for k in near:
             if gaps[k] == np.iinfo(np.int64).max:
                 continue
             begin, end = int(ends[k] - n[k]), int(ends[k])
-            own = tuple(int(i) for i in ids[begin:end])
+            own = tuple(ids[begin:end].tolist())
             ways = self._others(self.names[idx[k]], int(self.score[idx[k]]), own)
             more = [(loss + d, ch + ((begin, end, i),)) for loss, ch in best for d, i in ways]
             best = sorted(best + more)[:self.n]
