@@ -13,14 +13,15 @@ Components need no pair within a component twice, so candidates are confirmed in
    ``RUN`` nodes, which share one node with the next run, and each run is linked inside one task;
 2. each component in a bucket sends one delegate; delegates next to each other in the sorted order
    are confirmed, until nothing more is joined;
-3. in buckets that still hold several components, all signatures of different components are
-   compared, and every pair agreeing in ``LEAST_AGREE`` values or more (a link agrees in fewer with
-   probability under 1e-6) is confirmed, first the best pairs of each two components, then all.
+3. the nodes of buckets that still hold several components come together with their texts; all
+   signatures of different components are compared, and every pair agreeing in ``LEAST_AGREE`` values
+   or more (a link agrees in fewer with probability under 1e-6) is confirmed. Only links leave a task.
 
-Depth adapts in step 3: a bucket of more than ``DENSE`` nodes is split by the next signature value,
-as often as needed; there a link meets with the probability of the deeper prefix. No bucket, partner
-or candidate is dropped. Texts travel for candidates only. What gathers by key is bounded: runs by
-``RUN``, delegates by components per bucket; everything else is combined before its shuffle.
+Depth adapts to the region: for step 3, a bucket of more than ``DENSE`` nodes is split by further
+signature values until its parts are smaller; there a link meets with the probability of the deeper
+prefix, or through the neighbours of step 2. No partner or candidate is dropped. Texts travel for candidates only. What gathers by key is bounded:
+runs by ``RUN``, buckets by ``DENSE``, delegates by components per bucket; everything else is
+combined before its shuffle.
 
 Defined results: fewer than 5 words are one shingle; no words (or a null text) have an empty set and
 are linked with nothing. Rows sharing an id are one document. A row with a null id is linked with
@@ -229,45 +230,45 @@ def _check_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(keep, pa.int64())) for c in "ab"], ["a", "b"])
 
 
-def _dense_parts(values: np.ndarray, rows: np.ndarray, depth: int) -> Iterator[np.ndarray]:
-    """``rows`` split by further values until no part holds more than ``DENSE``."""
-    if len(rows) <= DENSE or depth == values.shape[1]:
-        yield rows
-        return
-    order = rows[np.argsort(values[rows, depth], kind="stable")]
-    for part in np.split(order, np.flatnonzero(np.diff(values[order, depth].astype(np.int64))) + 1):
-        yield from _dense_parts(values, part, depth + 1)
+def _link_mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between different components of a bucket (enough of them to join what can be joined)."""
+    for group in _groups(batches, "bucket"):
+        sig, nodes = _matrix(group.column("sig")), group.column("node").to_pylist()
+        _, comp = np.unique(group.column("comp").to_numpy(), return_inverse=True)
+        texts, sets, union, found = group.column("text"), {}, _Sets(int(comp.max()) + 1), []
+
+        def shingles(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_sets([texts[i].as_py().encode()])[0]
+            return sets[i]
+
+        for i in range(1, len(nodes)):
+            others = np.flatnonzero(comp[:i] != comp[i])
+            if not len(others):
+                continue
+            agree = (sig[others] == sig[i]).sum(1)
+            for k in np.argsort(-agree, kind="stable").tolist():  # likeliest first
+                if agree[k] < LEAST_AGREE:
+                    break
+                j = int(others[k])
+                if union.top(comp[i]) != union.top(comp[j]) and linked(shingles(i), shingles(j)):
+                    union.join(int(comp[i]), int(comp[j]))
+                    found.append((nodes[i], nodes[j]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _cross_pairs(limit: int | None):
-    """Pairs of different components in a bucket whose signatures agree enough; with ``limit``,
-    the best so many of each two components (all of them stay candidates later)."""
+def _deepen(depth: int):
+    """Buckets of dense regions by ``depth`` values of the tree they belong to."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, "bucket"):
-            tree = group.column("bucket")[0].as_py() & 31
-            sig = _matrix(group.column("sig"))
-            nodes, comp = group.column("node").to_numpy(), group.column("comp").to_numpy()
-            values = _tree_values(sig, tree, HASHES)
-            for rows in _dense_parts(values, np.arange(len(nodes)), MIN_DEPTH):
-                best: dict[tuple[int, int], list] = {}
-                for k in range(1, len(rows)):
-                    i, others = rows[k], rows[:k]
-                    others = others[comp[others] != comp[i]]
-                    if not len(others):
-                        continue
-                    agree = (sig[others] == sig[i]).sum(1)
-                    for n, j in sorted(zip(agree.tolist(), others.tolist()), reverse=True):
-                        if n < LEAST_AGREE:
-                            break
-                        kept = best.setdefault((min(comp[i], comp[j]), max(comp[i], comp[j])), [])
-                        kept.append((-n, min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
-                        if limit and len(kept) > 4 * limit:
-                            kept.sort()
-                            del kept[limit:]
-                out = [x for kept in best.values() for x in sorted(kept)[:limit]]
-                if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([x[k] for x in out], pa.int64()) for k in (1, 2)], ["a", "b"])
+        for batch in batches:
+            if batch.num_rows:
+                sig, trees = _matrix(batch.column("sig")), batch.column("bucket").to_numpy() & 31
+                keys = np.zeros(batch.num_rows, np.int64)
+                for t in np.unique(trees).tolist():
+                    rows = np.flatnonzero(trees == t)
+                    keys[rows] = _bucket(_tree_values(sig[rows], t, depth), t)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("node")], ["bucket", "node"])
     return run
 
 
@@ -287,9 +288,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = materialise(
         signed.join(sets, (signed["set_key"] == sets["set_key"]) & (F.col("doc_id") == F.col("node")))
         .select("node", "sig").dropDuplicates(["node"]), "nodes")
-    planted = nodes.mapInArrow(_plant, "bucket bigint, node bigint")
-    crowd = planted.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1")
-    met = materialise(crowd, "buckets")
+    def crowd(planted: DataFrame) -> DataFrame:
+        return materialise(planted.withColumn("n", F.count("*").over(Window.partitionBy("bucket")))
+                           .where("n > 1"), "buckets")
+
+    met, depth = crowd(nodes.mapInArrow(_plant, "bucket bigint, node bigint")), MIN_DEPTH
+    fine, dense = met, met.where(F.col("n") > DENSE)
+    while depth < HASHES and not dense.isEmpty():
+        depth += 1
+        deeper = crowd(dense.join(nodes, "node").select("bucket", "node", "sig")
+                       .mapInArrow(_deepen(depth), "bucket bigint, node bigint"))
+        fine = fine.where(F.col("n") <= DENSE).unionByName(deeper)
+        dense = deeper.where(F.col("n") > DENSE)
 
     # 1. runs of the most crowded buckets
     home = met.groupBy("node").agg(F.max(F.struct("n", "bucket")).alias("h")).select("node", "h.bucket")
@@ -311,26 +321,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # 2. delegates of components, next to each other in a bucket's order
     tried = None
 
-    def placed() -> DataFrame:
-        """Rows of ``met`` with components, in buckets that hold more than one."""
-        rows = met.select("bucket", "node").join(comp, "node", "left").withColumn(
+    def placed(buckets: DataFrame) -> DataFrame:
+        """Rows with components, of the buckets that hold more than one."""
+        rows = buckets.select("bucket", "node").join(comp, "node", "left").withColumn(
             "comp", F.coalesce("comp", "node"))
         mixed = rows.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
         return rows.join(mixed.select("bucket"), "bucket")
 
-    def confirm(pairs: DataFrame) -> bool:
-        """Confirms pairs not tried before; whether any was a link."""
-        nonlocal comp, links, tried
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        found = materialise(_confirmed(pairs, texts), "linked")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+    def accept(found: DataFrame) -> bool:
+        """Joins components by the links found; whether there were any."""
+        nonlocal comp
+        found = materialise(found, "linked")
         if found.isEmpty():
             return False
         # components are the nodes of what has been found so far
-        lead = lambda k: F.coalesce(F.col(f"{k}.comp"), F.col(k)).alias(k)
         joined = components(
             found.join(comp.alias("p"), F.col("a") == F.col("p.node"), "left").select(
                 F.coalesce("p.comp", "a").alias("a"), "b")
@@ -342,8 +346,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .select("node", F.coalesce("up", "comp").alias("comp")).unionByName(fresh), "components")
         return True
 
+    def confirm(pairs: DataFrame) -> bool:
+        """Confirms pairs not tried before; whether any was a link."""
+        nonlocal tried
+        pairs = pairs.distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        return accept(_confirmed(pairs, texts))
+
     while True:
-        delegates = placed().groupBy("bucket", "comp").agg(F.min("node").alias("node"))
+        delegates = placed(met).groupBy("bucket", "comp").agg(F.min("node").alias("node"))
         labelled = delegates.join(nodes, "node").select("bucket", "node", "sig").mapInArrow(
             _label, "bucket bigint, node bigint, label binary")
         beside = Window.partitionBy("bucket").orderBy("label", "node")
@@ -353,10 +367,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             break
 
     # 3. all pairs of different components that agree enough
-    for limit in (2, None):
-        rows = (placed().join(nodes, "node").select("bucket", "node", "comp", "sig")
-                .repartition(parts, "bucket").sortWithinPartitions("bucket", "node"))
-        confirm(rows.mapInArrow(_cross_pairs(limit), "a bigint, b bigint"))
+    mixed = (placed(fine).join(nodes, "node").join(texts.select("node", "text"), "node")
+             .select("bucket", "node", "comp", "sig", "text")
+             .repartition(parts, "bucket").sortWithinPartitions("bucket", "node"))
+    accept(mixed.mapInArrow(_link_mixed, "a bigint, b bigint"))
 
     rows = signed.select("doc_id", "n_shingles", "set_key").join(sets, "set_key", "left").join(
         comp, "node", "left")
