@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tauframe.llm.text import span, table, whole
+from tauframe.llm.text import settled, span, table, whole
 from tauframe.session import materialise
 
 CUT = "(?<=\n)|(?<=[.!?] )"
@@ -35,9 +35,10 @@ SECTION_END = "[01]"
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str = "fingerprint") -> DataFrame:
-    """``df`` with the fingerprint of a text column (``_leaf`` and ``_end`` are used inside)."""
+    """``df`` with the fingerprint of a text column."""
     own = [c for c in df.columns if c != name]
-    leaf = F.transform(F.filter(F.split(whole(text), CUT), lambda s: s != ""),
+    df = df.select(F.col(text).alias("_text"), F.struct(*own).alias("_row"))
+    leaf = F.transform(F.filter(F.split(whole("_text"), CUT), lambda s: s != ""),
                        lambda s: F.sha2(s, 256))
     df = df.withColumn("_leaf", leaf)
     df = df.withColumn("_end", F.filter(
@@ -51,8 +52,8 @@ def with_fingerprint(df: DataFrame, text: str, name: str = "fingerprint") -> Dat
     body = F.zip_with("_node", "_part", lambda n, p: F.concat(
         F.substring(n, 1, 16), F.lit(":"),
         F.array_join(F.transform(p, lambda x: F.substring(x, 1, 8)), ",")))
-    return df.select(*own, F.array_join(F.concat(
-        F.array(F.sha2(F.array_join("_node", ""), 256)), body), "/").alias(name))
+    return df.select(*[F.col(f"_row.`{c}`") for c in own], settled(F.array_join(F.concat(
+        F.array(F.sha2(F.array_join("_node", ""), 256)), body), "/")).alias(name))
 
 
 def root(fingerprint: Column) -> Column:
@@ -119,9 +120,9 @@ def edited_text(text: Column, beginning: Column) -> Column:
 
 def pair_with_next(docs: DataFrame) -> DataFrame:
     """``doc_id, text, fingerprint, beginning, next_fingerprint`` for each row of ``docs``."""
-    rows = with_fingerprint(docs.select("doc_id", whole("text").alias("text")), "text")
     # rows without an id apart, so that both uses below have the same filter and share one exchange
-    apart, rows = rows.where("doc_id is null"), rows.where("doc_id is not null")
+    texts = docs.select("doc_id", whole("text").alias("text"))
+    apart, rows = (with_fingerprint(texts.where(f"doc_id is {x}"), "text") for x in ("null", "not null"))
     wanted = (docs.select("doc_id", F.floor(F.char_length(whole("text")) / 4).cast("int").alias("k"))
               .groupBy("doc_id").agg(F.max("k").alias("k"))
               .join(next_ids(docs), F.col("doc_id") == F.col("id"))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tauframe.llm import boosting
-from tauframe.llm.text import span, table, whole
+from tauframe.llm.text import settled, span, table, whole
 
 KINDS = ("email", "ip", "card", "phone")
 #: What the patterns mean, in plain form.
@@ -204,7 +204,8 @@ def fit(docs: DataFrame, precision: float = 0.95) -> boosting.Model | None:
 
 def find(docs: DataFrame, model: boosting.Model | None) -> DataFrame:
     """``docs`` plus ``base_spans`` and ``spans`` (``start, rank, end, kind``, sorted)."""
-    df = prepare(docs)
+    own = docs.columns
+    df = prepare(docs.select("doc_id", "text", F.struct(*own).alias("_row")))
     spans = "array<struct<start:int,rank:int,end:int,kind:string>>"
     if model is None or math.isinf(model.threshold):
         added = F.array().cast(spans)
@@ -223,8 +224,8 @@ def find(docs: DataFrame, model: boosting.Model | None) -> DataFrame:
         added = F.transform(added, lambda x: F.struct(
             x["start"].alias("start"), (x["rank"] - 1).alias("rank"), x["end"].alias("end"),
             x["kind"].alias("kind")))
-    return df.select(*docs.columns, F.col("_base").alias("base_spans"),
-                     F.sort_array(F.concat("_base", added)).alias("spans"))
+    return df.select(*[F.col(f"_row.`{c}`") for c in own], settled(F.col("_base")).alias("base_spans"),
+                     settled(F.sort_array(F.concat("_base", added))).alias("spans"))
 
 
 def written(spans: Column) -> Column:

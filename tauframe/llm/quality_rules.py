@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tauframe.llm.text import SPACE, span, table, whole, words
+from tauframe.llm.text import SPACE, settled, span, table, whole, words
 
 WINDOW = 5
 POSITION_BITS = 28
@@ -88,8 +88,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """The input's columns plus ``MEASURES`` and ``n_lines`` (input columns of these names go)."""
     own = [c for c in docs.columns if c not in (*MEASURES, "n_lines")]
     low = (1 << POSITION_BITS) - 1
-    body = whole(text)
-    df = docs.select(*own, words(text).alias("_w"),
+    # the row goes into one column, so no name of it can meet one used here
+    docs = docs.select(F.col(text).alias("_text"), F.struct(*own).alias("_row"))
+    body = whole("_text")
+    df = docs.select("_row", "_text", words("_text").alias("_w"),
                      F.filter(F.split(body, "\n"), lambda s: s.rlike("[^ \\t-\\r]")).alias("_l"))
     # a window per word that has WINDOW - 1 words after it
     df = df.withColumn("_keys", F.sort_array(F.transform(
@@ -114,10 +116,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
     n_lines = F.size("_l").cast("long")
     return df.select(
-        *own, F.size("_w").cast("long").alias("n_words"), left(f"{SPACE}+").alias("word_chars"),
+        *[F.col(f"_row.`{c}`") for c in own], F.size("_w").cast("long").alias("n_words"), left(f"{SPACE}+").alias("word_chars"),
         left("[^#*$%&|<>]+").alias("n_symbols"),
         (n_lines - F.size(F.array_distinct("_l"))).alias("n_dup_lines"),
-        covered.alias("n_repeat_words"), left("[^A-Z]+").alias("n_upper"),
+        settled(covered).alias("n_repeat_words"), left("[^A-Z]+").alias("n_upper"),
         F.coalesce(F.array_max(F.transform("_w", lambda w: F.char_length(w))), F.lit(0))
         .cast("long").alias("n_longest"), n_lines.alias("n_lines"))
 
@@ -170,9 +172,7 @@ def ablations(rows: DataFrame, policies: Sequence[Policy] = POLICIES,
 def keep_documents(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
     """The rows of ``docs``, columns unchanged, that the policy keeps."""
     boxed = docs.select(F.col("text"), F.struct(*docs.columns).alias("_row"))
-    # a partition id cannot be moved, so the filter stays above the measurements it would else repeat
-    return (ledger(boxed).withColumn("_here", F.spark_partition_id())
-            .where(~rejected(policy) & (F.col("_here") >= 0)).select("_row.*"))
+    return ledger(boxed).where(~rejected(policy)).select("_row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,3 +32,9 @@ def span(last: Column) -> Column:
     """0 .. last; empty when ``last`` is negative."""
     return F.when(last >= 0, F.sequence(F.lit(0), last.cast("int"))).otherwise(
         F.array().cast("array<int>"))
+
+
+def settled(value: Column) -> Column:
+    """``value``, tied to the task it is made in. A later filter on it is then not rewritten in terms
+    of what it was made from, which would repeat nested list expressions over and over."""
+    return F.when(F.spark_partition_id() >= 0, value)
