@@ -17,8 +17,8 @@ def _dense(key: np.ndarray) -> np.ndarray:
     """Ranks of keys among the distinct keys, from 0."""
     order = np.argsort(key, kind="stable")
     held = key[order]
-    rank = np.empty(len(key), np.int64)
-    rank[order] = np.cumsum(np.concatenate([[0], held[1:] != held[:-1]]))
+    rank = np.empty(len(key), np.int32)
+    rank[order] = np.cumsum(np.concatenate([[False], held[1:] != held[:-1]]), dtype=np.int32)
     return rank
 
 
@@ -34,13 +34,13 @@ class FMIndex:
         if not 1 < depth < SORTED:
             raise ValueError(f"windows hold 2 to {SORTED - 1} symbols")
         self.depth, n = depth, len(text)
-        after = lambda r, h: np.concatenate([r[h:] + 1, np.zeros(min(h, n), np.int64)])[:n]
-        ranks, h = {1: text.astype(np.int64)}, 1
+        after = lambda r, h: np.concatenate([r[h:] + 1, np.zeros(min(h, n), np.int32)])[:n]
+        ranks, h = {1: text.astype(np.int32)}, 1
         while h < SORTED:
             two = after(ranks[h], h)
-            ranks[2 * h] = _dense(ranks[h] * (int(two.max(initial=0)) + 1) + two)
+            ranks[2 * h] = _dense(ranks[h].astype(np.int64) * (int(two.max(initial=0)) + 1) + two)
             h *= 2
-        self.rows = np.argsort(ranks[SORTED], kind="stable")
+        self.rows = np.argsort(ranks[SORTED], kind="stable").astype(np.int32)
 
         def breaks(length: int) -> np.ndarray:
             """Where the first ``length`` symbols change from one row to the next."""
@@ -49,16 +49,16 @@ class FMIndex:
             while at < length:
                 while h > length - at:
                     h //= 2
-                key = np.concatenate([ranks[h], np.full(SORTED, -1)])[self.rows + at]
+                key = np.concatenate([ranks[h], np.full(SORTED, -1, np.int32)])[self.rows + at]
                 out[1:] |= key[1:] != key[:-1]
                 at += h
             return out
 
         start = np.flatnonzero(breaks(depth - 1))
-        self.parent = np.cumsum(breaks(depth - 1)) - 1
+        self.parent = np.cumsum(breaks(depth - 1), dtype=np.int32) - 1
         self.parent_lo, self.parent_hi = start, np.append(start[1:], n)
         full = breaks(depth)
-        self.group = np.cumsum(full) - 1
+        self.group = np.cumsum(full, dtype=np.int32) - 1
         self.least = np.minimum.reduceat(value[owner[self.rows]], np.flatnonzero(full)) if n else value[:0]
         sigma = int(text.max(initial=0)) + 1
         self.count = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
@@ -72,7 +72,7 @@ class FMIndex:
             packed = np.packbits(np.concatenate([bit, np.zeros(64 + -n % 64, np.uint8)]), bitorder="little")
             words = packed.view(np.uint64)
             self.words.append(words)
-            self.ones.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words).astype(np.int64))[:-1]]))
+            self.ones.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1]]))
             self.zeros.append(n - int(bit.sum()))
             bwt = np.concatenate([bwt[bit == 0], bwt[bit == 1]])
         self.first = self._descend(np.arange(sigma), np.zeros(sigma, np.int64))

@@ -362,6 +362,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
                 part = batch.slice(lo, k + 1 - lo)
                 yield part, [t or "" for t in part.column("text").to_pylist()]
                 lo, held = k + 1, 0
+        pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
 
 _WORKER: dict[tuple[str, int], Encoder] = {}

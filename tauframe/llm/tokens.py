@@ -108,3 +108,4 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text",
                 part = batch.slice(lo, k + 1 - lo)
                 yield part, [t or b"" for t in part.column(column).cast(pa.binary()).to_pylist()]
                 lo, held = k + 1, 0
+        pa.default_memory_pool().release_unused()  # workers outlive their tasks
