@@ -41,7 +41,9 @@ from tauframe.session import materialise
 
 WINDOW = 13
 GRAM = 4
-SLICE = 4_000_000
+SLICE = 3_000_000
+#: Index shards per partition; one is built at a time.
+SHARDS = 4
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -74,26 +76,36 @@ def segments(w: tokens.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return text, at[first] - w.first[text], size, gram[home[first]]
 
 
-def _packed(g, doc, start, ids, tags) -> bytes:
-    """Minimizers (48 bits), places and the documents they are in, as one value."""
+def _squeezed(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value; equal lengths are not needed."""
+    head = np.array([len(arrays), *[a.nbytes for a in arrays]], "<i8").tobytes()
+    body = b"".join([head, *[np.ascontiguousarray(a).tobytes() for a in arrays]])
+    return np.int64(len(body)).tobytes() + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def _unsqueezed(blob: bytes) -> list[memoryview]:
+    body = memoryview(pa.decompress(blob[8:], int(np.frombuffer(blob[:8], "<i8")[0]), codec="zstd", asbytes=True))
+    n = int(np.frombuffer(body[:8], "<i8")[0])
+    ends = 8 * (n + 1) + np.cumsum([0, *np.frombuffer(body[8:8 * (n + 1)], "<i8")])
+    return [body[lo:hi] for lo, hi in zip(ends, ends[1:])]
+
+
+def _packed(g, doc, start, ids) -> bytes:
+    """Minimizers (48 bits), places and the documents they are in (sorted), as one value."""
     used, doc = np.unique(doc, return_inverse=True)
-    head = np.array([len(g), len(used)], np.int64).tobytes()
     six = (g & np.uint64(2**48 - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    return b"".join([head, np.ascontiguousarray(six).tobytes(), doc.astype("<u4").tobytes(),
-                     start.astype("<u4").tobytes(), ids[used].astype("<i8").tobytes(),
-                     tags[used].astype("<i8").tobytes()])
+    return _squeezed(six, np.diff(doc, prepend=0).astype("<u4"), np.diff(start, prepend=0).astype("<i4"),
+                     np.diff(ids[used], prepend=0).astype("<i8"))
 
 
 def _unpacked(blob: bytes):
-    n, m = np.frombuffer(blob, np.int64, 2)
-    at = 16
-    g = np.zeros((n, 8), np.uint8)
-    g[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, at).reshape(n, 6)
-    doc = np.frombuffer(blob, "<u4", n, at + 6 * n)
-    start = np.frombuffer(blob, "<u4", n, at + 10 * n)
-    ids = np.frombuffer(blob, "<i8", m, at + 14 * n)
-    tags = np.frombuffer(blob, "<i8", m, at + 14 * n + 8 * m)
-    return g.view("<u8").ravel(), ids[doc], tags[doc], start
+    six, doc, start, ids = _unsqueezed(blob)
+    six = np.frombuffer(six, np.uint8).reshape(-1, 6)
+    g = np.zeros((len(six), 8), np.uint8)
+    g[:, :6] = six
+    ids = np.cumsum(np.frombuffer(ids, "<i8"))
+    return (g.view("<u8").ravel(), ids[np.cumsum(np.frombuffer(doc, "<u4").astype(np.int64))],
+            np.cumsum(np.frombuffer(start, "<i4").astype(np.int64)))
 
 
 def _spread(order: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -112,7 +124,7 @@ def _minimizers(parts: int):
             text, start, _, g = segments(tokens.words_of(texts))
             if not len(g):
                 continue
-            ids, tags = (part.column(c).to_numpy() for c in ("doc_id", "tag"))
+            ids = part.column("doc_id").to_numpy()
             order = np.argsort(g, kind="stable")
             known = _spread(order, g, ids[text])
             # of what is known to repeat, the first is sent on; all are marked already
@@ -121,13 +133,13 @@ def _minimizers(parts: int):
             out = []
             if known.any():
                 out.append((int(g[0] % np.uint64(parts)), True,
-                            _packed(g[known], text[known], start[known], ids, tags)))
+                            _packed(g[known], text[known], start[known], ids)))
             send = np.flatnonzero(lead | ~known)
             shard = (g[send] >> np.uint64(50)) % np.uint64(parts)
             by = np.argsort(shard, kind="stable")
             for piece in np.split(by, np.flatnonzero(np.diff(shard[by].astype(np.int64))) + 1):
                 rows = np.sort(send[piece])
-                out.append((int(shard[piece[0]]), False, _packed(g[rows], text[rows], start[rows], ids, tags)))
+                out.append((int(shard[piece[0]]), False, _packed(g[rows], text[rows], start[rows], ids)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.bool_()),
                  pa.array([x[2] for x in out], pa.binary())], ["shard", "known", "blob"])
@@ -135,29 +147,21 @@ def _minimizers(parts: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places whose minimizer is in several documents, one row per document and blob."""
+    """Places whose minimizer is in several documents."""
     held, marked = [], []
     for batch in batches:
         for known, blob in zip(batch.column("known").to_pylist(), batch.column("blob").to_pylist()):
             (marked if known else held).append(_unpacked(blob))
     if held:
-        g, ids, tags, start = (np.concatenate(x) for x in zip(*held))
+        g, ids, start = (np.concatenate(x) for x in zip(*held))
         keep = _spread(np.argsort(g, kind="stable"), g, ids)
-        marked.append((g[keep], ids[keep], tags[keep], start[keep]))
-    for _, ids, tags, start in marked:
-        if not len(ids):
-            continue
-        order = np.lexsort((start, tags, ids))
-        ids, tags, start = ids[order], tags[order], start[order]
-        cut = np.concatenate([[0], np.flatnonzero((np.diff(ids) != 0) | (np.diff(tags) != 0)) + 1])
-        for lo in range(0, len(cut), 20_000):
-            first = cut[lo:lo + 20_000]
-            end = cut[lo + 20_000] if lo + 20_000 < len(cut) else len(ids)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(ids[first]), pa.array(tags[first]),
-                pa.ListArray.from_arrays(pa.array(np.append(first, end) - first[0], pa.int32()),
-                                         pa.array(start[first[0]:end].astype(np.int32)))],
-                ["doc_id", "tag", "starts"])
+        marked.append((g[keep], ids[keep], start[keep]))
+    if not sum(len(x[0]) for x in marked):
+        return
+    ids, start = (np.concatenate([x[k] for x in marked]) for k in (1, 2))
+    for lo in range(0, len(ids), 200_000):
+        yield pa.RecordBatch.from_arrays([
+            pa.array(ids[lo:lo + 200_000]), pa.array(start[lo:lo + 200_000].astype(np.int32))], ["doc_id", "start"])
 
 
 def _wanted(batches: Iterator[pa.RecordBatch]):
@@ -180,23 +184,32 @@ def _wanted(batches: Iterator[pa.RecordBatch]):
         yield part, text[keep], start[keep], g[keep], contents
 
 
-def _key(content: bytes) -> bytes:
-    return hashlib.blake2b(content, digest_size=16).digest()
+def _keys(contents: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    """96 bits of a digest of each content, as two numbers."""
+    raw = b"".join([hashlib.blake2b(c, digest_size=12).digest() for c in contents])
+    raw = np.frombuffer(raw, np.uint8).reshape(-1, 12)
+    return (pa.array(np.ascontiguousarray(raw[:, :8]).view("<i8").ravel()),
+            pa.array(np.ascontiguousarray(raw[:, 8:]).view("<i4").ravel()))
 
 
-def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct contents of a slice with their smallest document."""
-    for part, text, _, g, contents in _wanted(batches):
-        ids, least, where = part.column("doc_id").to_numpy()[text].tolist(), {}, {}
-        for k, (c, i) in enumerate(zip(contents, ids)):
-            if c not in least or i < least[c]:
-                least[c] = i
-                where.setdefault(c, k)
-        names = list(least)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(g[[where[c] for c in names]].view(np.int64) if names else [], pa.int64()),
-            pa.array(names, pa.binary()), pa.array([least[c] for c in names], pa.int64())],
-            ["minimizer", "content", "doc_id"])
+def _contents(parts: int):
+    """Distinct contents of a slice with their smallest document, a value per slice and shard."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, text, _, g, contents in _wanted(batches):
+            ids, least, home = part.column("doc_id").to_numpy()[text].tolist(), {}, {}
+            shard = ((g >> np.uint64(20)) % np.uint64(parts)).tolist()
+            for c, i, k in zip(contents, ids, shard):
+                if i < least.get(c, i + 1):
+                    least[c] = i
+                    home[c] = k
+            by: dict[int, list[bytes]] = {}
+            for c, k in home.items():
+                by.setdefault(k, []).append(c)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(list(by), pa.int32()), pa.array([_squeezed(
+                    np.frombuffer(b"\n".join(cs), np.uint8), np.array([least[c] for c in cs], "<i8"))
+                    for cs in by.values()], pa.binary())], ["shard", "blob"])
+    return run
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,19 +217,29 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, text, start, _, contents in _wanted(batches):
         at = pa.array(text)
         yield pa.RecordBatch.from_arrays([
-            pa.array([_key(c) for c in contents], pa.binary()), part.column("doc_id").take(at),
-            part.column("tag").take(at), pa.array(start.astype(np.int32))], ["key", "doc_id", "tag", "start"])
+            *_keys(contents), part.column("doc_id").take(at), part.column("tag").take(at),
+            pa.array(start.astype(np.int32))], ["k1", "k2", "doc_id", "tag", "start"])
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One shard: the smallest document of each window of each distinct content."""
+    """The shards of a partition, sorted: the smallest document of each window of each content."""
     least: dict[bytes, int] = {}
+    last = None
     for batch in batches:
-        for c, i in zip(batch.column("content").to_pylist(), batch.column("doc_id").to_pylist()):
-            if i < least.get(c, i + 1):
-                least[c] = i
-    if not least:
-        return
+        for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("blob")):
+            if shard != last and least:
+                yield from _search_shard(least)
+                least = {}
+            last = shard
+            body, ids = _unsqueezed(blob.as_py())
+            for c, i in zip(bytes(body).split(b"\n"), np.frombuffer(ids, "<i8").tolist()):
+                if i < least.get(c, i + 1):
+                    least[c] = i
+    if least:
+        yield from _search_shard(least)
+
+
+def _search_shard(least: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
     contents = list(least)
     w = tokens.words_of(contents)
     symbol = np.unique(w.hash, return_inverse=True)[1].astype(np.int64) + 1
@@ -230,20 +253,24 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hi = min(lo + 100_000, len(n))
         found = index.least_of(text, begin[lo:hi], n[lo:hi] - WINDOW + 1)
         yield pa.RecordBatch.from_arrays([
-            pa.array([_key(c) for c in contents[lo:hi]], pa.binary()),
-            pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()),
-                                     pa.array(np.concatenate(found)))], ["key", "least"])
+            *_keys(contents[lo:hi]), pa.ListArray.from_arrays(
+                pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found)))],
+            ["k1", "k2", "least"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], text_out: bool) -> Iterator[pa.RecordBatch]:
     for part, texts in tokens.text_slices(batches, size=SLICE):
-        lists = part.column("covered")
+        lists, own = part.column("covered"), part.column("tag").to_pylist()
         n_words, n_removed, out = [], [], []
         for k, t in enumerate(texts):
             split = t.split()
             n_words.append(len(split))
+            begin = np.zeros(0, np.int32)
             if lists[k].is_valid:
-                begin = np.concatenate([v.values.to_numpy() for v in lists[k].values])
+                tags, runs = (lists[k].values.field(c) for c in ("tag", "begin"))
+                mine = np.flatnonzero(tags.to_numpy() == own[k]).tolist()
+                begin = np.concatenate([begin, *[runs[m].values.to_numpy() for m in mine]])
+            if len(begin):
                 turn = np.zeros(len(split) + 1, np.int64)
                 np.add.at(turn, begin, 1)
                 np.add.at(turn, begin + WINDOW, -1)
@@ -262,28 +289,28 @@ def _cut(batches: Iterator[pa.RecordBatch], text_out: bool) -> Iterator[pa.Recor
 def remove_shared(docs: DataFrame, text_out: bool = True) -> DataFrame:
     """``doc_id, n_words, n_removed`` and ``kept_text`` (or ``kept_sha256``) of each row."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text"),
-                       F.xxhash64(whole("text")).alias("tag"))
+    if dict(docs.dtypes)["doc_id"] != "bigint":  # else left alone: a cast keeps exchanges from being shared
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    # the tag tells rows with equal ids apart
+    rows = docs.select("doc_id", whole("text").alias("text"), F.hash(whole("text")).alias("tag"))
     apart, rows = rows.where("doc_id is null"), rows.where("doc_id is not null")
-    blobs = rows.mapInArrow(_minimizers(parts), "shard int, known boolean, blob binary")
+    blobs = rows.select("doc_id", "text").mapInArrow(_minimizers(parts), "shard int, known boolean, blob binary")
     shared = materialise(
-        blobs.repartition(parts, "shard").mapInArrow(_shared, "doc_id bigint, tag bigint, starts array<int>")
-        .groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("starts")).alias("starts")), "shared")
-    hit = rows.join(shared, ["doc_id", "tag"])
-    found = (hit.mapInArrow(_contents, "minimizer bigint, content binary, doc_id bigint")
-             .repartition(parts, "minimizer").mapInArrow(_search, "key binary, least array<bigint>"))
-    places = hit.mapInArrow(_places, "key binary, doc_id bigint, tag bigint, start int")
-    covered = (places.join(found, "key")
+        blobs.repartition(parts, "shard").mapInArrow(_shared, "doc_id bigint, start int")
+        .groupBy("doc_id").agg(F.collect_list("start").alias("starts")), "shared")
+    hit = rows.join(shared, "doc_id")
+    found = (hit.mapInArrow(_contents(SHARDS * parts), "shard int, blob binary")
+             .repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_search, "k1 bigint, k2 int, least array<bigint>"))
+    places = hit.mapInArrow(_places, "k1 bigint, k2 int, doc_id bigint, tag int, start int")
+    covered = (places.join(found, ["k1", "k2"])
                .select("doc_id", "tag", F.filter(F.transform("least", lambda m, i: F.when(
                    m < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull()).alias("begin"))
-               .groupBy("doc_id", "tag").agg(F.collect_list(F.when(F.size("begin") > 0, F.col("begin")))
-                                             .alias("covered"))
-               .withColumn("covered", F.when(F.size("covered") > 0, F.col("covered"))))
-    full = rows.join(covered, ["doc_id", "tag"], "left").select("doc_id", "text", "covered").unionByName(
-        apart.select("doc_id", "text", F.lit(None).cast("array<array<int>>").alias("covered")))
+               .groupBy("doc_id").agg(F.collect_list(F.when(F.size("begin") > 0, F.struct("tag", "begin")))
+                                      .alias("covered")))
+    full = rows.join(covered, "doc_id", "left").unionByName(apart, allowMissingColumns=True)
     name = "kept_text" if text_out else "kept_sha256"
-    return full.mapInArrow(lambda b: _cut(b, text_out),
-                           f"doc_id bigint, n_words bigint, n_removed bigint, {name} string")
+    return full.select("doc_id", "text", "tag", "covered").mapInArrow(
+        lambda b: _cut(b, text_out), f"doc_id bigint, n_words bigint, n_removed bigint, {name} string")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
