@@ -159,23 +159,64 @@ def generalised_eigen(lagged: np.ndarray, cov: np.ndarray, cutoff: float = 1e-10
     return lam, v * np.where(flip == 0, 1.0, flip)
 
 
-def fit_reversible(counts: np.ndarray, tol: float = 1e-12, max_iter: int = 100_000) -> np.ndarray:
-    """Maximum-likelihood reversible transition matrix (self-consistent iteration of the
-    detailed-balance flux X; see Prinz et al., J. Chem. Phys. 134, 174105, 2011)."""
-    both = counts + counts.T
-    row = counts.sum(axis=1)
-    flux = both / both.sum()
-    for _ in range(max_iter):
-        q = np.divide(row, flux.sum(axis=1), out=np.zeros_like(row, dtype=float),
-                      where=flux.sum(axis=1) > 0)
-        denom = q[:, None] + q[None, :]
-        new = np.divide(both, denom, out=np.zeros_like(both, dtype=float), where=denom > 0)
-        new /= new.sum()
-        done = np.abs(new - flux).max() < tol
-        flux = new
-        if done:
+def fit_reversible(counts: np.ndarray, tol: float = 1e-11, max_steps: int = 200) -> np.ndarray:
+    """Detailed-balance flux X of the maximum-likelihood reversible transition matrix.
+
+    At the maximum (Prinz et al., J. Chem. Phys. 134, 174105, 2011) the flux between two states is
+    ``(c_ij + c_ji) / (q_i + q_j)``. The logarithms of q maximise a concave function of the counts
+    that leave a state, so Newton steps with step halving converge whatever the exchange rates; each
+    state's equation holds to ``tol`` of its own counts. Raises if that is not reached, or if states
+    are connected in one direction only (then there is no maximum; trim the counts first).
+    """
+    counts = np.asarray(counts, float)
+    d = len(counts)
+    cross = counts + counts.T
+    np.fill_diagonal(cross, 0.0)
+    leaving = counts.sum(axis=1) - np.diag(counts)
+    group = _one_way_free_groups(counts)
+    same = (group[:, None] == group[None, :]).astype(float)
+    theta, scale = np.zeros(d), np.maximum(leaving, 1e-300)
+
+    def objective(t: np.ndarray) -> float:
+        return float(leaving @ t - 0.5 * (cross * np.logaddexp(t[:, None], t[None, :])).sum())
+
+    for _ in range(max_steps):
+        share = 1 / (1 + np.exp(np.clip(theta[None, :] - theta[:, None], -700, 700)))
+        gradient = leaving - (cross * share).sum(axis=1)
+        if (np.abs(gradient) <= tol * scale).all():
+            break
+        w = cross * share * (1 - share)
+        # one free constant per group of connected states: fixed by the group's mean
+        curvature = np.diag(w.sum(axis=1)) - w + same * max(w.max(), 1e-300)
+        step = np.linalg.solve(curvature + np.diag(leaving == 0).astype(float), gradient)
+        step -= (same @ step) / same.sum(axis=1)
+        step *= min(1.0, 10.0 / max(np.abs(step).max(), 1e-300))
+        here, size = objective(theta), 1.0
+        while size > 1e-10 and objective(theta + size * step) < here - 1e-12 * abs(here):
+            size /= 2
+        theta = theta + size * step
+    else:
+        # rounding sets the limit when counts differ by many orders of magnitude
+        if not (np.abs(gradient) <= 1e-7 * scale).all():
+            raise ValueError("the reversible maximum-likelihood fit did not converge")
+    q = np.exp(theta)
+    flux = (counts + counts.T) / (q[:, None] + q[None, :])
+    total = flux.sum()
+    return flux / total if total > 0 else flux
+
+
+def _one_way_free_groups(counts: np.ndarray) -> np.ndarray:
+    """A group number per state; raises where a group of connected states has no way back."""
+    d = len(counts)
+    reach = (counts > 0) | np.eye(d, dtype=bool)
+    while True:
+        wider = (reach.astype(np.float32) @ reach.astype(np.float32)) > 0
+        if (wider == reach).all():
             break
-    return flux
+        reach = wider
+    if (reach != reach.T).any():
+        raise ValueError("states are connected in one direction only; trim the counts first")
+    return reach.argmax(axis=1)
 
 
 def largest_connected(counts: np.ndarray, cutoff: float = 0.0) -> np.ndarray:

@@ -44,6 +44,8 @@ def _nearer(points: DataFrame, centers: np.ndarray, offset: int, fresh: bool) ->
         for batch in batches:
             y = matrix_of(batch.column("y"))
             if fresh:
+                if not np.isfinite(y).all():
+                    raise ValueError("a point has coordinates that are not finite; drop such frames first")
                 best = np.full(len(y), np.inf)
                 label = np.full(len(y), -1, dtype=np.int32)
             else:
@@ -139,7 +141,12 @@ def k_centers(points: DataFrame, k: int, first: tuple | None = None, seed: int =
         if passes % CUT_EVERY == 0:
             state = materialise(state, "kcenters")
         state = state.persist(StorageLevel.MEMORY_AND_DISK)
-    return Clustering(np.array(centers), keys, state.drop("y"))
+    # what is handed on is written; the cached passes are not needed any more
+    assigned = materialise(state.drop("y"), "kcenters")
+    for used in (state, older):
+        if used is not None:
+            used.unpersist()
+    return Clustering(np.array(centers), keys, assigned)
 
 
 def sweep(settings: DataFrame, run) -> dict:

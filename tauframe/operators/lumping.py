@@ -55,7 +55,7 @@ def simplex_search(fn, x0: np.ndarray, max_iter: int = 4000, tol: float = 1e-10)
         order = val.argsort(kind="stable")
         pts, val = pts[order], val[order]
         if val[-1] - val[0] < tol and np.abs(pts[1:] - pts[0]).max() < 1e-8:
-            break
+            return pts[0]
         mid = pts[:-1].mean(axis=0)
         trial = lambda t: mid + t * (pts[-1] - mid)
         reflected = trial(-1.0)
@@ -74,7 +74,7 @@ def simplex_search(fn, x0: np.ndarray, max_iter: int = 4000, tol: float = 1e-10)
             else:
                 pts[1:] = pts[0] + 0.5 * (pts[1:] - pts[0])
                 val[1:] = [fn(p) for p in pts[1:]]
-    return pts[val.argmin()]
+    raise ValueError(f"the search did not settle within {max_iter} steps")
 
 
 def memberships(flux: np.ndarray, n_macro: int, optimise: bool = True) -> np.ndarray:

@@ -161,24 +161,33 @@ def predict_markov(series: DataFrame, dt: float, tau: int = 10, end: int = 100,
 
 
 def comparison_table(series: DataFrame, predicted: DataFrame, markov: DataFrame | None, tau: int,
-                     every: int = 10, diagonal: bool = True,
-                     keys: Sequence[str] = ()) -> DataFrame:
+                     every: int = 10, diagonal: bool = True, keys: Sequence[str] = (),
+                     complete: bool = True, identity: bool = False) -> DataFrame:
     """Chapman-Kolmogorov test as rows ``(keys.., k, i, j, observed, memory, markov)``.
 
-    Everything is aligned on the integer step of the lag: ``every``-th steps of the observed
-    series, the memory prediction at the same step, and the Markov power whose lag it is
-    (NULL between powers)."""
+    Everything is aligned on the integer step of the lag: the memory prediction at each of its
+    steps, the Markov powers at the steps whose lag they are, and the observed series, thinned to
+    every ``every``-th step, NULL between. ``identity`` adds the matrix at lag 0 as step -1.
+    ``complete=False`` keeps only steps that the thinned series and the prediction share.
+    """
     on = [*keys, "k", "i", "j"]
     observed = every_nth(series.withColumnRenamed("k", "frame"), every).select(
         *keys, F.col("frame").alias("k"), "i", "j", F.col("p").alias("observed"))
-    out = observed.join(predicted.select(*keys, F.col("idx").alias("k"), "i", "j",
-                                         F.col("p").alias("memory")), on)
+    out = predicted.select(*keys, F.col("idx").alias("k"), "i", "j", F.col("p").alias("memory"))
+    if not complete:
+        out = out.join(observed, on)
     if markov is None:
         out = out.withColumn("markov", F.lit(None).cast("double"))
     else:
         step = (F.col("r") * tau - 1).alias("k")
         out = out.join(markov.where(F.col("r") > 0).select(
-            *keys, step, "i", "j", F.col("p").alias("markov")), on, "left")
+            *keys, step, "i", "j", F.col("p").alias("markov")), on, "full" if complete else "left")
+    if complete:
+        out = out.join(observed, on, "left")
+    if identity:
+        one = (F.col("i") == F.col("j")).cast("double")
+        cells = out.where(F.col("k") == 0).withColumn("k", F.lit(-1))
+        out = out.unionByName(cells.withColumns({c: one for c in ("observed", "memory", "markov")}))
     if diagonal:
         out = out.where(F.col("i") == F.col("j"))
     return out.select(*on, "observed", "memory", "markov")

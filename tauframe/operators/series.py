@@ -27,23 +27,27 @@ def lag_steps(first: float, last: float, step: float, timestep: float) -> tuple[
 def matrix_series(dtraj: DataFrame, n_lags: int, stride: int = 1, reversible: str | None = None,
                   keys: Sequence[str] = (), start: int | None = None) -> DataFrame:
     """Transition matrices at ``n_lags`` lags ``start, start + stride, ..`` (start = stride
-    unless given), zeros included."""
+    unless given), zeros included. A lag that no pair of frames has is an error when it is read."""
     keys = list(keys)
     start = stride if start is None else start
     counts = count_transitions(dtraj, [start + stride * k for k in range(n_lags)],
                                keys=keys, traj=[*keys, "traj_id"])
     tpm = transition_matrix(counts, [*keys, "lag"], reversible)
     step = ((F.col("lag") - start) / stride).cast("int")
-    return fill_cells(tpm.select(*keys, step.alias("k"), "i", "j", "p"), keys)
+    return fill_cells(tpm.select(*keys, step.alias("k"), "i", "j", "p"), keys, n_lags)
 
 
-def fill_cells(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Add absent cells as zeros, over the states that any step of the model has.
+def fill_cells(series: DataFrame, keys: Sequence[str] = (), n_lags: int | None = None) -> DataFrame:
+    """Add absent cells as zeros, over the states that any step of the model has. With ``n_lags``,
+    a model that lacks one of the steps 0 .. n_lags - 1 is an error.
 
     Done per model in one pass: a join against a grid of states would need the counts twice."""
     state = series.schema["i"].dataType
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        lacking = set(range(n_lags or 0)) - set(pdf["k"].unique().tolist())
+        if lacking:
+            raise ValueError(f"no pair of frames at lag steps {sorted(lacking)[:10]}")
         return dense.long_form(dense.tensor(pdf, "p")[0], dense.state_list(pdf), "p")
 
     return per_model(series, keys, run, [("k", T.IntegerType()), ("i", state), ("j", state),

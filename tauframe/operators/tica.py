@@ -78,13 +78,19 @@ class TicaModel:
 
 
 def fit_tica(features: DataFrame, lag: int, n_components: int = 10, kinetic_mapping: bool = True,
-             shrinkage: bool = False, column: str = "x") -> TicaModel:
-    """Fit on all frames. Only the d x d moments reach the driver, never frames."""
+             shrinkage: bool = False, column: str = "x", allow_fewer: bool = False) -> TicaModel:
+    """Fit on all frames. Only the d x d moments reach the driver, never frames.
+
+    Directions without variance carry no component. Features that span fewer components than asked
+    for are an error unless ``allow_fewer``; the model then holds as many as there are."""
     pdf = lagged_moments(features, [lag], column).toPandas()
     if pdf.empty:
         raise ValueError("no pair of frames is this lag apart")
     m = assemble(pdf)
     lam, v = solve(m, shrinkage)
+    if len(lam) < n_components:
+        if not allow_fewer:
+            raise ValueError(f"the features span {len(lam)} components, fewer than the {n_components} asked for")
     k = min(n_components, len(lam))
     return TicaModel(lag, m.mean, v[:, :k], lam[:k], kinetic_mapping)
 

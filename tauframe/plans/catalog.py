@@ -365,6 +365,16 @@ def comparison_table(spark, sf_dir):
     return rounded(table, "observed", "memory", "markov")
 
 
+@query
+def comparison_thinned(spark, sf_dir):
+    """Observed points thinned below the Markov step, both predictions in full, and lag 0."""
+    made = _saved_series(spark, sf_dir)
+    table = memory.comparison_table(
+        made, memory.predict_memory(made, _kernel(made), DT, tau=4, end=8),
+        memory.predict_markov(made, DT, tau=4, end=8), tau=4, every=2, diagonal=False, identity=True)
+    return rounded(table, "observed", "memory", "markov")
+
+
 @query
 def rmse_sweep(spark, sf_dir):
     made = _saved_series(spark, sf_dir)

@@ -646,6 +646,13 @@ SELECT (SELECT bool_and(abs(s - 1) < 1e-3) FROM (SELECT sum(p) AS s FROM ser GRO
     out["comparison_table"] = with_(*pre, CELLS, *s.ctes) + f"""SELECT k, c.i, c.j,
   {r6('o[c.pos]')} AS observed, {r6('f[c.pos]')} AS memory, {r6('y[c.pos]')} AS markov
   FROM ({picks}) CROSS JOIN cells c"""
+    thinned = " UNION ALL ".join(
+        f"SELECT {k}::INTEGER AS k, {f't{k}' if k % 2 == 0 else 'NULL::DOUBLE[]'} AS o, p{k} AS f, "
+        f"{at.get(k, 'NULL::DOUBLE[]')} AS y FROM {s.last}" for k in range(9))
+    out["comparison_thinned"] = with_(*pre, CELLS, *s.ctes) + f"""SELECT k, c.i, c.j,
+  {r6('o[c.pos]')} AS observed, {r6('f[c.pos]')} AS memory, {r6('y[c.pos]')} AS markov
+  FROM ({thinned}) CROSS JOIN cells c
+UNION ALL SELECT -1, c.i, c.j, (c.i = c.j)::DOUBLE, (c.i = c.j)::DOUBLE, (c.i = c.j)::DOUBLE FROM cells c"""
     out["rmse_sweep"] = rmse(False)
     out["rmse_from_flat"] = rmse(False)
     out["rmse_sweep_compat"] = rmse(True)

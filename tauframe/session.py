@@ -28,13 +28,20 @@ def build_session(app: str = "tauframe", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``.
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else the context's checkpoint
+    folder (``SparkContext.setCheckpointDir``).
 
-    Only when it is unset (tests, one-machine runs) a fresh local folder is made and
-    recorded in the session, so later calls share it.
+    Only when neither is set and all tasks run in this process (tests, one-machine runs), a fresh
+    local folder is made and recorded in the session, so later calls share it. On a cluster it is
+    an error: each executor would write to a disk of its own.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tauframe.scratch", None)
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = folder.get() if folder.isDefined() else spark.conf.get("tauframe.scratch", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tauframe-")
         spark.conf.set("tauframe.scratch", root)
     return root
@@ -48,9 +55,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
-    Cuts lineage without relying on executor-local blocks, so a lost executor costs one task.
+    Cuts lineage without relying on executor-local blocks, so a lost executor costs one task. The
+    table is deleted when the session's process ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)

@@ -42,11 +42,6 @@ def list_trajectories(spark: SparkSession, path: str, pattern: str = "*") -> Dat
     return files.select(file_number(F.col("path")).alias("traj_id"), "path")
 
 
-def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """Coordinates in the columnar layout ``(traj_id, frame, xyz)``, Parquet."""
-    return spark.read.parquet(path)
-
-
 def read_arrays(spark: SparkSession, path: str, pattern: str = "*.npy",
                 column: str = "x") -> DataFrame:
     """``(traj_id, frame, x ARRAY<DOUBLE>)`` from one 2-D array file per trajectory.

@@ -259,7 +259,9 @@ def test_rank_deficient_features(spark, walk):
     df, _ = walk
     double = df.withColumn("x", F.concat("x", F.array(F.col("x")[0] * 2)))
     a = tica.fit_tica(df, 2, 5).eigenvalues
-    b = tica.fit_tica(double, 2, 6).eigenvalues
+    with pytest.raises(ValueError, match="span 5"):
+        tica.fit_tica(double, 2, 6)
+    b = tica.fit_tica(double, 2, 6, allow_fewer=True).eigenvalues
     assert len(b) == 5 and np.allclose(a, b, atol=1e-6)
 
 
@@ -375,3 +377,45 @@ def test_sampled_structures_and_manifest(spark):
     assert len(got) == 2 and all(r.xyz[0] == 4.0 for r in got)
     assert [r.output_filename for r in sampling.manifest(picks).orderBy("output_filename").collect()
             ] == ["macro3_sample0.pdb", "macro3_sample1.pdb"]
+
+
+def test_reversible_fit_of_tree_counts_is_row_normalisation():
+    """Slow exchange along a chain: no cycle, so detailed balance binds nothing."""
+    from tauframe.functions import dense
+
+    counts = np.array([[1e6, 1, 0], [3, 1e6, 2], [0, 1, 1e6]])
+    flux = dense.fit_reversible(counts)
+    assert np.allclose(flux, flux.T, rtol=1e-12, atol=0)
+    got, want = flux / flux.sum(1, keepdims=True), counts / counts.sum(1, keepdims=True)
+    assert np.allclose(got[counts > 0], want[counts > 0], rtol=1e-9, atol=0)
+    with pytest.raises(ValueError, match="one direction"):
+        dense.fit_reversible(np.array([[5.0, 1.0], [0.0, 5.0]]))
+
+
+def test_ragged_and_null_vectors_are_errors():
+    import pyarrow as pa
+
+    from tauframe.functions.arrays import matrix_of
+
+    for rows in ([[1.0, 2.0], [3.0, 4.0, 5.0, 6.0]], [[1.0, None], [2.0, 3.0]], [[1.0], None]):
+        with pytest.raises(ValueError):
+            matrix_of(pa.array(rows, pa.list_(pa.float64())))
+    assert matrix_of(pa.array([[1.0, 2.0], [3.0, 4.0]]).slice(1)).tolist() == [[3.0, 4.0]]
+
+
+def test_lags_without_pairs_are_an_error(spark):
+    from tauframe.operators import series
+
+    d = spark.createDataFrame([(1, f, f % 2) for f in range(6)], "traj_id int, frame bigint, state int")
+    assert series.matrix_series(d, 4).count() > 0
+    with pytest.raises(Exception, match="no pair of frames"):
+        series.matrix_series(d, 10).collect()
+
+
+def test_points_that_are_not_finite_are_an_error(spark):
+    from tauframe.operators import clustering
+
+    points = spark.createDataFrame([(1, 0, [0.0, float("nan")]), (1, 1, [1.0, 2.0])],
+                                   "traj_id int, frame bigint, y array<double>")
+    with pytest.raises(Exception, match="not finite"):
+        clustering.k_centers(points, 2)

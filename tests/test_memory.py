@@ -137,10 +137,22 @@ def test_comparison_table(hidden_chain, chain):
     assert with_power == {9, 19, 29, 39, 49}
     first = [r for r in rows if r.k == 9]
     assert all(r.markov == pytest.approx(r.observed) == pytest.approx(r.memory) for r in first)
-    none = memory.comparison_table(chain, pred, None, tau=10, every=10, diagonal=False).collect()
+    none = memory.comparison_table(chain, pred, None, tau=10, every=10, diagonal=False,
+                                   complete=False).collect()
     assert len(none) == 6 * 16 and all(r.markov is None for r in none)
 
 
+def test_comparison_keeps_what_thinning_skips(hidden_chain, chain):
+    kernel = memory.memory_kernel(chain, 1.0, 60 - 1).cache()
+    pred = memory.predict_memory(chain, kernel, 1.0, 20, 50)
+    mark = memory.predict_markov(chain, 1.0, 20, 50)
+    rows = memory.comparison_table(chain, pred, mark, tau=20, every=10, identity=True).collect()
+    assert {r.k for r in rows} == set(range(-1, 51))
+    assert {r.k for r in rows if r.markov is not None} == {-1, 19, 39}
+    assert {r.k for r in rows if r.observed is not None} == {-1, 0, 10, 20, 30, 40, 50}
+    assert all(r.memory == 1 for r in rows if r.k == -1)
+
+
 def test_wrong_sizes(chain):
     kernel = memory.memory_kernel(chain, 1.0, 12).cache()
     for call in (lambda: memory.predict_memory(chain, kernel, 1.0, 1, 10),
@@ -242,7 +254,7 @@ def test_model_object(spark, hidden_chain, chain):
     k = dense.memory_kernel(hidden_chain, 0.1, 20)
     assert np.allclose(p, dense.propagate_memory(hidden_chain, k, 0.1, 5, 30))
     assert full.mean_integral_kernel(10).count() == 10 and full.kernel_table().count() == 320
-    assert full.comparison(5, 30, every=10).count() == 4 * 4
+    assert full.comparison(5, 30, every=10).where("observed is not null").count() == 4 * 4
     assert full.rmse(end=12).count() == 10
     assert full.derivative().count() == 59 * 16 and full.initial_rate().count() == 16
     with pytest.raises(ValueError, match="needed"):
