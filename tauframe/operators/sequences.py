@@ -4,7 +4,7 @@ Contract: a trajectory table has ``traj_id``, ``frame`` (BIGINT, 0-based, unique
 trajectory) and payload columns. A lagged pair never crosses trajectories, and none of these
 operators puts a whole trajectory into one task:
 
-* ``index_frames`` splits long trajectories into cells of the order key and adds prefix sums;
+* ``index_frames`` cuts large tables into cells of like size by their keys and adds prefix sums;
 * ``with_halo`` cuts every trajectory into chunks of fixed length, each carrying the few rows
   that follow it, so one shuffle on (trajectory, chunk) serves every lag of a sweep.
 """
@@ -16,93 +16,85 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tauframe.functions.hashing import digest_bucket
+from tauframe.session import materialise
 
 HOT_ROWS = 4_000_000     # longest run of rows ranked inside one task
-MAX_HOT = 50_000         # bound on the broadcast list of long trajectories
+SMALL_BYTES = 256 << 20  # tables estimated below this are ranked without looking at their rows
 CHUNK_ROWS = 1 << 16     # frames in one chunk of a trajectory
 RANK_ROWS = 1_000_000    # rows of one group ranked by one task
 
 
-def _ordinal(df: DataFrame, name: str) -> Column | None:
-    """A monotone number for an order column, or None if the type has no such number."""
-    kind = df.schema[name].dataType
-    col = F.col(name)
-    if isinstance(kind, T.NumericType):
-        return col.cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(col).cast("double")
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(col).cast("double")
-    if isinstance(kind, T.TimestampNTZType):
-        # built from calendar fields, so no time zone rule can reorder it
-        seconds = (F.unix_date(col.cast("date")) * 86400 + F.hour(col) * 3600
-                   + F.minute(col) * 60 + F.second(col))
-        return seconds.cast("double")
-    return None
-
-
 def ranked(df: DataFrame, group: Sequence[str], bucket: str, order: Sequence[Column | str],
-           name: str, split: Column | None = None, broadcast_offsets: bool = False) -> DataFrame:
+           name: str) -> DataFrame:
     """0-based rank of each row inside ``group``, computed per (group, bucket).
 
     ``bucket`` must be monotone in ``order``. A group of any size is spread over its buckets:
     rows are ranked inside their bucket and shifted by the number of rows in earlier buckets.
-    ``split`` limits the offset table to the rows that need one.
     """
     group = list(group)
     local = Window.partitionBy(*group, bucket).orderBy(*order)
     earlier = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy(
         bucket).rowsBetween(Window.unboundedPreceding, -1)
-    counted = df if split is None else df.where(split)
-    offsets = (counted.groupBy(*group, bucket).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = (df.groupBy(*group, bucket).agg(F.count(F.lit(1)).alias("_n"))
                .withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
                .drop("_n"))
-    if broadcast_offsets:
-        offsets = F.broadcast(offsets)
     return (df.withColumn("_rn", F.row_number().over(local) - 1)
             .join(offsets, [*group, bucket], "left")
             .withColumn(name, (F.col("_rn") + F.coalesce("_offset", F.lit(0))).cast("bigint"))
             .drop("_rn", "_offset"))
 
 
+def cells(df: DataFrame, traj: str, order_by: Sequence[str], payload: Sequence[str | Column],
+          n_cells: int) -> DataFrame:
+    """``(traj_id, _o0, .., _tie, *payload, _cell)``, saved: rows range-partitioned by trajectory and
+    full order key, so cells hold like numbers of rows whatever the keys look like (outliers, ties
+    in the first key, strings). A hash of the row splits ties of the whole key."""
+    keys = [F.col(c).alias(f"_o{k}") for k, c in enumerate(order_by)]
+    rows = df.select(F.col(traj).alias("traj_id"), *keys, *payload)
+    hashed = [f.name for f in rows.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    rows = rows.withColumn("_tie", F.xxhash64(*hashed))
+    order = ["traj_id", *(f"_o{k}" for k in range(len(order_by))), "_tie"]
+    return materialise(rows.repartitionByRange(n_cells, *order)
+                       .withColumn("_cell", F.spark_partition_id()), "cells")
+
+
+def missing_keys(df: DataFrame, traj: str, order_by: Sequence[str]) -> DataFrame:
+    """``(reason, n)``: rows that ``index_frames`` leaves out, by the first of their keys that is NULL."""
+    reason = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(c)) for c in (traj, *order_by)])
+    return (df.select(reason.alias("reason")).where("reason is not null")
+            .groupBy("reason").agg(F.count("*").alias("n")))
+
+
 def index_frames(df: DataFrame, traj: str, order_by: Sequence[str], payload: Sequence[str | Column],
                  hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """``(traj_id, frame, *payload)``: position of every row inside its trajectory.
 
-    A row count (no column data is read for it) decides the plan. Up to ``hot_rows`` rows, no
-    trajectory can be too long for one task. Beyond, trajectories longer than ``hot_rows`` are
-    cut into cells of their first order column, so one that holds a third of the table is
-    ranked by many tasks. The list of long trajectories is broadcast: raising the threshold
-    with the table size keeps it below ``MAX_HOT`` rows. ``hot_rows=None`` skips the count and
-    the splitting. Rows without a trajectory or an order key are left out.
+    Tables that the planner estimates below ``SMALL_BYTES`` hold no trajectory too long for a task:
+    one shuffle, and no job while the plan is built. Larger ones are counted; above ``hot_rows``
+    rows they are cut into ``cells`` of about that many rows, ranked cell by cell and shifted by
+    what earlier cells hold, so a trajectory with a third of the table is ranked by many tasks.
+    ``hot_rows=None`` never cuts; a smaller ``hot_rows`` than the default always counts. Rows
+    without a trajectory or an order key are left out (``missing_keys`` counts them).
     """
     order_by = list(order_by)
     rows = df
     for name in (traj, *order_by):
         rows = rows.where(F.col(name).isNotNull())      # unlike dropna, this reaches the scan
-    first = _ordinal(df, order_by[0])
-    total = None if hot_rows is None or first is None else df.count()
-    if total is None or total <= hot_rows:
+    total = 0
+    if hot_rows is not None and (hot_rows < HOT_ROWS or _estimated_bytes(df) > SMALL_BYTES):
+        total = df.count()
+    if hot_rows is None or total <= hot_rows:
         by = Window.partitionBy(traj).orderBy(*order_by)
         frame = (F.row_number().over(by) - 1).cast("bigint")
         return rows.select(F.col(traj).alias("traj_id"), frame.alias("frame"), *payload)
+    saved = cells(rows, traj, order_by, payload, -(-total // hot_rows))
+    keys = [*(f"_o{k}" for k in range(len(order_by))), "_tie"]
+    return ranked(saved, ["traj_id"], "_cell", keys, "frame").select(
+        "traj_id", "frame", *[c for c in saved.columns if c not in ("traj_id", "_cell", *keys)])
+
 
-    # fewer than MAX_HOT trajectories can each hold more than 1/MAX_HOT of all rows
-    floor = max(hot_rows, total // MAX_HOT)
-    rows = rows.withColumn("_ord", first)
-    hot = (rows.groupBy(traj).agg(F.count(F.lit(1)).alias("_rows"),
-                                  F.min("_ord").alias("_lo"), F.max("_ord").alias("_hi"))
-           .where(F.col("_rows") > floor)
-           .select(traj, "_lo", "_hi", (F.ceil(F.col("_rows") / floor) * 4).alias("_cells")))
-    scale = (F.col("_ord") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * F.col("_cells")
-    placed = (rows.join(F.broadcast(hot), traj, "left")
-              .withColumn("_hot", F.col("_cells").isNotNull())
-              .withColumn("_cell", F.coalesce(F.floor(scale), F.lit(0)))
-              .drop("_lo", "_hi", "_cells"))
-    # at most 4 * (MAX_HOT + total / floor) <= 8 * MAX_HOT cells
-    out = ranked(placed, [traj], "_cell", order_by, "frame", split=F.col("_hot"),
-                 broadcast_offsets=True)
-    return out.select(F.col(traj).alias("traj_id"), "frame", *payload)
+def _estimated_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def hash_rank(df: DataFrame, group: Sequence[str], digest: Column, ties: Sequence[str],

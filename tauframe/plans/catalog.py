@@ -138,9 +138,18 @@ def frame_index_orders(spark, sf_dir):
 
 @query
 def frame_index_split(spark, sf_dir):
-    """The path for long trajectories: everything above 20 frames is split."""
+    """The path for long trajectories: the table is cut into cells of about 500 rows."""
     events = bind.table(spark, sf_dir, "events")
-    return sequences.index_frames(events, "user_id", ["ts", "event_id"], ["event_id"], hot_rows=20)
+    return sequences.index_frames(events, "user_id", ["ts", "event_id"], ["event_id"], hot_rows=500)
+
+
+@query
+def frames_left_out(spark, sf_dir):
+    """Rows of the orders, read through a nullable key, that have no place in a trajectory."""
+    orders = bind.table(spark, sf_dir, "orders").select(
+        F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey")).alias("traj"),
+        F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate")).alias("day"))
+    return sequences.missing_keys(orders, "traj", ["day"])
 
 
 @query

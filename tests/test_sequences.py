@@ -120,6 +120,29 @@ def test_split_index_equals_plain(spark, kind):
     assert "_cell" in split._jdf.queryExecution().analyzed().toString()
 
 
+@pytest.mark.parametrize("kind", ["outlier", "ties", "tiny range", "strings", "all equal"])
+def test_cells_are_of_like_size(spark, kind):
+    key = {"outlier": lambda k: 10.0 ** 12 if k == 0 else float(k), "ties": lambda k: float(k % 2),
+           "tiny range": lambda k: k * 1e-9, "strings": lambda k: f"key{k:05d}", "all equal": lambda k: 1.0}[kind]
+    df = spark.createDataFrame([(7, key(k), k) for k in range(4000)],
+                               f"user int, t {'string' if kind == 'strings' else 'double'}, id bigint")
+    order = ["t"] if kind == "all equal" else ["t", "id"]
+    sizes = [r["count"] for r in sequences.cells(df, "user", order, ["id"], 20).groupBy("_cell").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 2 * 200
+    frames = got(sequences.index_frames(df, "user", order, ["id"], hot_rows=200))
+    if kind == "all equal":
+        assert sorted(f for _, f, _ in frames) == list(range(4000))
+    else:
+        assert frames == got(sequences.index_frames(df, "user", order, ["id"], hot_rows=None))
+
+
+def test_small_tables_are_ranked_without_a_job(spark):
+    df = spark.range(1000).selectExpr("id % 10 as u", "id as t")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    sequences.index_frames(df, "u", ["t"], [])
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) == before
+
+
 def test_index_leaves_out_missing_keys(spark):
     df = spark.createDataFrame([(1, 5, "a"), (None, 6, "b"), (1, None, "c"), (1, 2, "d")],
                                "u int, t int, v string")
