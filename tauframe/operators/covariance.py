@@ -17,9 +17,13 @@ from tauframe.operators.sequences import CHUNK_ROWS, check_lags, with_halo
 
 
 def lagged_moments(features: DataFrame, lags: Sequence[int], column: str = "x",
-                   traj: Sequence[str] = ("traj_id",), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                   traj: Sequence[str] = ("traj_id",), chunk_rows: int = CHUNK_ROWS,
+                   shift: Sequence[float] | None = None) -> DataFrame:
     """``(lag, i, j, n, sx, sy, same, cross)`` over all pairs (x now, y = x ``lag`` later).
 
+    ``shift`` is subtracted from every vector first. Covariances do not depend on it, but a vector
+    near the data keeps their digits when means are large against the spread.
+
     ``same`` sums x_i x_j + y_i y_j, ``cross`` sums x_i y_j; ``sx``, ``sy`` (sums of x_i, y_i)
     and the pair count ``n`` repeat over j. Each task folds its rows into one d x d block per
     lag before anything is shuffled.
@@ -34,6 +38,8 @@ def lagged_moments(features: DataFrame, lags: Sequence[int], column: str = "x",
         acc: dict[int, list] = {}
         for block in sorted_blocks(batches, part, max(lags)):
             x = matrix_of(block.table["x"])
+            if shift is not None:
+                x = x - np.asarray(shift, float)
             for tau in lags:
                 src, dst = block.pairs(tau)
                 if not len(src):

@@ -83,10 +83,16 @@ def fit_tica(features: DataFrame, lag: int, n_components: int = 10, kinetic_mapp
 
     Directions without variance carry no component. Features that span fewer components than asked
     for are an error unless ``allow_fewer``; the model then holds as many as there are."""
-    pdf = lagged_moments(features, [lag], column).toPandas()
+    one = features.select(F.col(column).cast("array<double>").alias("x")).limit(1).collect()
+    if not one or one[0].x is None or None in one[0].x:
+        raise ValueError("no pair of frames is this lag apart" if not one else
+                         "a feature vector is NULL; drop such frames first")
+    shift = np.array(one[0].x)      # any vector of the data keeps the sums small
+    pdf = lagged_moments(features, [lag], column, shift=shift).toPandas()
     if pdf.empty:
         raise ValueError("no pair of frames is this lag apart")
     m = assemble(pdf)
+    m.mean = m.mean + shift
     lam, v = solve(m, shrinkage)
     if len(lam) < n_components:
         if not allow_fewer:

@@ -31,12 +31,13 @@ def general_number(col: Column | str) -> Column:
     return _general(F.col(col) if isinstance(col, str) else col)
 
 
-def write_tsv(df: DataFrame, path: str, general: bool = False) -> str:
-    """Tab-separated with a header; ``general`` prints DOUBLE columns as ``%g``."""
+def write_tsv(df: DataFrame, path: str, general: bool = False, mode: str = "errorifexists") -> str:
+    """Tab-separated with a header; ``general`` prints DOUBLE columns as ``%g``. Refuses a target
+    that exists unless ``mode`` says otherwise, as the other text writers do."""
     if general:
         df = df.select(*[general_number(n).alias(n) if t == "double" else F.col(n)
                          for n, t in df.dtypes])
-    df.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+    df.write.mode(mode).option("sep", "\t").option("header", True).csv(path)
     return path
 
 
@@ -45,17 +46,19 @@ def matrix_line(m: str = "m") -> Column:
     return F.concat_ws(" ", F.transform(m, lambda v: F.format_string("%.18e", v)))
 
 
-def write_matrix_text(flat: DataFrame, path: str) -> str:
+def write_matrix_text(flat: DataFrame, path: str, mode: str = "errorifexists") -> str:
     """A series ``(k, m)`` as whitespace text, one matrix per line, in step order. A series is
     a model table with one row per lag, hence the single file."""
     (flat.repartitionByRange(1, "k").sortWithinPartitions("k").select(matrix_line().alias("value"))
-     .write.mode("overwrite").text(path))
+     .write.mode(mode).text(path))
     return path
 
 
-def write_choices(draws: DataFrame, path: str) -> str:
-    """The trajectories of every resample, one folder per resample."""
-    (draws.repartition("boot_id").write.mode("overwrite").partitionBy("boot_id").parquet(path))
+def write_choices(draws: DataFrame, path: str, mode: str = "errorifexists", tasks: int = 8) -> str:
+    """The trajectories of every resample, one folder per resample, written by up to ``tasks``
+    tasks each."""
+    salt = F.pmod(F.hash("traj_id"), F.lit(tasks))
+    (draws.repartition(F.col("boot_id"), salt).write.mode(mode).partitionBy("boot_id").parquet(path))
     return path
 
 

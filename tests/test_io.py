@@ -128,3 +128,14 @@ def test_shared_dir_prefers_the_cluster_setting(spark):
     assert shared_dir(Session()) == "/shared/x"
     assert shared_dir(spark) == shared_dir(spark)
     assert scratch_path(spark, "a") != scratch_path(spark, "a")
+
+
+def test_text_writers_refuse_an_existing_target(spark, tmp_path):
+    flat = spark.createDataFrame([(0, [1.0, 2.0])], "k int, m array<double>")
+    draws = spark.createDataFrame([(0, 1, 1)], "boot_id int, traj_id int, weight bigint")
+    for name, write, df in (("t", sinks.write_tsv, draws), ("m", sinks.write_matrix_text, flat),
+                            ("c", sinks.write_choices, draws)):
+        write(df, str(tmp_path / name))
+        with pytest.raises(Exception, match="already exists"):
+            write(df, str(tmp_path / name))
+        write(df, str(tmp_path / name), mode="overwrite")

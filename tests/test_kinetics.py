@@ -419,3 +419,11 @@ def test_points_that_are_not_finite_are_an_error(spark):
                                    "traj_id int, frame bigint, y array<double>")
     with pytest.raises(Exception, match="not finite"):
         clustering.k_centers(points, 2)
+
+
+def test_far_off_means_keep_the_digits(spark, walk):
+    df, _ = walk
+    moved = df.withColumn("x", F.transform("x", lambda v: v + 1e7))
+    a, b = tica.fit_tica(df, 2, 3), tica.fit_tica(moved, 2, 3)
+    assert np.allclose(a.eigenvalues, b.eigenvalues, atol=1e-6)
+    assert np.allclose(a.mean + 1e7, b.mean, rtol=1e-12)
