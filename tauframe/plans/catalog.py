@@ -521,8 +521,22 @@ def sampled_structures(spark, sf_dir):
     frames = bind.vector_coordinates(spark, sf_dir)
     state = frames.select("traj_id", "frame", (F.col("vec_id") % 4).alias("state"))
     got = sampling.sampled_structures(frames, sampling.sample_states(state, 5))
-    return got.select("state", "sample_no", "traj_id", "frame", "vec_id",
-                      r6(F.col("xyz")[2]).alias("z0"))
+    # every coordinate, as one text per structure
+    return got.select("state", "sample_no", "traj_id", "frame", "vec_id", F.array_join(F.transform(
+        "xyz", lambda v: F.round(v * 1000).cast("int").cast("string")), " ").alias("xyz"))
+
+
+@query
+def structure_lines(spark, sf_dir):
+    """Every vector as the atom records of a structure file."""
+    frames = bind.vector_coordinates(spark, sf_dir)
+    serial = F.explode(F.sequence(F.lit(1), (F.size("xyz") / 3).cast("int")))
+    topology = frames.select(serial.alias("serial")).distinct().select(
+        "serial", F.concat(F.lit("A"), F.col("serial").cast("string")).alias("name"),
+        F.lit("MOL").alias("resname"), F.lit(1).alias("resid"))
+    named = frames.select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("output_filename"),
+                          "xyz")
+    return sinks.pdb_lines(named, topology)
 
 
 # -- features ------------------------------------------------------------------------------
@@ -544,7 +558,7 @@ def pair_distances(spark, sf_dir):
 def pair_distances_long(spark, sf_dir):
     """From one row per atom."""
     atoms = features.unpack_coordinates(bind.vector_coordinates(spark, sf_dir))
-    return rounded(features.distances_long(atoms, PAIRS[:9]), "d")
+    return rounded(features.distances_long(atoms, PAIRS), "d")
 
 
 @query
@@ -562,7 +576,7 @@ def leading_columns(spark, sf_dir):
 
 @query
 def lagged_moments(spark, sf_dir):
-    made = covariance.lagged_moments(_few_columns(spark, sf_dir), [1, 2])
+    made = covariance.lagged_moments(bind.vector_features(spark, sf_dir), [1, 2])
     return rounded(made, "sx", "sy", "same", "cross")
 
 

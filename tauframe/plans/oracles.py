@@ -702,22 +702,28 @@ UNION ALL SELECT -1, c.i, c.j, (c.i = c.j)::DOUBLE, (c.i = c.j)::DOUBLE, (c.i =
     md5(concat_ws('|', '0', traj_id, frame)), traj_id, frame) - 1)::INTEGER AS sample_no FROM ev)
   WHERE sample_no < 10"""
     out["sampled_structures"] = with_(VE) + f"""SELECT state, sample_no, traj_id, frame, vec_id,
-  {r6('x[3]')} AS z0 FROM (SELECT vec_id % 4 AS state, s::INTEGER AS sample_no, traj_id, frame,
+  array_to_string(list_transform(x[1:63], lambda v: round(v * 1000)::INT::VARCHAR), ' ') AS xyz
+  FROM (SELECT vec_id % 4 AS state, s::INTEGER AS sample_no, traj_id, frame,
     vec_id, x, row_number() OVER (PARTITION BY vec_id % 4, s
       ORDER BY {md5int('s', 'traj_id', 'frame')}, traj_id, frame) AS rn
     FROM ve CROSS JOIN (SELECT unnest(range(5)) AS s)) WHERE rn = 1"""
 
+    out["structure_lines"] = with_(VE) + """SELECT 'v' || vec_id AS output_filename, s AS serial,
+  printf('ATOM  %5d %-4s %3s A%4d    %8.3f%8.3f%8.3f  1.00  0.00', s, 'A' || s, 'MOL', 1,
+         x[3 * s - 2], x[3 * s - 1], x[3 * s]) AS line
+  FROM ve CROSS JOIN (SELECT unnest(range(1, 22))::INTEGER AS s)"""
+
     # features
     out["atom_pairs"] = """WITH a AS (SELECT DISTINCT (p_size - 1)::INTEGER AS atom FROM part)
 SELECT (row_number() OVER (ORDER BY x.atom, y.atom) - 1)::INTEGER AS feature_id, x.atom AS i,
   y.atom AS j FROM a x JOIN a y ON x.atom < y.atom"""
     out["pair_distances"] = distances(PAIRS)
-    out["pair_distances_long"] = distances(PAIRS[:9])
+    out["pair_distances_long"] = distances(PAIRS)
     out["selected_columns"] = with_(VE) + \
         f"SELECT vec_id, {r6('x[6]')} AS x0, {r6('x[1]')} AS x1, {r6('x[18]')} AS x2 FROM ve"
     out["leading_columns"] = with_(VE) + f"""SELECT vec_id, k::INTEGER AS pos, {r6('x[k + 1]')} AS v
   FROM ve CROSS JOIN (SELECT unnest(range(3)) AS k)"""
-    out["lagged_moments"] = with_(*moments([1, 2])) + f"""SELECT lag, i, j, n, {r6('sx')} AS sx,
+    out["lagged_moments"] = with_(*moments([1, 2], 64)) + f"""SELECT lag, i, j, n, {r6('sx')} AS sx,
   {r6('sy')} AS sy, {r6('same')} AS same, {r6('cross_')} AS "cross" FROM mo"""
     out["covariance_matrices"] = with_(*moments([2], 64)) + \
         f"SELECT lag, i, j, n, {r6('c0')} AS c0, {r6('ct')} AS ct FROM cv"
