@@ -240,6 +240,17 @@ def tpm_reversible_mle(spark, sf_dir):
     return rounded(counting.transition_matrix(counts, reversible="mle"), "p", "pi")
 
 
+@query
+def tpm_slow_mle(spark, sf_dir):
+    """States that change every tenth frame and only to a neighbour. Counts without cycles: the
+    reversible maximum is the plain row-normalised matrix."""
+    step = F.floor(F.col("frame") / 10) % 4
+    slow = bind.event_states(spark, sf_dir).select(
+        "traj_id", "frame", F.when(step == 3, F.lit(1)).otherwise(step).cast("int").alias("state"))
+    made = counting.transition_matrix(counting.count_transitions(slow, [1]), reversible="mle")
+    return rounded(made.select("i", "j", "p"), "p")
+
+
 @query
 def populations_transpose(spark, sf_dir):
     counts = counting.count_transitions(bind.event_states(spark, sf_dir), LAGS)

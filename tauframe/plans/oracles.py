@@ -649,6 +649,9 @@ SELECT (SELECT bool_and(abs(s - 1) < 1e-3) FROM (SELECT sum(p) AS s FROM ser GRO
     thinned = " UNION ALL ".join(
         f"SELECT {k}::INTEGER AS k, {f't{k}' if k % 2 == 0 else 'NULL::DOUBLE[]'} AS o, p{k} AS f, "
         f"{at.get(k, 'NULL::DOUBLE[]')} AS y FROM {s.last}" for k in range(9))
+    out["tpm_slow_mle"] = with_(EV, """sl AS (SELECT traj_id, frame,
+    CASE WHEN (frame // 10) % 4 = 3 THEN 1 ELSE (frame // 10) % 4 END::INTEGER AS state FROM ev)""",
+        *counts("sl", [1])) + f"""SELECT i, j, {r6('n / sum(n) OVER (PARTITION BY i)')} AS p FROM cnt"""
     out["frames_left_out"] = """SELECT CASE WHEN o_custkey % 7 = 0 THEN 'traj' ELSE 'day' END AS reason,
   count(*) AS n FROM orders WHERE o_custkey % 7 = 0 OR o_orderkey % 5 = 0 GROUP BY 1"""
     out["comparison_thinned"] = with_(*pre, CELLS, *s.ctes) + f"""SELECT k, c.i, c.j,
