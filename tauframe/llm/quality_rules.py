@@ -64,7 +64,7 @@ RULES = (
     Rule(0, "too_few_words", "n_words < 10"),
     Rule(1, "repeated_windows", "100 * n_repeat_words > 20 * n_words"),
     Rule(2, "symbols", "10 * n_symbols > n_words"),
-    Rule(3, "repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule(3, "repeated_lines", "2 * n_dup_lines > n_lines"),
     Rule(4, "word_length", "word_chars < 2 * n_words or word_chars > 15 * n_words"),
     Rule(5, "capitals", "100 * n_upper > 45 * word_chars"),
     Rule(6, "run_on", "n_longest > 1000"),
@@ -204,7 +204,7 @@ m AS (SELECT w.doc_id, t, len(w)::BIGINT AS n_words,
         coalesce(list_max(list_transform(w, lambda x: length(x))), 0)::BIGINT AS n_longest
       FROM w LEFT JOIN cov USING (doc_id)),
 bits AS (SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT
-        + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (10 * n_dup_lines > 3 * n_lines)::BIGINT
+        + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (2 * n_dup_lines > n_lines)::BIGINT
         + 16 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::BIGINT
         + 32 * (100 * n_upper > 45 * word_chars)::BIGINT + 64 * (n_longest > 1000)::BIGINT
         AS failed_bits FROM m)
