@@ -1,7 +1,7 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections.
 
-Leaves are paragraphs (lines); a line of several sentences is cut after each sentence, so that an
-edit touches a small branch. Concatenated leaves give back the text exactly. A section is a run of
+Leaves are paragraphs (lines); a line is cut after its punctuation marks, so that an edit touches a
+small branch. Concatenated leaves give back the text exactly. A section is a run of
 leaves that ends after a leaf whose digest starts with 0 or 1, so cuts follow content and an
 insertion moves no later section. Section digests are SHA-256 over their leaves' digests, and the
 root is SHA-256 over the sections' digests: equal roots mean equal texts.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tauframe.llm.text import settled, span, table, whole
 from tauframe.session import materialise
 
-CUT = "(?<=\n)|(?<=[.!?] )"
+CUT = "(?<=\n)|(?<=[.!?,;:|] )"
 SECTION_END = "[01]"
 
 
@@ -155,7 +155,7 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Leaves by a mark set after each cut, everything else as lists.
 _TREE = r"""list_transform(list_filter(string_split(regexp_replace(replace({t}, chr(10),
-  chr(10) || chr(1)), '([.!?] )', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> ''),
+  chr(10) || chr(1)), '([.!?,;:|] )', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> ''),
   lambda s: sha256(s))"""
 SQL = {"op4_document_fingerprints": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
