@@ -51,8 +51,9 @@ BYTE_PENALTY = 20 * SCALE
 TRUE_MARK = "\ud800"
 UNIT = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
-SLICE_CHARS = 2_000_000
-TABLE_UNITS = 400_000
+SLICE_CHARS = 600_000
+TABLE_UNITS = 150_000
+TABLE_FOUND = 10_000
 
 
 class Vocabulary:
@@ -303,6 +304,8 @@ class Encoder:
     def _others(self, unit: str, score: int, ids: tuple[int, ...]) -> list[tuple[int, tuple[int, ...]]]:
         """Other segmentations of a unit: ``(loss, ids)``, best first."""
         if unit not in self.found:
+            if len(self.found) >= TABLE_FOUND:
+                self.found = {}
             self.found[unit] = [(score - s, i) for s, i in search(self.vocab, unit, self.n) if i != ids]
         return self.found[unit]
 
