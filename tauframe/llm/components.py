@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from tauframe.session import materialise
 
 
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """A table of a few numbers per row, written in an eighth of the usual number of files."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialise(df.repartition(max(1, parts // 8)), label)
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, comp`` (the smallest node of the component) for each node of ``links`` (``a, b``).
 
@@ -16,26 +22,26 @@ def components(links: DataFrame) -> DataFrame:
     combined before the shuffle, so a node with very many links costs no task more than others;
     tables are cut from their history by writing them.
     """
-    edges = materialise(links.select("a", "b").where("a <> b").distinct(), "links")
+    edges = saved(links.select("a", "b").where("a <> b").distinct(), "links")
     found = None
     while not edges.isEmpty():
         low = (edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
                .groupBy("a").agg(F.min("b").alias("m"))
                .select(F.col("a").alias("node"), F.least("a", "m").alias("up")))
-        low = materialise(low, "pointers")
+        low = saved(low, "pointers")
         above = low.select(F.col("node").alias("up"), F.col("up").alias("upper"))
-        low = materialise(low.join(above, "up").select("node", F.col("upper").alias("up")), "pointers")
+        low = saved(low.join(above, "up").select("node", F.col("upper").alias("up")), "pointers")
         if found is None:
             found = low.select("node", F.col("up").alias("comp"))
         else:
             found = found.join(low.withColumnRenamed("node", "comp"), "comp", "left").select(
                 "node", F.coalesce("up", "comp").alias("comp"))
-        found = materialise(found, "components")
+        found = saved(found, "components")
         edges = (edges.join(low.select(F.col("node").alias("a"), F.col("up").alias("x")), "a")
                  .join(low.select(F.col("node").alias("b"), F.col("up").alias("y")), "b")
                  .where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
                  .distinct())
-        edges = materialise(edges, "links")
+        edges = saved(edges, "links")
     if found is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     return found

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tauframe.llm import tokens
-from tauframe.llm.components import components
+from tauframe.llm.components import components, saved
 from tauframe.llm.text import table
 from tauframe.session import materialise
 
@@ -313,7 +313,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .mapInArrow(_label, "bucket bigint, node bigint, label binary")
             .repartitionByRange(parts, *order).sortWithinPartitions(*order)
             .mapInArrow(_cut_runs, "run bigint, node bigint"))
-    links = materialise(
+    links = saved(
         runs.join(texts, "node").repartition(parts, "run").sortWithinPartitions("run", "node")
         .mapInArrow(_link_runs, "a bigint, b bigint"), "linked")
     comp = components(links)
@@ -331,7 +331,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def accept(found: DataFrame) -> bool:
         """Joins components by the links found; whether there were any."""
         nonlocal comp
-        found = materialise(found, "linked")
+        found = saved(found, "linked")
         if found.isEmpty():
             return False
         # components are the nodes of what has been found so far
@@ -341,7 +341,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .join(comp.alias("q"), F.col("b") == F.col("q.node"), "left").select(
                 "a", F.coalesce("q.comp", "b").alias("b")))
         fresh = joined.join(comp.select("node"), "node", "left_anti")
-        comp = materialise(
+        comp = saved(
             comp.join(joined.withColumnRenamed("comp", "up").withColumnRenamed("node", "comp"), "comp", "left")
             .select("node", F.coalesce("up", "comp").alias("comp")).unionByName(fresh), "components")
         return True
@@ -352,7 +352,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
+        pairs = saved(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         return accept(_confirmed(pairs, texts))
 
