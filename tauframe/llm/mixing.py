@@ -105,7 +105,9 @@ def assign(docs: DataFrame, carry: Sequence[str] = (), cut: bool = True, weights
     """
     digits = max(2, round(math.log(max(docs.count(), 1), 256)))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sizes = docs.select("doc_id", "source", word_count("text").alias("size"), key.alias("_key"),
+    # a source's name that is never null: rows stay where the window put them when offsets join
+    name = F.concat(F.when(F.col("source").isNull(), "0").otherwise("1"), F.coalesce("source", F.lit("")))
+    sizes = docs.select("doc_id", "source", name.alias("_name"), word_count("text").alias("size"), key.alias("_key"),
                         F.xxhash64(whole("text")).alias("_tie"),
                         F.struct(*carry).alias("_carry") if carry else F.lit(0).alias("_carry"))
     sizes = sizes.withColumn("_range", F.substring("_key", 1, digits))
@@ -116,14 +118,13 @@ def assign(docs: DataFrame, carry: Sequence[str] = (), cut: bool = True, weights
     targets = source_targets(ranges.select("source", F.col("n").alias("size")), weights, share, max_repeats)
     offsets = offsets.alias("o").join(
         targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select(
-        "o.source", "_range", "offset", "source_size", "place", "target")
-    inside = Window.partitionBy("source", "_range").orderBy("_key", "_tie")
+        F.concat(F.when(F.col("o.source").isNull(), "0").otherwise("1"), F.coalesce("o.source", F.lit("")))
+        .alias("_name"), "_range", "offset", "source_size", "place", "target")
+    inside = Window.partitionBy("_name", "_range").orderBy("_key", "_tie")
     queued = sizes.withColumn("_in", F.sum("size").over(
         inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
-    rows = queued.alias("q").join(
-        offsets.alias("o"), F.col("q.source").eqNullSafe(F.col("o.source"))
-        & (F.col("q._range") == F.col("o._range"))).select(
-        "q.doc_id", "q.source", "size", "source_size", "place", "target", "_carry",
+    rows = queued.join(offsets, ["_name", "_range"]).select(
+        "doc_id", "source", "size", "source_size", "place", "target", "_carry",
         (F.col("_in") + F.col("offset")).alias("_at"))
 
     def read(k: int) -> Column:

@@ -52,7 +52,7 @@ TRUE_MARK = "\ud800"
 UNIT = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SLICE_CHARS = 600_000
-TABLE_UNITS = 150_000
+TABLE_UNITS = 300_000
 TABLE_FOUND = 10_000
 
 
