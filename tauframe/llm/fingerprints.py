@@ -34,8 +34,9 @@ CUT = "(?<=\n)|(?<=[.!?,;:|] )"
 SECTION_END = "[01]"
 
 
-def with_fingerprint(df: DataFrame, text: str, name: str = "fingerprint") -> DataFrame:
-    """``df`` with the fingerprint of a text column."""
+def with_fingerprint(df: DataFrame, text: str, name: str = "fingerprint", settle: bool = True) -> DataFrame:
+    """``df`` with the fingerprint of a text column. ``settle`` keeps later filters from being
+    rewritten below it."""
     own = [c for c in df.columns if c != name]
     df = df.select(F.col(text).alias("_text"), F.struct(*own).alias("_row"))
     leaf = F.transform(F.filter(F.split(whole("_text"), CUT), lambda s: s != ""),
@@ -52,8 +53,8 @@ def with_fingerprint(df: DataFrame, text: str, name: str = "fingerprint") -> Dat
     body = F.zip_with("_node", "_part", lambda n, p: F.concat(
         F.substring(n, 1, 16), F.lit(":"),
         F.array_join(F.transform(p, lambda x: F.substring(x, 1, 8)), ",")))
-    return df.select(*[F.col(f"_row.`{c}`") for c in own], settled(F.array_join(F.concat(
-        F.array(F.sha2(F.array_join("_node", ""), 256)), body), "/")).alias(name))
+    made = F.array_join(F.concat(F.array(F.sha2(F.array_join("_node", ""), 256)), body), "/")
+    return df.select(*[F.col(f"_row.`{c}`") for c in own], (settled(made) if settle else made).alias(name))
 
 
 def root(fingerprint: Column) -> Column:
@@ -122,7 +123,8 @@ def pair_with_next(docs: DataFrame) -> DataFrame:
     """``doc_id, text, fingerprint, beginning, next_fingerprint`` for each row of ``docs``."""
     # rows without an id apart, so that both uses below have the same filter and share one exchange
     texts = docs.select("doc_id", whole("text").alias("text"))
-    apart, rows = (with_fingerprint(texts.where(f"doc_id is {x}"), "text") for x in ("null", "not null"))
+    apart, rows = (with_fingerprint(texts.where(f"doc_id is {x}"), "text", settle=False)
+                   for x in ("null", "not null"))
     wanted = (docs.select("doc_id", F.floor(F.char_length(whole("text")) / 4).cast("int").alias("k"))
               .groupBy("doc_id").agg(F.max("k").alias("k"))
               .join(next_ids(docs), F.col("doc_id") == F.col("id"))
