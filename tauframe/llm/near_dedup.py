@@ -13,15 +13,18 @@ Components need no pair within a component twice, so candidates are confirmed in
    ``RUN`` nodes, which share one node with the next run, and each run is linked inside one task;
 2. each component in a bucket sends one delegate; delegates next to each other in the sorted order
    are confirmed, until nothing more is joined;
-3. the nodes of buckets that still hold several components come together with their texts; all
-   signatures of different components are compared, and every pair agreeing in ``LEAST_AGREE`` values
-   or more (a link agrees in fewer with probability under 1e-6) is confirmed. Only links leave a task.
-
-Depth adapts to the region: for step 3, a bucket of more than ``DENSE`` nodes is split by further
-signature values until its parts are smaller; there a link meets with the probability of the deeper
-prefix, or through the neighbours of step 2. No partner or candidate is dropped. Texts travel for candidates only. What gathers by key is bounded:
-runs by ``RUN``, buckets by ``DENSE``, delegates by components per bucket; everything else is
-combined before its shuffle.
+3. the nodes of buckets of at most ``DENSE`` nodes that still hold several components come together
+   with their texts; all signatures of different components are compared, and every pair agreeing in
+   ``LEAST_AGREE`` values or more (a link agrees in fewer with probability under 1e-6) is confirmed.
+   Only links leave a task;
+4. in larger buckets every node outside the largest component is compared likewise with all other
+   components of the whole bucket, in cells of two blocks of about ``BLOCK`` nodes. Pairs that met in
+   a bucket of an earlier tree are left to it.
+
+So a link meets with the probability of ``MIN_DEPTH`` values everywhere. No partner or candidate is
+dropped. The work of step 4 is the nodes outside the largest component times the bucket. Texts travel
+for candidates only. What gathers by key is bounded: runs by ``RUN``, buckets by ``DENSE``, cells by
+two blocks, delegates by components per bucket; everything else is combined before its shuffle.
 
 Defined results: fewer than 5 words are one shingle; no words (or a null text) have an empty set and
 are linked with nothing. Rows sharing an id are one document. A row with a null id is linked with
@@ -51,6 +54,7 @@ HASHES = TREES * MIN_DEPTH
 LABEL = 6
 RUN = 256
 DENSE = 8192
+BLOCK = 4096
 LEAST_AGREE = 51
 _FACTORS = tokens.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -258,18 +262,41 @@ def _link_mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _deepen(depth: int):
-    """Buckets of dense regions by ``depth`` values of the tree they belong to."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                sig, trees = _matrix(batch.column("sig")), batch.column("bucket").to_numpy() & 31
-                keys = np.zeros(batch.num_rows, np.int64)
-                for t in np.unique(trees).tolist():
-                    rows = np.flatnonzero(trees == t)
-                    keys[rows] = _bucket(_tree_values(sig[rows], t, depth), t)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("node")], ["bucket", "node"])
-    return run
+def _met_before(sig: np.ndarray, one: np.ndarray, tree: int) -> np.ndarray:
+    """Which rows share a bucket with ``one`` in a tree before ``tree``."""
+    alike = (sig[:, :tree * MIN_DEPTH] == one[:tree * MIN_DEPTH]).reshape(len(sig), tree, MIN_DEPTH)
+    return alike.all(2).any(1)
+
+
+def _link_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between a cell's guests and its hosts of other components."""
+    for group in _groups(batches, "cell"):
+        sig, node = _matrix(group.column("sig")), group.column("node").to_numpy()
+        _, comp = np.unique(group.column("comp").to_numpy(), return_inverse=True)
+        guest, minor = (np.array(group.column(c).to_pylist(), bool) for c in ("guest", "minor"))
+        bucket, hosts = group.column("bucket").to_numpy(), np.flatnonzero(~guest)
+        texts, sets, union, found = group.column("text"), {}, _Sets(int(comp.max()) + 1), []
+
+        def shingles(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_sets([texts[i].as_py().encode()])[0]
+            return sets[i]
+
+        for i in np.flatnonzero(guest).tolist():
+            # two nodes outside the largest component are guest and host once
+            others = hosts[(comp[hosts] != comp[i]) & (bucket[hosts] == bucket[i])
+                           & (~minor[hosts] | (node[hosts] > node[i]))]
+            agree = (sig[others] == sig[i]).sum(1)
+            others, agree = others[agree >= LEAST_AGREE], agree[agree >= LEAST_AGREE]
+            fresh = ~_met_before(sig[others], sig[i], int(bucket[i]) & 31)
+            others, agree = others[fresh], agree[fresh]
+            for k in np.argsort(-agree, kind="stable").tolist():  # likeliest first
+                j = int(others[k])
+                if union.top(comp[i]) != union.top(comp[j]) and linked(shingles(i), shingles(j)):
+                    union.join(int(comp[i]), int(comp[j]))
+                    found.append((int(node[i]), int(node[j])))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -288,18 +315,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = materialise(
         signed.join(sets, (signed["set_key"] == sets["set_key"]) & (F.col("doc_id") == F.col("node")))
         .select("node", "sig").dropDuplicates(["node"]), "nodes")
-    def crowd(planted: DataFrame) -> DataFrame:
-        return materialise(planted.withColumn("n", F.count("*").over(Window.partitionBy("bucket")))
-                           .where("n > 1"), "buckets")
-
-    met, depth = crowd(nodes.mapInArrow(_plant, "bucket bigint, node bigint")), MIN_DEPTH
-    fine, dense = met, met.where(F.col("n") > DENSE)
-    while depth < HASHES and not dense.isEmpty():
-        depth += 1
-        deeper = crowd(dense.join(nodes, "node").select("bucket", "node", "sig")
-                       .mapInArrow(_deepen(depth), "bucket bigint, node bigint"))
-        fine = fine.where(F.col("n") <= DENSE).unionByName(deeper)
-        dense = deeper.where(F.col("n") > DENSE)
+    met = materialise(nodes.mapInArrow(_plant, "bucket bigint, node bigint")
+                      .withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1"), "buckets")
 
     # 1. runs of the most crowded buckets
     home = met.groupBy("node").agg(F.max(F.struct("n", "bucket")).alias("h")).select("node", "h.bucket")
@@ -367,11 +384,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             break
 
     # 3. all pairs of different components that agree enough
-    mixed = (placed(fine).join(nodes, "node").join(texts.select("node", "text"), "node")
+    mixed = (placed(met.where(F.col("n") <= DENSE)).join(nodes, "node").join(texts.select("node", "text"), "node")
              .select("bucket", "node", "comp", "sig", "text")
              .repartition(parts, "bucket").sortWithinPartitions("bucket", "node"))
     accept(mixed.mapInArrow(_link_mixed, "a bigint, b bigint"))
 
+    # 4. the whole of dense buckets: nodes outside the largest component with all the others
+    dense = met.where(F.col("n") > DENSE)
+    if not dense.isEmpty():
+        wide = materialise(placed(dense), "dense")
+        shares = (wide.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
+                  .groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("most"), F.sum("k").alias("n")))
+        blocks = materialise(shares.select(
+            "bucket", F.col("most.comp").alias("largest"), F.ceil(F.col("n") / BLOCK).alias("across"),
+            F.ceil((F.col("n") - F.col("most.k")) / BLOCK).alias("down")), "blocks")
+        rows = wide.join(blocks, "bucket").withColumn("minor", F.col("comp") != F.col("largest"))
+
+        def seats(rows: DataFrame, guest: bool) -> DataFrame:
+            own, other = ("down", "across") if guest else ("across", "down")
+            places = rows.select(
+                "bucket", "node", "comp", "minor", F.lit(guest).alias("guest"),
+                F.pmod(F.xxhash64("node"), F.col(own)).alias("mine"),
+                F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias("theirs"))
+            cell = ("mine", "theirs") if guest else ("theirs", "mine")
+            return places.select("bucket", "node", "comp", "minor", "guest", F.xxhash64("bucket", *cell).alias("cell"))
+
+        cells = (seats(rows.where("minor"), True).unionByName(seats(rows, False))
+                 .join(nodes, "node").join(texts.select("node", "text"), "node")
+                 .select("cell", "bucket", "node", "comp", "minor", "guest", "sig", "text")
+                 .repartition(parts, "cell").sortWithinPartitions("cell", "node"))
+        accept(cells.mapInArrow(_link_cells, "a bigint, b bigint"))
+
     rows = signed.select("doc_id", "n_shingles", "set_key").join(sets, "set_key", "left").join(
         comp, "node", "left")
     same = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(

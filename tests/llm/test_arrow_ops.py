@@ -174,6 +174,25 @@ def test_small_runs_and_dense_buckets_change_nothing(spark, monkeypatch):
     check_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), rows)
 
 
+def test_links_at_the_fringe_of_a_dense_family(spark, monkeypatch):
+    """Each fringe text is linked with one member of a family in dense buckets, hardly above 3/4."""
+    monkeypatch.setattr(near_dedup, "RUN", 8)
+    monkeypatch.setattr(near_dedup, "DENSE", 120)
+    monkeypatch.setattr(near_dedup, "BLOCK", 90, raising=False)
+    rnd, rows = random.Random(8), []
+    for k in range(300):
+        w = [f"a{j}" for j in range(200)]
+        w[rnd.randrange(5, 150)] = f"m{k}"
+        rows.append((k, " ".join(w)))
+    for k in range(0, 40):
+        w = rows[7 * k][1].split()
+        rows.append((1000 + k, " ".join(w[:172] + [f"f{k}x{j}" for j in range(25)])))
+    links = sum(100 * len(a & b) >= 75 * len(a | b) for a in [shingles(t) for i, t in rows if i >= 1000]
+                for b in [shingles(t) for i, t in rows if i < 300])
+    assert 40 <= links < 2000  # nearly all other members are below 3/4
+    check_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), rows)
+
+
 def test_representatives_stay(docs):
     out = near_dedup.keep_representatives(docs)
     assert out.columns == docs.columns
