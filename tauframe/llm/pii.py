@@ -4,7 +4,9 @@ Base spans come from four fixed patterns with a check each (e-mail, IP address,
 number) and always count. Three wider generators (loose addresses, number runs, keyed secrets)
 propose further, overlapping candidates. Each candidate has seven categorical features of its form
 and its left context; trees are boosted on the counts per feature pattern over all documents (at
-most ``PATTERNS`` rows reach the driver), with the passed checks as labels. The threshold is
+most ``PATTERNS`` rows reach the driver). A candidate's label is that a base span covers it, or a
+rule of its form and left context (``_sure``: keyed random values, spelled-out addresses, numbers of
+7 to 15 digits after a phone word), for kinds that base spans cannot cover. The threshold is
 calibrated on a fifth of the documents. Candidates above it that overlap no base span, and no
 better candidate, are added.
 
@@ -51,10 +53,12 @@ WIDE = ("mail_like", "number", "secret")
 #: Kind of an added span, by generator.
 ADDED = {"mail_like": "email", "number": "phone", "secret": "secret"}
 ORDER = (*KINDS, "secret")
+#: A value of 16 characters or more that ends the match and has letters and three digits or more.
+RANDOM = "[=:] ?[\"']?(?=[0-9_+/-]*[A-Za-z])(?=(?:[^0-9]*[0-9]){3})[0-9A-Za-z_+/-]{16,}$"
 CONTEXT = 24
 CHUNK = 64
 FEATURES = ("digits", "separators", "lead", "luhn", "dotted", "context", "letters")
-PATTERNS = 5 * 3 * 4 * 2 * 2 * 4 * 3 * 2
+PATTERNS = 5 * 3 * 6 * 2 * 2 * 4 * 4 * 2
 FOLDS = 5
 
 
@@ -157,28 +161,49 @@ def _traits(s: Column, before: Column) -> list[Column]:
     d = _digits(s)
     n = F.char_length(d)
     dots = F.char_length(F.regexp_replace(s, "[^.]", ""))
-    words = lambda *w: F.lit(False) if not w else before.rlike("(?:" + "|".join(w) + ")[^a-z]*$")
+    link = "(?:[^a-z]+(?:number|no|nr|num|address|me|us|at|on|is|or))*"
+    words = lambda *w: before.rlike("(?:^|[^a-z])(?:" + "|".join(w) + f"){link}[^a-z]*$")
+    spelled = s.rlike(r"\(at\)|\[at\]")
     return [
         F.when(n < 9, 0).when(n < 12, 1).when(n < 16, 2).when(n < 20, 3).otherwise(4),
         F.when(~s.rlike("[ ().-]"), 0).when(~s.rlike("[ ()-]"), 1).otherwise(2),
-        F.when(s.startswith("+"), 1).when(F.contains(s, F.lit("@")), 2).when(s.rlike("[=:]"), 3).otherwise(0),
+        F.when(s.startswith("+"), 1).when(F.contains(s, F.lit("@")), 2).when(s.rlike("[=:]"), 3)
+        .when(spelled & s.rlike("[A-Za-z]$"), 4).when(s.rlike(" at ") & s.rlike(" dot |[(\\[]dot[)\\]]"), 5)
+        .otherwise(0),
         F.when(n.between(12, 19), luhn(d)).otherwise(False).cast("int"),
         F.when((dots == 3) & s.rlike("^[0-9.]+$"), _small_parts(s)).otherwise(False).cast("int"),
-        F.when(words("phone", "tel", "mobile", "fax", "call"), 1).when(words("card", "visa", "iban"), 2)
-        .when(words("mail", "contact", "write to"), 3).otherwise(0),
-        F.when(~s.rlike("[A-Za-z]"), 0).when(s.rlike("[0-9a-f]{16}"), 1).otherwise(2),
+        F.when(words("(?:tele|smart)?phone", "tel", "mobile", "cell", "fax", "call"), 1).when(words("card", "visa", "iban"), 2)
+        .when(words("e?mail", "contact", "write to"), 3).otherwise(0),
+        F.when(~s.rlike("[A-Za-z]"), 0).when(s.rlike("[0-9a-f]{16}|[0-9A-F]{16}"), 1)
+        .when(s.rlike(RANDOM), 3).otherwise(2),
     ]
 
 
+def _sure(generator: str, traits: dict[str, Column]) -> Column:
+    """Whether form and context alone settle that a candidate is personal data.
+
+    Base spans are found by their own patterns, so they never cover these kinds.
+    """
+    if generator == "secret":
+        return traits["letters"].isin(1, 3)
+    if generator == "mail_like":
+        return (traits["lead"] == 4) | ((traits["lead"] == 5) & (traits["context"] == 3))
+    return (traits["context"] == 1) & (traits["digits"] <= 2) & traits["lead"].isin(0, 1)
+
+
 def candidates(df: DataFrame) -> DataFrame:
-    """Adds ``_wide``: the wide generators' spans with features and whether a base span covers it."""
+    """Adds ``_wide``: the wide generators' spans with features and label."""
     def of(g: str) -> Column:
-        return F.transform(f"_at_{g}", lambda x: F.struct(
+        # form and context first, so that the label reads them and does not compute them again
+        seen = F.transform(f"_at_{g}", lambda x: F.struct(
+            x["start"].alias("start"), x["end"].alias("end"),
+            *[t.alias(f) for t, f in zip(_traits(x["s"], x["before"]), FEATURES)]))
+        return F.transform(seen, lambda x: F.struct(
             x["start"].alias("start"), x["end"].alias("end"), F.lit(ADDED[g]).alias("kind"),
             F.exists("_base", lambda b: (b["start"] <= x["start"] + 1) & (b["end"] >= x["end"] - 1)
-                     & (b["end"] > b["start"])).alias("passed"),
+                     & (b["end"] > b["start"])).alias("covered"),
             F.exists("_base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])).alias("met"),
-            *[t.alias(f) for t, f in zip(_traits(x["s"], x["before"]), FEATURES)]))
+            _sure(g, {f: x[f] for f in FEATURES}).alias("sure"), *[x[f].alias(f) for f in FEATURES]))
     return df.withColumn("_wide", F.concat(*[of(g) for g in WIDE]))
 
 
@@ -190,13 +215,15 @@ def prepare(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, precision: float = 0.95) -> boosting.Model | None:
     """Boosted trees from every candidate of every document, through counts per pattern.
 
-    Label: a base span covers the candidate to within a character. Documents whose id hashes to
+    Label: a base span covers the candidate to within a character, or it meets none and ``_sure``
+    holds. Documents whose id hashes to
     fold 0 of ``FOLDS`` calibrate; the others fit.
     """
     held = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0
     # the outer form: the inner one would put a filter on the list, computed anew, below everything
     rows = (prepare(docs.select("doc_id", "text")).select(held.alias("held"), F.inline_outer("_wide"))
             .where("digits is not null")
+            .withColumn("passed", F.expr("covered or (sure and not met)"))
             .groupBy(*FEATURES, "held").agg(F.count("*").alias("n"), F.count_if("passed").alias("k")))
     got = [(tuple(r[f] for f in FEATURES), r["held"], r["n"], r["k"]) for r in rows.collect()]
     return boosting.fit(FEATURES, got, precision=precision)

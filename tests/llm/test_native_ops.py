@@ -270,6 +270,31 @@ def test_model_adds_no_overlap_and_keeps_base(spark):
     assert "[PHONE]" in text and "[EMAIL]" in text and "a7@b.org" not in text
 
 
+def test_calibrated_model_adds_kinds_without_a_base_check(spark):
+    rnd = np.random.default_rng(4)
+    key = lambda n, of: "".join(rnd.choice(list(of), n))
+    rows, planted = [], {}
+    for k in range(400):
+        kind = k % 8
+        value = [f'token = "{key(40, "0123456789abcdef")}"', f"TOKEN = {key(40, '0123456789ABCDEF')}",
+                 f"api_key: a7{key(30, 'ghijKLMN0123456789')}", f"436 555 {k:04d}", f"5551{k:03d}",
+                 f"user{k}(at)host.org", f"order 12-34-56-78-{k:04d} and password: authentication",
+                 f"mail a{k}@b.org, card 4111 1111 1111 1111, hotel 5552{k:03d}, arrived at noon. then"][kind]
+        before = {3: "phone number: ", 4: "Call me at ", 5: "write to "}.get(kind, "some words ")
+        rows.append((k, f"{before}{value} and more"))
+        planted[k] = (kind, value)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = pii.fit(df)
+    assert np.isfinite(model.threshold)
+    added = {r.doc_id: [(x.kind, r.text[x.start:x.end]) for x in r.spans if x not in r.base_spans]
+             for r in pii.find(df, model).collect()}
+    for k, (kind, value) in planted.items():
+        want = {0: "secret", 1: "secret", 2: "secret", 3: "phone", 4: "phone", 5: "email"}.get(kind)
+        assert added[k] == ([(want, value.rstrip('"'))] if want else []), (k, rows[k])
+    for r in pii.redact_documents(df).where("doc_id % 8 < 6").collect():
+        assert planted[r.doc_id][1].rstrip('"') not in r.text
+
+
 def test_redaction_of_awkward_rows(docs):
     out = pii.redact_documents(docs)
     assert out.columns == docs.columns
