@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tauframe.llm import (
-    chat, fill_middle, fingerprints, licenses, mixing, near_dedup, pieces, pii, quality_rules, ranked_search,
+    chat, decontamination, fill_middle, fingerprints, licenses, mixing, near_dedup, pieces, pii, quality_rules, ranked_search,
     substring_dedup, warc,
 )
 
 MODULES = (quality_rules, fingerprints, mixing, chat, pii, pieces, warc, near_dedup, substring_dedup, licenses,
-           ranked_search, fill_middle)
+           ranked_search, decontamination, fill_middle)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
