@@ -16,17 +16,70 @@ from tauframe.operators.grouped import per_model
 from tauframe.operators.sequences import CHUNK_ROWS, check_lags, with_halo
 
 
-def lagged_moments(features: DataFrame, lags: Sequence[int], column: str = "x",
-                   traj: Sequence[str] = ("traj_id",), chunk_rows: int = CHUNK_ROWS,
-                   shift: Sequence[float] | None = None) -> DataFrame:
-    """``(lag, i, j, n, sx, sy, same, cross)`` over all pairs (x now, y = x ``lag`` later).
+FAN = 64    # merged partial results per step
+PARTIAL = "lag int, n bigint, mx array<double>, my array<double>, same array<double>, cross array<double>"
+
+
+@dataclass
+class Partial:
+    """Centred moments of some pairs (x, y): means, sums of products of deviations from them.
+
+    ``same`` is over x and over y added up, ``cross`` over x and y. Two partials add up exactly
+    (Chan, Golub, LeVeque, Am. Stat. 37, 242, 1983), so means of any size cost no digits."""
 
-    ``shift`` is subtracted from every vector first. Covariances do not depend on it, but a vector
-    near the data keeps their digits when means are large against the spread.
+    n: int
+    mx: np.ndarray
+    my: np.ndarray
+    same: np.ndarray
+    cross: np.ndarray
+
+    @classmethod
+    def of(cls, x: np.ndarray, y: np.ndarray) -> "Partial":
+        (mx, a), (my, b) = _centred(x), _centred(y)
+        return cls(len(x), mx, my, a.T @ a + b.T @ b, a.T @ b)
+
+    def __add__(self, other: "Partial") -> "Partial":
+        n = self.n + other.n
+        dx, dy, share = other.mx - self.mx, other.my - self.my, other.n / n
+        weight = self.n * share
+        return Partial(n, self.mx + share * dx, self.my + share * dy,
+                       self.same + other.same + weight * (np.outer(dx, dx) + np.outer(dy, dy)),
+                       self.cross + other.cross + weight * np.outer(dx, dy))
+
+
+def _centred(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mean = x.mean(axis=0)
+    rest = x - mean
+    left = rest.mean(axis=0)    # what rounding left of the mean
+    return mean + left, rest - left
+
+
+def _as_batch(made: dict[int, Partial]) -> Iterator[pa.RecordBatch]:
+    for tau, p in made.items():
+        yield pa.RecordBatch.from_pydict({
+            "lag": pa.array([tau], pa.int32()), "n": pa.array([p.n], pa.int64()), "mx": [p.mx.tolist()],
+            "my": [p.my.tolist()], "same": [p.same.reshape(-1).tolist()], "cross": [p.cross.reshape(-1).tolist()]})
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per lag; a task holds one partial result per lag and the row it reads."""
+    acc: dict[int, Partial] = {}
+    for batch in batches:
+        for k in range(batch.num_rows):
+            tau, n = batch.column("lag")[k].as_py(), batch.column("n")[k].as_py()
+            mx, my, same, cross = (batch.column(c)[k].values.to_numpy() for c in ("mx", "my", "same", "cross"))
+            p = Partial(n, mx, my, same.reshape(len(mx), -1), cross.reshape(len(mx), -1))
+            acc[tau] = acc[tau] + p if tau in acc else p
+    yield from _as_batch(acc)
+
+
+def lagged_moments(features: DataFrame, lags: Sequence[int], column: str = "x",
+                   traj: Sequence[str] = ("traj_id",), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``(lag, i, j, n, mx_i, my_i, mx_j, my_j, same, cross)`` over all pairs (x now, y = x ``lag``
+    later): means of both sides, and sums of products of deviations from these means.
 
-    ``same`` sums x_i x_j + y_i y_j, ``cross`` sums x_i y_j; ``sx``, ``sy`` (sums of x_i, y_i)
-    and the pair count ``n`` repeat over j. Each task folds its rows into one d x d block per
-    lag before anything is shuffled.
+    ``same`` sums dx_i dx_j + dy_i dy_j, ``cross`` sums dx_i dy_j. Each task folds its rows into one
+    d x d block per lag before anything is shuffled; blocks are added up in two steps.
     """
     lags = check_lags(lags)
     rows, part, at_home = with_halo(features, max(lags), traj, chunk_rows)
@@ -35,36 +88,33 @@ def lagged_moments(features: DataFrame, lags: Sequence[int], column: str = "x",
             .repartition(*part).sortWithinPartitions(*part, "frame"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc: dict[int, list] = {}
+        acc: dict[int, Partial] = {}
         for block in sorted_blocks(batches, part, max(lags)):
             x = matrix_of(block.table["x"])
-            if shift is not None:
-                x = x - np.asarray(shift, float)
             for tau in lags:
                 src, dst = block.pairs(tau)
-                if not len(src):
-                    continue
-                a, b = x[src], x[dst]
-                new = [len(src), a.sum(axis=0), b.sum(axis=0), a.T @ a + b.T @ b, a.T @ b]
-                old = acc.get(tau)
-                acc[tau] = new if old is None else [p + q for p, q in zip(old, new)]
-        for tau, (n, sx, sy, same, cross) in acc.items():
-            yield pa.RecordBatch.from_pydict({
-                "lag": pa.array([tau], pa.int32()), "n": pa.array([n], pa.int64()),
-                "sx": [sx.tolist()], "sy": [sy.tolist()],
-                "same": [same.reshape(-1).tolist()], "cross": [cross.reshape(-1).tolist()]})
-
-    partial = rows.mapInArrow(run, "lag int, n bigint, sx array<double>, sy array<double>, "
-                                   "same array<double>, cross array<double>")
-    width = F.size("sx")
-    cells = partial.select("lag", "n", "sx", "sy", "cross", width.alias("_d"),
-                           F.posexplode("same").alias("_pos", "same"))
-    i = F.floor(F.col("_pos") / F.col("_d")).cast("int")
-    cells = cells.select("lag", i.alias("i"), (F.col("_pos") % F.col("_d")).alias("j"), "n",
-                         F.col("sx")[i].alias("sx"), F.col("sy")[i].alias("sy"), "same",
-                         F.col("cross")[F.col("_pos")].alias("cross"))
-    return cells.groupBy("lag", "i", "j").agg(*[F.sum(c).alias(c) for c in
-                                                ("n", "sx", "sy", "same", "cross")])
+                if len(src):
+                    new = Partial.of(x[src], x[dst])
+                    acc[tau] = acc[tau] + new if tau in acc else new
+        yield from _as_batch(acc)
+
+    partial = rows.mapInArrow(run, PARTIAL)
+    some = partial.withColumn("_b", F.spark_partition_id() % FAN).repartition("lag", "_b").drop("_b")
+    whole = some.mapInArrow(_merged, PARTIAL).repartition("lag").mapInArrow(_merged, PARTIAL)
+    cells = whole.select("lag", "n", "mx", "my", "cross", F.posexplode("same").alias("_pos", "same"))
+    i = F.floor(F.col("_pos") / F.size("mx")).cast("int")
+    j = (F.col("_pos") % F.size("mx")).cast("int")
+    return cells.select("lag", i.alias("i"), j.alias("j"), "n", *[F.col(m)[at].alias(f"{m}_{name}") for name, at in
+                        (("i", i), ("j", j)) for m in ("mx", "my")], "same", F.col("cross")[F.col("_pos")].alias("cross"))
+
+
+def raw_sums(moments: DataFrame) -> DataFrame:
+    """``(lag, i, j, n, sx, sy, same, cross)``: plain sums of x_i, y_i and of products, from ``lagged_moments``."""
+    n, product = F.col("n"), lambda a, b: F.col("n") * F.col(a) * F.col(b)
+    return moments.select(
+        "lag", "i", "j", "n", (n * F.col("mx_i")).alias("sx"), (n * F.col("my_i")).alias("sy"),
+        (F.col("same") + product("mx_i", "mx_j") + product("my_i", "my_j")).alias("same"),
+        (F.col("cross") + product("mx_i", "my_j")).alias("cross"))
 
 
 @dataclass
@@ -83,10 +133,11 @@ def assemble(pdf: pd.DataFrame) -> Moments:
     pdf = pdf.sort_values(["i", "j"])
     grid = lambda c: pdf[c].to_numpy(dtype=float).reshape(d, d)
     n = int(pdf["n"].iloc[0])
-    mean = (grid("sx")[:, 0] + grid("sy")[:, 0]) / (2 * n)
-    outer = np.outer(mean, mean)
+    mx, my = grid("mx_i")[:, 0], grid("my_i")[:, 0]
+    apart = (mx - my) / 2       # both sides' means from their common one
+    outer = np.outer(apart, apart)
     cross = grid("cross")
-    return Moments(mean, grid("same") / (2 * n) - outer, (cross + cross.T) / (2 * n) - outer, n)
+    return Moments(mx - apart, grid("same") / (2 * n) + outer, (cross + cross.T) / (2 * n) - outer, n)
 
 
 def covariance_table(moments: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ group; independent models, and independent memory times of a sweep, run in paral
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tauframe.functions import dense
 from tauframe.operators.grouped import field_type, per_model
-from tauframe.operators.sequences import every_nth
+from tauframe.operators.sequences import estimated_bytes, every_nth
 from tauframe.operators.series import derivative, orient, unflatten
 from tauframe.session import materialise
 from tauframe.sources.readers import ingest_series
@@ -207,12 +207,11 @@ def rmse_sweep(series: DataFrame, kernel: DataFrame, dt: float, end: int = 100,
     for tau in taus:
         _check_window(tau, end)
     keys = list(keys)
-    both = _stack(series, kernel, keys).withColumn(
-        "tau", F.explode(F.array(*[F.lit(t) for t in taus])))
+    packed = _packed(series, kernel, keys)
+    rows = _with_taus(packed, taus)
+    kept = [packed.schema[k] for k in keys]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tau = int(pdf["tau"].iloc[0])
-        s, kern, _ = _unstack(pdf)
+    def errors(tau: int, s: np.ndarray, kern: np.ndarray) -> tuple[float, float, float]:
         if len(kern) - 1 < end:
             raise ValueError("kernel is shorter than the end point")
         if len(s) < end or len(s) <= pi_step:
@@ -225,15 +224,43 @@ def rmse_sweep(series: DataFrame, kernel: DataFrame, dt: float, end: int = 100,
             at = (label / dt - 1).astype(int)
         else:
             at = tau * np.arange(1, len(powers) + 1) - 1
-        rows = end + 1 if compat else end
-        return pd.DataFrame({
-            "time": [tau * dt],
-            "memory_rmse": [_percent(pi * (memory - s[:end]), rows)],
-            "markov_rmse": [_percent(pi * (powers - s[at]), len(powers))]})
-
-    return per_model(both, [*keys, "tau"], run, [("time", T.DoubleType()),
-                                                 ("memory_rmse", T.DoubleType()),
-                                                 ("markov_rmse", T.DoubleType())])
+        n = end + 1 if compat else end
+        return tau * dt, _percent(pi * (memory - s[:end]), n), _percent(pi * (powers - s[at]), len(powers))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            made = [errors(int(tau), np.reshape(s, (-1, d, d)), np.reshape(kern, (-1, d, d)))
+                    for tau, d, s, kern in zip(pdf["tau"], pdf["_d"], pdf["_s"], pdf["_kern"])]
+            yield pdf[[*keys, "tau"]].assign(**dict(zip(("time", "memory_rmse", "markov_rmse"), zip(*made))))
+
+    return rows.mapInPandas(run, T.StructType([
+        *kept, T.StructField("tau", T.IntegerType()),
+        *[T.StructField(c, T.DoubleType()) for c in ("time", "memory_rmse", "markov_rmse")]]))
+
+
+def _packed(series: DataFrame, kernel: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One written row per model: series and kernel as row-major numbers over the sorted states."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        s, kern, states = _unstack(pdf)
+        return pd.DataFrame({"_one": [0], "_d": [len(states)], "_s": [s.reshape(-1)], "_kern": [kern.reshape(-1)]})
+
+    numbers = T.ArrayType(T.DoubleType())
+    return materialise(per_model(_stack(series, kernel, keys), keys, pack, [
+        ("_one", T.IntegerType()), ("_d", T.IntegerType()), ("_s", numbers), ("_kern", numbers)]), "model")
+
+
+def _with_taus(packed: DataFrame, taus: Sequence[int]) -> DataFrame:
+    """Every model with every tau. The written models' size is known: small ones are broadcast to the
+    rows of tau by the planner's own choice, large ones are copied tau by tau through a shuffle."""
+    spark = packed.sparkSession
+    limit = int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+    if estimated_bytes(packed) > limit:
+        return packed.withColumn("tau", F.explode(F.array(*[F.lit(t) for t in taus]))).repartition("tau")
+    rows = spark.createDataFrame([(0, int(t)) for t in taus], "_one int, tau int").repartition("tau")
+    return rows.join(packed, "_one")
 
 
 def _percent(weighted: np.ndarray, rows: int) -> float:

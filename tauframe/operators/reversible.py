@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tauframe.functions import dense
 from tauframe.operators.grouped import field_type, per_model
+from tauframe.session import materialise
 
 
 def reversible_mle(counts: DataFrame, keys: Sequence[str] = ("lag",)) -> DataFrame:
@@ -43,6 +44,44 @@ def ergodic_states(counts: DataFrame, keys: Sequence[str] = ("lag",),
     return per_model(counts, keys, trim, [("state", state), ("new_state", T.IntegerType())])
 
 
+def common_states(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``(keys.., state)``: states that belong to the largest strongly connected set at every lag of
+    their model. What one lag loses may cut another lag's set, so the search is repeated on what
+    is left until it loses nothing. ``counts`` (keys.., lag, i, j, n) is read once per round and should
+    be a written table; one task holds the counts of one model at one lag."""
+    keys = list(keys)
+    lags = counts.groupBy(*keys).agg(F.count_distinct("lag").alias("_lags"))
+    everywhere = F.col("_in") == (F.col("_lags") if keys else F.lit(lags.first()[0]))
+    left, before = counts, None
+    while True:
+        found = ergodic_states(left, [*keys, "lag"]).groupBy(*keys, "state").agg(F.count("lag").alias("_in"))
+        found = found.join(lags, keys) if keys else found
+        kept = materialise(found.where(everywhere).select(*keys, "state"), "states")
+        size = kept.count()
+        if size == before:
+            return kept
+        if not size and not counts.isEmpty():
+            raise ValueError("no state is connected both ways at every lag")
+        left, before = between(counts, kept, keys), size
+
+
+def between(counts: DataFrame, kept: DataFrame, keys: Sequence[str] = ("lag",)) -> DataFrame:
+    """Counts between kept states, which keep their names."""
+    keys = list(keys)
+    for end in ("i", "j"):
+        counts = counts.join(kept.select(*keys, F.col("state").alias(end)), [*keys, end], "left_semi")
+    return counts
+
+
+def trimmed_states(counts: DataFrame, kept: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``(keys.., lag, state, n)``: states that ``kept`` lacks, and the counts each loses at each lag
+    (to, from and at it)."""
+    keys = list(keys)
+    ends = F.explode(F.array_distinct(F.array("i", "j"))).alias("state")
+    lost = counts.select(*keys, "lag", ends, "n").join(kept, [*keys, "state"], "left_anti")
+    return lost.groupBy(*keys, "lag", "state").agg(F.sum("n").alias("n"))
+
+
 def trim_counts(counts: DataFrame, keep: DataFrame, keys: Sequence[str] = ("lag",)) -> DataFrame:
     """Counts between kept states, in the new numbering."""
     keys = list(keys)

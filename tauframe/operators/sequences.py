@@ -81,7 +81,7 @@ def index_frames(df: DataFrame, traj: str, order_by: Sequence[str], payload: Seq
     for name in (traj, *order_by):
         rows = rows.where(F.col(name).isNotNull())      # unlike dropna, this reaches the scan
     total = 0
-    if hot_rows is not None and (hot_rows < HOT_ROWS or _estimated_bytes(df) > SMALL_BYTES):
+    if hot_rows is not None and (hot_rows < HOT_ROWS or estimated_bytes(df) > SMALL_BYTES):
         total = df.count()
     if hot_rows is None or total <= hot_rows:
         by = Window.partitionBy(traj).orderBy(*order_by)
@@ -93,7 +93,8 @@ def index_frames(df: DataFrame, traj: str, order_by: Sequence[str], payload: Seq
         "traj_id", "frame", *[c for c in saved.columns if c not in ("traj_id", "_cell", *keys)])
 
 
-def _estimated_bytes(df: DataFrame) -> int:
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's estimate; for a written table, the size of its files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 

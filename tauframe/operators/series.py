@@ -8,12 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tauframe.functions import dense
 from tauframe.operators.counting import count_transitions, transition_matrix
-from tauframe.operators.grouped import per_model
+from tauframe.operators.reversible import between, common_states
+from tauframe.session import materialise
 
 
 def lag_steps(first: float, last: float, step: float, timestep: float) -> tuple[int, int, int]:
@@ -25,33 +24,45 @@ def lag_steps(first: float, last: float, step: float, timestep: float) -> tuple[
 
 
 def matrix_series(dtraj: DataFrame, n_lags: int, stride: int = 1, reversible: str | None = None,
-                  keys: Sequence[str] = (), start: int | None = None) -> DataFrame:
+                  keys: Sequence[str] = (), start: int | None = None, trim: bool = False) -> DataFrame:
     """Transition matrices at ``n_lags`` lags ``start, start + stride, ..`` (start = stride
-    unless given), zeros included. A lag that no pair of frames has is an error when it is read."""
+    unless given), zeros included. A lag that no pair of frames has is an error when it is read.
+
+    ``trim`` keeps the states that are connected both ways at every lag (``trimmed_states`` reports
+    the others); without it, a reversible fit of one-way counts is an error."""
     keys = list(keys)
     start = stride if start is None else start
     counts = count_transitions(dtraj, [start + stride * k for k in range(n_lags)],
                                keys=keys, traj=[*keys, "traj_id"])
+    if trim:
+        counts = materialise(counts, "counts")
+        counts = between(counts, common_states(counts, keys), keys)
     tpm = transition_matrix(counts, [*keys, "lag"], reversible)
     step = ((F.col("lag") - start) / stride).cast("int")
     return fill_cells(tpm.select(*keys, step.alias("k"), "i", "j", "p"), keys, n_lags)
 
 
 def fill_cells(series: DataFrame, keys: Sequence[str] = (), n_lags: int | None = None) -> DataFrame:
-    """Add absent cells as zeros, over the states that any step of the model has. With ``n_lags``,
-    a model that lacks one of the steps 0 .. n_lags - 1 is an error.
-
-    Done per model in one pass: a join against a grid of states would need the counts twice."""
-    state = series.schema["i"].dataType
+    """Add absent cells as zeros, over the states that any step of the model has. A model that lacks
+    one of the steps 0 .. n_lags - 1 (up to its last one, unless given) is an error.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lacking = set(range(n_lags or 0)) - set(pdf["k"].unique().tolist())
-        if lacking:
-            raise ValueError(f"no pair of frames at lag steps {sorted(lacking)[:10]}")
-        return dense.long_form(dense.tensor(pdf, "p")[0], dense.state_list(pdf), "p")
-
-    return per_model(series, keys, run, [("k", T.IntegerType()), ("i", state), ("j", state),
-                                         ("p", T.DoubleType())])
+    The grid is built from one row per model that names its states and steps, so steps are filled in
+    parallel; both uses of ``series`` read the same columns, so its shuffle is shared."""
+    keys = list(keys)
+    # the filter is always true; it keeps the columns of both uses alike
+    names = series.where("p >= 0 or p < 0").groupBy(*keys).agg(
+        F.array_union(F.collect_set("i"), F.collect_set("j")).alias("_s"), F.collect_set("k").alias("_k"))
+    wanted = F.lit(n_lags) if n_lags else F.array_max("_k") + 1
+    lacking = F.array_except(F.sequence(F.lit(0), wanted - 1), "_k")
+    told = F.raise_error(F.concat(F.lit("no pair of frames at lag steps "), F.array_join(F.slice(lacking, 1, 10), ", ")))
+    steps = F.when(F.size("_k") == 0, F.array().cast("array<int>")).when(
+        F.size(lacking) > 0, told.cast("array<int>")).otherwise(F.col("_k"))
+    grid = names.select(*keys, "_s", F.explode(steps).alias("k")).repartition(*keys, "k")
+    grid = grid.select(*keys, "k", "_s", F.explode("_s").alias("i")).select(*keys, "k", "i", F.explode("_s").alias("j"))
+    g, s = grid.alias("g"), series.alias("s")
+    same = [F.col(f"g.{c}").eqNullSafe(F.col(f"s.{c}")) for c in keys] + [F.col(f"g.{c}") == F.col(f"s.{c}") for c in "kij"]
+    return g.join(s, same, "left").select(*[f"g.{c}" for c in keys], "g.k", "g.i", "g.j",
+                                          F.coalesce("s.p", F.lit(0.0)).alias("p"))
 
 
 def lag_time(k: str | Column, dt: float) -> Column:

@@ -13,6 +13,7 @@ from tauframe.functions.hashing import digest_int, key_digest
 from tauframe.operators.counting import count_transitions
 from tauframe.operators.grouped import field_type, per_model
 from tauframe.operators.sequences import hash_rank
+from tauframe.session import materialise
 
 
 def implied_timescales(counts: DataFrame, keys: Sequence[str] = ("lag",), n: int = 4) -> DataFrame:
@@ -66,32 +67,41 @@ def mean_first_passage(tpm: DataFrame, lag_time: float, keys: Sequence[str] = ()
 # -- resampling of trajectories ------------------------------------------------------------
 
 def number_trajectories(dtraj: DataFrame, seed: int = 0) -> DataFrame:
-    """``(traj_id, idx)``: trajectories numbered 0..N-1 in hash order."""
-    ids = dtraj.select("traj_id").distinct()
-    return hash_rank(ids, [], key_digest(seed, "traj_id"), ["traj_id"], "idx", ids.count())
+    """``(traj_id, idx)``: trajectories numbered 0..N-1 in hash order, as a written table, so that
+    what reads the numbers and what counts them do not number again."""
+    ids = materialise(dtraj.select("traj_id").distinct(), "ids")
+    return materialise(hash_rank(ids, [], key_digest(seed, "traj_id"), ["traj_id"], "idx", ids.count()), "ids")
 
 
-def bootstrap_draws(numbered: DataFrame, n_boot: int, seed: int = 0) -> DataFrame:
-    """``(boot_id, traj_id, weight)``: each resample draws as many trajectories, with
-    replacement, as there are; ``weight`` is how often one was drawn."""
-    total = numbered.select("traj_id").count()
+def _slots(numbered: DataFrame, n_boot: int, seed: int) -> DataFrame:
+    """``(boot_id, idx)``: one row per draw."""
+    total = numbered.count()
     slots = numbered.sparkSession.range(total).select(
         F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot_id"),
         F.col("id").alias("slot"))
-    picks = slots.select("boot_id", F.pmod(digest_int(key_digest(seed, "boot_id", "slot")),
-                                           F.lit(max(total, 1))).alias("idx"))
-    return (picks.groupBy("boot_id", "idx").agg(F.count(F.lit(1)).alias("weight"))
+    return slots.select("boot_id", F.pmod(digest_int(key_digest(seed, "boot_id", "slot")),
+                                          F.lit(max(total, 1))).alias("idx"))
+
+
+def bootstrap_draws(numbered: DataFrame, n_boot: int, seed: int = 0) -> DataFrame:
+    """``(boot_id, traj_id, weight)``: each resample draws as many trajectories, with
+    replacement, as there are; ``weight`` is how often one was drawn."""
+    return (_slots(numbered, n_boot, seed).groupBy("boot_id", "idx").agg(F.count(F.lit(1)).alias("weight"))
             .join(numbered, "idx").select("boot_id", "traj_id", "weight"))
 
 
 def bootstrap_counts(dtraj: DataFrame, lags: Sequence[int], draws: DataFrame) -> DataFrame:
     """``(boot_id, lag, i, j, n)``. Counts add up over trajectories, so frames are counted
     once per lag and every resample is a weighted sum of per-trajectory counts."""
-    per_traj = count_transitions(dtraj, lags, keys=["traj_id"])
     # one row per trajectory on the draw side: the join copies nothing, and the resamples are
     # unfolded inside the task that adds them up
     picks = draws.groupBy("traj_id").agg(
         F.collect_list(F.struct("boot_id", "weight")).alias("_picks"))
+    return _resampled(dtraj, lags, picks)
+
+
+def _resampled(dtraj: DataFrame, lags: Sequence[int], picks: DataFrame) -> DataFrame:
+    per_traj = count_transitions(dtraj, lags, keys=["traj_id"])
     return (per_traj.join(picks, "traj_id")
             .select("lag", "i", "j", "n", F.explode("_picks").alias("_pick"))
             .groupBy(F.col("_pick.boot_id").alias("boot_id"), "lag", "i", "j")
@@ -100,9 +110,13 @@ def bootstrap_counts(dtraj: DataFrame, lags: Sequence[int], draws: DataFrame) ->
 
 def bootstrap_timescales(dtraj: DataFrame, lags: Sequence[int], n_boot: int, n: int = 4,
                          seed: int = 0) -> DataFrame:
-    """``(boot_id, lag, k, eigenvalue, t)``."""
-    draws = bootstrap_draws(number_trajectories(dtraj, seed), n_boot, seed)
-    return implied_timescales(bootstrap_counts(dtraj, lags, draws), ["boot_id", "lag"], n)
+    """``(boot_id, lag, k, eigenvalue, t)``. A trajectory's draws of all resamples meet in one
+    shuffle by its number, without a table of weights between."""
+    numbered = number_trajectories(dtraj, seed)
+    picks = (_slots(numbered, n_boot, seed).groupBy("idx")
+             .agg(F.collect_list(F.struct("boot_id", F.lit(1).alias("weight"))).alias("_picks"))
+             .join(numbered, "idx").select("traj_id", "_picks"))
+    return implied_timescales(_resampled(dtraj, lags, picks), ["boot_id", "lag"], n)
 
 
 def timescale_summary(its: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tauframe.operators.sequences import index_frames
 
-ATOMS = 21   # a 64-wide vector read as 21 points in space
+ATOMS = 22   # a 64-wide vector, and two zeros, read as 22 points in space
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,5 +50,5 @@ def vector_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same vectors read as packed atom coordinates ``xyz`` (3 numbers per atom)."""
     return index_frames(table(spark, sf_dir, "embeddings"), "label", ["vec_id"],
-                        ["vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 3 * ATOMS)
-                         .alias("xyz")])
+                        ["vec_id", F.concat(F.col("embedding").cast("array<double>"),
+                                            F.array(F.lit(0.0), F.lit(0.0))).alias("xyz")])

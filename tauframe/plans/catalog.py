@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tauframe.operators import (clustering, counting, covariance, features, lumping, memory,
                                 reversible, sampling, sequences, series, spectrum, tica)
+from tauframe.operators.many_centers import Run, k_centers_many
 from tauframe.plans import bindings as bind
+from tauframe.plans import settings, sweep
 from tauframe.session import materialise, scratch_path
 from tauframe.sources import readers, sinks
 
@@ -55,10 +57,6 @@ def _distances(spark, sf_dir) -> DataFrame:
     return features.pair_distances(bind.vector_coordinates(spark, sf_dir), PAIRS)
 
 
-def _few_columns(spark, sf_dir) -> DataFrame:
-    return features.select_columns(bind.vector_features(spark, sf_dir), [0, 1, 2, 3])
-
-
 # -- sources and sinks ---------------------------------------------------------------------
 
 @query
@@ -108,6 +106,35 @@ def general_number_tsv(spark, sf_dir):
     return spark.read.schema("c_custkey bigint, c_acctbal string").csv(path, sep="\t", header=True)
 
 
+@query
+def frames_text_roundtrip(spark, sf_dir):
+    """Two numbers a frame, as text in several files per trajectory, read back by line."""
+    frames = bind.event_dihedrals(spark, sf_dir)
+    path = sinks.write_frame_text(frames, ["psi", "phi"], scratch_path(spark, "frames"), parts=7)
+    back = readers.read_frame_text(spark, path)
+    return back.select("traj_id", "frame", F.col("m")[0].alias("psi"), F.col("m")[1].alias("phi"))
+
+
+@query
+def trajectory_files(spark, sf_dir):
+    """The trajectories that a folder holds, by file listing."""
+    frames = bind.order_states(spark, sf_dir).select("traj_id", "frame", F.col("frame").alias("x"))
+    path = sinks.write_frame_text(frames.where("frame < 2"), ["x"], scratch_path(spark, "frames"), parts=3)
+    return readers.list_trajectories(spark, path, "*.txt").select("traj_id").distinct()
+
+
+@query
+def structure_files(spark, sf_dir):
+    """Sampled structures, one file each, read back."""
+    frames = bind.vector_coordinates(spark, sf_dir)
+    state = frames.select("traj_id", "frame", (F.col("vec_id") % 4).alias("state"))
+    samples = sampling.sample_states(state, 10)
+    name = F.concat(F.lit("macro"), F.col("state"), F.lit("_sample"), F.col("sample_no"), F.lit(".pdb"))
+    named = sampling.sampled_structures(frames, samples).select(name.alias("output_filename"), "xyz")
+    path = sinks.write_structures(named, _topology(frames), scratch_path(spark, "structures"))
+    return readers.read_topology(spark, path, ["output_filename"]).drop("resname", "resid")
+
+
 @query
 def manifest_tsv(spark, sf_dir):
     made = sampling.manifest(sampling.sample_states(bind.event_states(spark, sf_dir), 10))
@@ -537,17 +564,21 @@ def sampled_structures(spark, sf_dir):
         "xyz", lambda v: F.round(v * 1000).cast("int").cast("string")), " ").alias("xyz"))
 
 
+def _topology(frames: DataFrame) -> DataFrame:
+    """Names for the points of the vectors."""
+    serial = F.explode(F.sequence(F.lit(1), (F.size("xyz") / 3).cast("int")))
+    return frames.select(serial.alias("serial")).distinct().select(
+        "serial", F.concat(F.lit("A"), F.col("serial").cast("string")).alias("name"),
+        F.lit("MOL").alias("resname"), F.lit(1).alias("resid"))
+
+
 @query
 def structure_lines(spark, sf_dir):
     """Every vector as the atom records of a structure file."""
     frames = bind.vector_coordinates(spark, sf_dir)
-    serial = F.explode(F.sequence(F.lit(1), (F.size("xyz") / 3).cast("int")))
-    topology = frames.select(serial.alias("serial")).distinct().select(
-        "serial", F.concat(F.lit("A"), F.col("serial").cast("string")).alias("name"),
-        F.lit("MOL").alias("resname"), F.lit(1).alias("resid"))
     named = frames.select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("output_filename"),
                           "xyz")
-    return sinks.pdb_lines(named, topology)
+    return sinks.pdb_lines(named, _topology(frames))
 
 
 # -- features ------------------------------------------------------------------------------
@@ -588,7 +619,14 @@ def leading_columns(spark, sf_dir):
 @query
 def lagged_moments(spark, sf_dir):
     made = covariance.lagged_moments(bind.vector_features(spark, sf_dir), [1, 2])
-    return rounded(made, "sx", "sy", "same", "cross")
+    return rounded(covariance.raw_sums(made), "sx", "sy", "same", "cross")
+
+
+@query
+def lagged_comoments(spark, sf_dir):
+    """Means, and sums of products of deviations, as they are added up."""
+    made = covariance.lagged_moments(bind.vector_features(spark, sf_dir), [1, 5])
+    return rounded(made, "mx_i", "my_i", "mx_j", "my_j", "same", "cross")
 
 
 @query
@@ -599,7 +637,7 @@ def covariance_matrices(spark, sf_dir):
 
 @query
 def tica_timescales(spark, sf_dir):
-    made = covariance.lagged_moments(_few_columns(spark, sf_dir), [1, 2])
+    made = covariance.lagged_moments(bind.vector_features(spark, sf_dir), [1, 2])
     return rounded(tica.tica_timescales(made, 4), "eigenvalue", "t")
 
 
@@ -617,6 +655,20 @@ def feature_selection(spark, sf_dir):
     return rounded(tica.select_features(moments, [4, 8, 12, 16, 20, 24, 28]), "t")
 
 
+@query
+def feature_selection_small(spark, sf_dir):
+    """The first four of the 45 distances, from a seeded start."""
+    moments = covariance.lagged_moments(_distances(spark, sf_dir), [2, 4, 6])
+    return rounded(tica.select_features(moments, [1, 2, 3, 4]), "t")
+
+
+@query
+def feature_start(spark, sf_dir):
+    """The seeded start column of each lag: one of the features, without replacement."""
+    lags = counting.count_transitions(bind.event_states(spark, sf_dir), range(1, 7)).select("lag").distinct()
+    return lags.select("lag", *[tica.start_column_of(F.lit(seed), F.col("lag"), 45).alias(f"seed{seed}") for seed in (0, 1)])
+
+
 @query
 def feature_selection_pairs(spark, sf_dir):
     """The first two of all 64 columns, starting from column 0."""
@@ -626,7 +678,7 @@ def feature_selection_pairs(spark, sf_dir):
 
 @query
 def tica_projection_few(spark, sf_dir):
-    x = _few_columns(spark, sf_dir)
+    x = bind.vector_features(spark, sf_dir)
     y = tica.fit_tica(x, 1, n_components=2).transform(x)
     return y.select("vec_id", "traj_id", "frame", r6(F.col("y")[0]).alias("y0"),
                     r6(F.col("y")[1]).alias("y1"))
@@ -634,9 +686,9 @@ def tica_projection_few(spark, sf_dir):
 
 @query
 def timescale_curve(spark, sf_dir):
-    moments = covariance.lagged_moments(_few_columns(spark, sf_dir), [1, 2])
+    moments = materialise(covariance.lagged_moments(bind.vector_features(spark, sf_dir), [1, 2]), "moments")
     return rounded(tica.timescale_curve(tica.select_features(moments, [1, 2], first=0),
-                                        tica.tica_timescales(moments, 1), 4, 0.1), "t")
+                                        tica.tica_timescales(moments, 1), 64, 0.1), "t")
 
 
 # -- clustering and lumping ----------------------------------------------------------------
@@ -669,19 +721,32 @@ def nearest_center(spark, sf_dir):
 
 @query
 def clustering_sweep(spark, sf_dir):
-    """State sizes for each setting; equal settings are clustered once."""
-    y = _points(spark, sf_dir)
-    grid = spark.createDataFrame([("no_components", 2, 2, 6), ("no_components", 3, 3, 6),
-                                  ("no_clusters", 6, 3, 6), ("no_clusters", 9, 3, 9)],
-                                 "parameter string, value int, no_components int, no_clusters int")
-    runs = clustering.sweep(grid, lambda no_components, no_clusters: clustering.k_centers(
-        features.leading_columns(y, no_components), no_clusters))
-    out = None
-    for (name, value), got in runs.items():
-        part = (got.assigned.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
-                .select(F.lit(name).alias("parameter"), F.lit(value).alias("value"), "state", "n"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """State sizes for each setting: equal settings are clustered once, all in the same passes."""
+    grid = settings.one_at_a_time(spark, {"no_components": 3, "no_clusters": 6},
+                                  {"no_components": [2, 3, 5], "no_clusters": [6, 9, 12]})
+    runs = {r.run_id: Run("y", r.no_components, r.no_clusters) for r in grid.collect()}
+    found = k_centers_many(_points(spark, sf_dir), runs)
+    sizes = found.assigned.groupBy("run_id", "state").agg(F.count(F.lit(1)).alias("n"))
+    return grid.join(sizes, "run_id").select("parameter", "value", "state", "n")
+
+
+@query
+def clustering_settings(spark, sf_dir):
+    """Four named parameters, each varied with the others at their base: features selected, projected
+    and clustered for every setting, and the settings' cross-validated scores."""
+    grid = settings.one_at_a_time(
+        spark, {"no_features": 24, "no_components": 3, "no_clusters": 8, "tica_lagtime": 2},
+        {"no_features": [20, 24, 28], "no_components": [2, 3, 4], "no_clusters": [7, 8, 9], "tica_lagtime": [2, 4, 6]})
+    made = sweep.score_settings(_distances(spark, sf_dir), grid, lag=1, repeats=3, folds=5, n_timescales=2)
+    return rounded(made.summary, "test_q1", "test_median", "test_q3", "test_min", "test_max", "train_mean", "train_std")
+
+
+@query
+def settings_table(spark, sf_dir):
+    """The published settings by name with the run each one shares, and how many frames each reads."""
+    grid = settings.one_at_a_time(spark)
+    frames = bind.vector_features(spark, sf_dir).agg(F.count(F.lit(1)).alias("frames")).scalar()
+    return grid.withColumn("frames", frames)
 
 
 @query
@@ -690,6 +755,20 @@ def macrostates(spark, sf_dir):
     return rounded(lumping.lump_states(counts, 4), "membership")
 
 
+@query
+def macrostates_two(spark, sf_dir):
+    counts = counting.count_transitions(bind.event_microstates(spark, sf_dir), [1])
+    return rounded(lumping.lump_states(counts, 2), "membership")
+
+
+@query
+def macrostate_series_two(spark, sf_dir):
+    """The chain of ``macrostate_series`` with two macrostates."""
+    micro = materialise(bind.event_microstates(spark, sf_dir), "microstates")
+    lumped = lumping.lump_states(counting.count_transitions(micro, [1]), 2)
+    return rounded(series.matrix_series(lumping.apply_lumping(micro, lumped), 10, reversible="mle"), "p")
+
+
 @query
 def macrostate_series(spark, sf_dir):
     """Microstates -> lumping -> reversible matrices of the macrostates over a lag sweep."""
@@ -699,6 +778,30 @@ def macrostate_series(spark, sf_dir):
     return rounded(series.matrix_series(macro, 10, reversible="mle"), "p")
 
 
+def _one_way_states(spark, sf_dir):
+    """Three macrostates by a fixed rule, and states that have no way back: 8 is only left (first
+    frames), 9 only entered (last frames), 7 (third frames of some trajectories) has both ways at lag
+    1 alone."""
+    micro = bind.event_microstates(spark, sf_dir)
+    last = F.lead("frame").over(Window.partitionBy("traj_id").orderBy("frame")).isNull()
+    rule = F.when(F.col("state").endswith("0"), 0).when(F.col("state").endswith("3"), 2).otherwise(1)
+    return micro.select("traj_id", "frame", F.when(F.col("frame") == 0, 8).when(last, 9).when(
+        (F.col("frame") == 2) & (F.col("traj_id") % 3 == 0), 7).otherwise(rule).alias("state"))
+
+
+@query
+def macrostate_series_trimmed(spark, sf_dir):
+    """Reversible matrices over a lag sweep, on the states connected both ways at every lag."""
+    return rounded(series.matrix_series(_one_way_states(spark, sf_dir), 4, reversible="mle", trim=True), "p")
+
+
+@query
+def macrostates_trimmed(spark, sf_dir):
+    """What trimming leaves out, by lag and state."""
+    counts = materialise(counting.count_transitions(_one_way_states(spark, sf_dir), range(1, 5)), "counts")
+    return reversible.trimmed_states(counts, reversible.common_states(counts))
+
+
 @query
 def macrostate_map(spark, sf_dir):
     """The join half of lumping, with a fixed rule as the map."""

@@ -16,6 +16,8 @@ OD = """od AS (SELECT o_custkey AS traj_id, row_number() OVER (PARTITION BY o_cu
 VE = """ve AS (SELECT vec_id, label AS traj_id, row_number() OVER (PARTITION BY label
     ORDER BY vec_id) - 1 AS frame, embedding::DOUBLE[] AS x FROM embeddings)"""
 
+VC = """vc AS (SELECT vec_id, traj_id, frame, list_concat(x, [0.0, 0.0]) AS x FROM ve)"""
+
 
 def with_(*ctes: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(ctes) + "\n"
@@ -233,13 +235,16 @@ def passage(rows: str, keys: str, lag: float, d: int = 5, steps: int = 1500) ->
 
 def mle(values) -> list[str]:
     """``ml(lag, i, j, n, p, pi)`` for the 3 order states."""
-    d = 3
+    return [OD, *counts("od", values), "st AS (SELECT DISTINCT state AS s FROM od)", *mle_fit()]
+
+
+def mle_fit(d: int = 3) -> list[str]:
+    """``ml`` from ``cnt`` between the d states of ``st``, by fixed-point iteration."""
     row = lambda m, x: "(" + " + ".join(f"{m}[({x}) * {d} + {q + 1}]" for q in range(d)) + ")"
     step = (f"list_transform(range({d * d}), lambda x: (c[x + 1] + c[(x % {d}) * {d} + x // {d} + 1])"
             f" / ({row('c', f'x // {d}')} / {row('f', f'x // {d}')}"
             f" + {row('c', f'x % {d}')} / {row('f', f'x % {d}')}))")
-    return [OD, *counts("od", values), "st AS (SELECT DISTINCT state AS s FROM od)",
-            "cells AS (SELECT a.s AS i, b.s AS j, row_number() OVER (ORDER BY a.s, b.s) AS pos FROM st a CROSS JOIN st b)",
+    return ["cells AS (SELECT a.s AS i, b.s AS j, row_number() OVER (ORDER BY a.s, b.s) AS pos FROM st a CROSS JOIN st b)",
             """cm AS (SELECT l.lag, list(coalesce(n, 0)::DOUBLE ORDER BY c.pos) AS c FROM lags l
     CROSS JOIN cells c LEFT JOIN cnt ON cnt.lag = l.lag AND cnt.i = c.i AND cnt.j = c.j
     GROUP BY l.lag)""",
@@ -251,6 +256,24 @@ def mle(values) -> list[str]:
     {row('fl.f', f'(c.pos - 1) // {d}')} AS pi FROM fl CROSS JOIN cells c WHERE step = 400)"""]
 
 
+def one_way(n_lags: int) -> list[str]:
+    """``cnt`` of three macrostates and three states without a way back; ``st``: states in the
+    largest strongly connected set at every lag."""
+    return [MI, """ow AS (SELECT traj_id, frame, CASE WHEN frame = 0 THEN 8
+    WHEN frame = max(frame) OVER (PARTITION BY traj_id) THEN 9 WHEN frame = 2 AND traj_id % 3 = 0 THEN 7
+    WHEN state LIKE '%0' THEN 0 WHEN state LIKE '%3' THEN 2 ELSE 1 END::INTEGER AS state FROM mi)""",
+            *counts("ow", range(1, n_lags + 1)),
+            """rc AS (SELECT lag, i AS a, i AS b FROM cnt UNION SELECT lag, j, j FROM cnt
+    UNION SELECT rc.lag, rc.a, c.j FROM rc JOIN cnt c ON c.lag = rc.lag AND c.i = rc.b)""",
+            """mu AS (SELECT x.lag, x.a, min(x.b) AS comp FROM rc x
+    JOIN rc y ON y.lag = x.lag AND y.a = x.b AND y.b = x.a GROUP BY x.lag, x.a)""",
+            """we AS (SELECT lag, s, sum(n) AS w FROM (SELECT lag, i AS s, n FROM cnt UNION ALL SELECT lag, j, n FROM cnt)
+    GROUP BY lag, s)""",
+            """be AS (SELECT mu.lag, comp FROM mu JOIN we ON we.lag = mu.lag AND we.s = mu.a GROUP BY mu.lag, comp
+    QUALIFY row_number() OVER (PARTITION BY mu.lag ORDER BY sum(w) DESC, comp) = 1)""",
+            f"st AS (SELECT a AS s FROM mu JOIN be USING (lag, comp) GROUP BY a HAVING count(*) = {n_lags})"]
+
+
 def md5int(*parts: str) -> str:
     return f"('0x' || substr(md5(concat_ws('|', '0', {', '.join(parts)})), 1, 15))::BIGINT"
 
@@ -382,8 +405,8 @@ def scores(base: str = OD) -> list[str]:
     1 + (c - a * a) / (b - a * a) AS test_score FROM ab)"""]
 
 
-def moments(values, columns: int = 4) -> list[str]:
-    return [VE, lags(values),
+def moments(values, columns: int = 64, base: tuple = (VE,)) -> list[str]:
+    return [*base, lags(values),
             """pp AS (SELECT l.lag, a.x AS x, b.x AS y FROM ve a CROSS JOIN lags l
     JOIN ve b ON b.traj_id = a.traj_id AND b.frame = a.frame + l.lag)""",
             f"""mo AS (SELECT lag, i, j, count(*)::BIGINT AS n, sum(x[i + 1]) AS sx, sum(y[i + 1]) AS sy,
@@ -396,8 +419,7 @@ def moments(values, columns: int = 4) -> list[str]:
     FROM mo a JOIN mo b ON b.lag = a.lag AND b.i = a.j AND b.j = a.i)"""]
 
 
-def tica_sql() -> str:
-    d = 4
+def tica_sql(d: int = 64, n: int = 4) -> str:
     return with_(
         *moments([1, 2]),
         "cl AS (SELECT lag, list(c0 ORDER BY i, j) AS c0, list(ct ORDER BY i, j) AS ct FROM cv GROUP BY lag)",
@@ -405,11 +427,57 @@ def tica_sql() -> str:
         f"ba AS (SELECT lag, {mm('inv', 'ct', d)} AS a FROM cl JOIN ci USING (lag))",
         # adding the identity makes every eigenvalue non-negative and keeps their order
         f"bb AS (SELECT lag, {lin(d, (1, 'a'), (1, eye(d)))} AS b FROM ba)",
-        *top_eigenvalues("bb", "lag", d, d)) + f"""
+        *top_eigenvalues("bb", "lag", d, n)) + f"""
 SELECT lag, k::INTEGER AS k, {r6('mu - 1')} AS eigenvalue,
   {r6('CASE WHEN mu > 1 AND mu < 2 THEN -lag / ln(mu - 1) END')} AS t FROM eig"""
 
 
+def distance_vectors(pairs) -> tuple[str, str]:
+    """``ve`` with the distances of the given pairs as ``x``."""
+    listed = "[" + ", ".join(f"[{i}, {j}]" for i, j in pairs) + "]"
+    step = lambda c: f"pow(x[3 * q[1] + {c}] - x[3 * q[2] + {c}], 2)"
+    return VE.replace("ve AS", "vx AS"), f"""ve AS (SELECT vec_id, traj_id, frame, list_transform({listed},
+    lambda q: sqrt({step(1)} + {step(2)} + {step(3)})) AS x FROM vx)"""
+
+
+def greedy_selection(values, pairs, sizes: int) -> str:
+    """Features chosen one by one: what all chosen ones leave unexplained by elimination, times the
+    leading eigenvector of what they explain, found by repeated squaring."""
+    d = len(pairs)
+    base = distance_vectors(pairs)
+    at = lambda m, i, j: f"{m}[({i}) * {d} + ({j}) + 1]"
+    cells, line = f"range({d * d})", f"range({d})"
+    ctes = [*moments(values, d, base),
+            "cl AS (SELECT lag, list(c0 ORDER BY i, j) AS c0, list(ct ORDER BY i, j) AS ct FROM cv GROUP BY lag)",
+            f"""r0 AS (SELECT lag, c0, ct, g, g AS r, [('0x' || substr(md5('0|' || lag), 1, 15))::BIGINT % {d}] AS s
+    FROM (SELECT *, list_transform({cells}, lambda x: ct[x + 1] / sqrt({at('c0', f'x // {d}', f'x // {d}')}
+      * {at('c0', f'x % {d}', f'x % {d}')})) AS g FROM cl))"""]
+    out = []
+    for k in range(1, sizes + 1):
+        e = f"s[{k}]"
+        ctes.append(f"""r{k} AS (SELECT lag, c0, ct, g, s, list_transform({cells}, lambda x: r[x + 1]
+    - {at('r', f'x // {d}', e)} * {at('r', e, f'x % {d}')} / {at('r', e, e)}) AS r FROM {f'n{k - 1}' if k > 1 else 'r0'})""")
+        n, pick = k, lambda m, k=k: (f"list_transform(range({k * k}), lambda x: {m}[s[x // {k} + 1] * {d} + s[x % {k} + 1] + 1])")
+        ctes.append(f"cc{n} AS (SELECT lag, s, {pick('c0')} AS c, {pick('ct')} AS t FROM r{k})")
+        ctes += inverse(f"iv{n}", f"cc{n}", "c", n, "lag")
+        ctes.append(f"pb{n} AS (SELECT lag, {lin(n, (1, 'a'), (1, eye(n)))} AS b FROM (SELECT lag, {mm('inv', 't', n)} AS a FROM cc{n} JOIN iv{n} USING (lag)))")
+        ctes.append(f"""pq{n} AS (SELECT lag, 0 AS step, b AS p FROM pb{n} UNION ALL SELECT lag, step + 1,
+    list_transform(p2, lambda v: v / {trace('p2', n)}) FROM (SELECT lag, step, {mm('p', 'p', n)} AS p2 FROM pq{n} WHERE step < 45))""")
+        ctes.append(f"ev{n} AS (SELECT lag, {trace('z', n)} - 1 AS l FROM (SELECT lag, {mm('b', 'p', n)} AS z FROM pb{n} JOIN pq{n} USING (lag) WHERE step = 45))")
+        out.append(f"""SELECT lag, {n}::INTEGER AS n_cols, k::INTEGER AS rank, s[k + 1]::INTEGER AS feature_id,
+    {r6('CASE WHEN l > 0 AND l < 1 THEN -lag / ln(l) END')} AS t FROM cc{n} JOIN ev{n} USING (lag) CROSS JOIN (SELECT unnest(range({n})) AS k)""")
+        if k < sizes:
+            ctes.append(f"""sq{n} AS (SELECT lag, 0 AS step, list_transform({cells}, lambda x: g[x + 1] - r[x + 1]) AS a FROM r{k}
+    UNION ALL SELECT lag, step + 1, list_transform(a2, lambda v: v / tr) FROM (SELECT lag, step, a2, {trace('a2', d)} AS tr
+      FROM (SELECT lag, step, {mm('a', 'a', d)} AS a2 FROM sq{n} WHERE step < 40)))""")
+            # the projector's diagonal holds the squares of the eigenvector
+            gain = (f"list_transform({line}, lambda x: CASE WHEN list_contains(s, x) THEN -1 ELSE "
+                    f"abs({at('r', 'x', 'x')}) * sqrt(abs({at('a', 'x', 'x')})) END)")
+            ctes.append(f"""n{k} AS (SELECT lag, c0, ct, g, r, list_append(s, list_position(gain, list_max(gain)) - 1) AS s
+    FROM (SELECT r{k}.*, {gain} AS gain FROM r{k} JOIN sq{n} USING (lag) WHERE step = 40))""")
+    return with_(*ctes) + " UNION ALL ".join(out)
+
+
 def selection(width: int) -> list[str]:
     """``sel``: column 0, then the column that one rank-1 update explains worst along its own
     direction; timescales from the 1 x 1 and 2 x 2 problems in closed form."""
@@ -438,31 +506,47 @@ def selection(width: int) -> list[str]:
       SELECT lag, 2, 0, 0, l2 FROM la UNION ALL SELECT lag, 2, 1, second, l2 FROM la))"""]
 
 
-def projection_sql() -> str:
-    """Eigenvectors as columns of the projectors, scaled to unit variance, largest entry
-    positive; projections scaled by their eigenvalue."""
-    d = 4
-    column = ("list_transform(range(4), lambda x: s[x * 4 + (list_position(list_transform(range(4), "
-              "lambda c: abs(s[c * 5 + 1])), list_max(list_transform(range(4), lambda c: abs(s[c * 5 + 1]))))"
-              " - 1) + 1])")
+def projection(lag: int = 1, d: int = 64, n: int = 2, base: tuple = (VE,)) -> list[str]:
+    """``ys(vec_id, traj_id, frame, k, y)``. Eigenvectors as columns of the projectors, scaled to unit
+    variance, largest entry positive; projections scaled by their eigenvalue."""
+    size = f"list_transform(range({d}), lambda c: abs(s[c * {d + 1} + 1]))"
+    column = f"list_transform(range({d}), lambda x: s[x * {d} + list_position({size}, list_max({size}))])"
     parts = " UNION ALL ".join(
         f"SELECT {k} AS k, {column} AS v, mu - 1 AS l FROM pr{k} JOIN ei{k} USING (lag)"
-        for k in range(2))
-    return with_(
-        *moments([1]),
+        for k in range(n))
+    return [
+        *moments([lag], d, base),
         "cl AS (SELECT lag, list(c0 ORDER BY i, j) AS c0, list(ct ORDER BY i, j) AS ct FROM cv GROUP BY lag)",
         *inverse("ci", "cl", "c0", d, "lag"),
         f"bb AS (SELECT lag, {lin(d, (1, 'a'), (1, eye(d)))} AS b FROM (SELECT lag, {mm('inv', 'ct', d)} AS a FROM cl JOIN ci USING (lag)))",
-        *top_eigenvalues("bb", "lag", d, 2),
+        *top_eigenvalues("bb", "lag", d, n),
         f"vs AS ({parts})",
-        "vn AS (SELECT k, l, v, list_sum(list_transform(range(16), lambda x: v[x // 4 + 1] * c0[x + 1] * v[x % 4 + 1])) AS var FROM vs CROSS JOIN cl)",
+        f"vn AS (SELECT k, l, v, list_sum(list_transform(range({d * d}), lambda x: v[x // {d} + 1] * c0[x + 1] * v[x % {d} + 1])) AS var FROM vs CROSS JOIN cl)",
         """vf AS (SELECT k, list_transform(v, lambda e: e * l / sqrt(var) * CASE WHEN list_max(v) >= -list_min(v)
     THEN 1 ELSE -1 END) AS w FROM vn)""",
         "me AS (SELECT list((sx + sy) / (2 * n) ORDER BY i) AS m FROM mo WHERE j = 0)",
-        """ys AS (SELECT vec_id, traj_id, frame, k, list_sum(list_transform(range(4), lambda c:
-    (x[c + 1] - m[c + 1]) * w[c + 1])) AS y FROM ve CROSS JOIN vf CROSS JOIN me)""") + f"""
-SELECT vec_id, traj_id, frame, {r6('max(y) FILTER (WHERE k = 0)')} AS y0,
-  {r6('max(y) FILTER (WHERE k = 1)')} AS y1 FROM ys GROUP BY vec_id, traj_id, frame"""
+        f"""ys AS (SELECT vec_id, traj_id, frame, k, list_sum(list_transform(range({d}), lambda c:
+    (x[c + 1] - m[c + 1]) * w[c + 1])) AS y FROM ve CROSS JOIN vf CROSS JOIN me)"""]
+
+
+def two_macrostates() -> list[str]:
+    """``lu(state, macrostate, membership)`` of the 20 event microstates. With two macrostates the
+    memberships are the second eigenvector, moved and scaled to 0 .. 1."""
+    d = 20
+    size = f"list_transform(range({d}), lambda c: abs(s[c * {d + 1} + 1]))"
+    return [MI, *counts("mi", [1]), SYM,
+            """tr AS (SELECT lag, i, j, n / sum(n) OVER (PARTITION BY i) AS p,
+    sum(n) OVER (PARTITION BY j) / sum(n) OVER () AS pi FROM sym)""",
+            "ms AS (SELECT DISTINCT state AS s FROM mi)",
+            """bb AS (SELECT 1 AS lag, list(coalesce(p, 0) + CASE WHEN a.s = b.s THEN 1 ELSE 0 END - 2 * w.pi ORDER BY a.s, b.s) AS b
+    FROM ms a CROSS JOIN ms b LEFT JOIN tr ON tr.i = a.s AND tr.j = b.s
+    JOIN (SELECT DISTINCT j, pi FROM tr) w ON w.j = b.s)""",
+            *top_eigenvalues("bb", "lag", d, 1),
+            f"ve2 AS (SELECT list_transform(range({d}), lambda x: s[x * {d} + list_position({size}, list_max({size}))]) AS v FROM pr0)",
+            """ch AS (SELECT s AS state, (v[r] - list_min(v)) / (list_max(v) - list_min(v)) AS c, r
+    FROM ve2 CROSS JOIN (SELECT s, row_number() OVER (ORDER BY s) AS r FROM ms))""",
+            """lu AS (SELECT state, CASE WHEN (c > 0.5) = (SELECT c > 0.5 FROM ch WHERE r = 1) THEN 0 ELSE 1 END::INTEGER AS macrostate,
+    greatest(c, 1 - c) AS membership FROM ch)"""]
 
 
 def timescales_sql() -> str:
@@ -510,11 +594,13 @@ def ergodic() -> list[str]:
     FROM mu WHERE comp = (SELECT comp FROM be))"""]
 
 
-def samples(n: int) -> list[str]:
-    return [EV, f"""sa AS (SELECT state, sample_no, traj_id, frame FROM (
-    SELECT state, s::INTEGER AS sample_no, traj_id, frame, row_number() OVER (PARTITION BY state, s
-      ORDER BY {md5int('s', 'traj_id', 'frame')}, traj_id, frame) AS rn
-    FROM ev CROSS JOIN (SELECT unnest(range({n})) AS s)) WHERE rn = 1)"""]
+def samples(n: int, source: str = "ev", base: tuple = (EV,)) -> list[str]:
+    """``sa``: for each state and sample the frame whose rank by hash was drawn."""
+    return [*base, f"""rk AS (SELECT *, row_number() OVER (PARTITION BY state
+      ORDER BY md5(concat_ws('|', '0', traj_id, frame)), traj_id, frame) - 1 AS rank FROM {source})""",
+            f"""dw AS (SELECT state, s::INTEGER AS sample_no, {md5int('state', 's')} % n AS rank
+    FROM (SELECT state, count(*) AS n FROM {source} GROUP BY state) CROSS JOIN (SELECT unnest(range({n})) AS s))""",
+            "sa AS (SELECT * FROM dw JOIN rk USING (state, rank))"]
 
 
 PAIRS = [(i, j) for i in range(10) for j in range(i + 1, 10)]
@@ -529,8 +615,8 @@ def sql() -> dict[str, str]:
     out["path_number_order"] = "SELECT page_id, page_id AS traj_id FROM pages"
     out["features_parquet_roundtrip"] = with_(VE) + f"""SELECT vec_id, traj_id, frame,
   len(x)::INTEGER AS width, {r6('x[1]')} AS x0 FROM ve"""
-    out["load_one_frame"] = with_(VE) + f"""SELECT vec_id, traj_id, frame, k::INTEGER AS pos,
-  {r6('x[k + 1]')} AS v FROM ve CROSS JOIN (SELECT unnest(range(63)) AS k)
+    out["load_one_frame"] = with_(VE, VC) + f"""SELECT vec_id, traj_id, frame, k::INTEGER AS pos,
+  {r6('x[k + 1]')} AS v FROM vc CROSS JOIN (SELECT unnest(range(66)) AS k)
   WHERE traj_id = 3 AND frame = 2"""
     out["matrix_text_roundtrip"] = with_(EV, *series(),
                                          f"nr AS (SELECT s, ({pos})::INTEGER AS r FROM st)") + f"""
@@ -542,6 +628,14 @@ SELECT k, a.r AS i, b.r AS j, {r6('p')} AS p FROM ser JOIN nr a ON a.s = i JOIN
     out["resample_choices"] = with_(EV, *draws("ev", 5)) + \
         "SELECT boot_id, traj_id, weight FROM dr WHERE boot_id = 2"
 
+    out["frames_text_roundtrip"] = with_(EV) + """SELECT traj_id, frame, value AS psi,
+  json_extract_string(props, '$.k')::DOUBLE AS phi FROM ev"""
+    out["trajectory_files"] = "SELECT DISTINCT o_custkey AS traj_id FROM orders"
+    at = lambda k: f"printf('%.3f', x[3 * s - {3 - k}])::DOUBLE"
+    out["structure_files"] = with_(*samples(10, "vs", (VE, VC, "vs AS (SELECT *, vec_id % 4 AS state FROM vc)"))) + f"""
+SELECT 'macro' || state || '_sample' || sample_no || '.pdb' AS output_filename, s::INTEGER AS serial, 'A' || s AS name,
+  {at(1)} AS x, {at(2)} AS y, {at(3)} AS z FROM sa CROSS JOIN (SELECT unnest(range(1, 23))::INTEGER AS s)"""
+
     # sequences and counts
     out["frame_index"] = with_(EV) + "SELECT traj_id, frame, state FROM ev"
     out["frame_index_orders"] = with_(OD) + "SELECT traj_id, frame, state FROM od"
@@ -704,17 +798,14 @@ UNION ALL SELECT -1, c.i, c.j, (c.i = c.j)::DOUBLE, (c.i = c.j)::DOUBLE, (c.i =
   SELECT state, traj_id, frame, (row_number() OVER (PARTITION BY state ORDER BY
     md5(concat_ws('|', '0', traj_id, frame)), traj_id, frame) - 1)::INTEGER AS sample_no FROM ev)
   WHERE sample_no < 10"""
-    out["sampled_structures"] = with_(VE) + f"""SELECT state, sample_no, traj_id, frame, vec_id,
-  array_to_string(list_transform(x[1:63], lambda v: round(v * 1000)::INT::VARCHAR), ' ') AS xyz
-  FROM (SELECT vec_id % 4 AS state, s::INTEGER AS sample_no, traj_id, frame,
-    vec_id, x, row_number() OVER (PARTITION BY vec_id % 4, s
-      ORDER BY {md5int('s', 'traj_id', 'frame')}, traj_id, frame) AS rn
-    FROM ve CROSS JOIN (SELECT unnest(range(5)) AS s)) WHERE rn = 1"""
-
-    out["structure_lines"] = with_(VE) + """SELECT 'v' || vec_id AS output_filename, s AS serial,
+    out["sampled_structures"] = with_(*samples(5, "vs", (
+        VE, VC, "vs AS (SELECT *, vec_id % 4 AS state FROM vc)"))) + """SELECT state, sample_no, traj_id, frame, vec_id,
+  array_to_string(list_transform(x, lambda v: round(v * 1000)::INT::VARCHAR), ' ') AS xyz FROM sa"""
+
+    out["structure_lines"] = with_(VE, VC) + """SELECT 'v' || vec_id AS output_filename, s AS serial,
   printf('ATOM  %5d %-4s %3s A%4d    %8.3f%8.3f%8.3f  1.00  0.00', s, 'A' || s, 'MOL', 1,
          x[3 * s - 2], x[3 * s - 1], x[3 * s]) AS line
-  FROM ve CROSS JOIN (SELECT unnest(range(1, 22))::INTEGER AS s)"""
+  FROM vc CROSS JOIN (SELECT unnest(range(1, 23))::INTEGER AS s)"""
 
     # features
     out["atom_pairs"] = """WITH a AS (SELECT DISTINCT (p_size - 1)::INTEGER AS atom FROM part)
@@ -728,6 +819,14 @@ SELECT (row_number() OVER (ORDER BY x.atom, y.atom) - 1)::INTEGER AS feature_id,
   FROM ve CROSS JOIN (SELECT unnest(range(3)) AS k)"""
     out["lagged_moments"] = with_(*moments([1, 2], 64)) + f"""SELECT lag, i, j, n, {r6('sx')} AS sx,
   {r6('sy')} AS sy, {r6('same')} AS same, {r6('cross_')} AS "cross" FROM mo"""
+    out["lagged_comoments"] = with_(*moments([1, 5])) + f"""SELECT a.lag, a.i, a.j, a.n,
+  {r6('a.sx / a.n')} AS mx_i, {r6('a.sy / a.n')} AS my_i, {r6('b.sx / b.n')} AS mx_j, {r6('b.sy / b.n')} AS my_j,
+  {r6('a.same - (a.sx * b.sx + a.sy * b.sy) / a.n')} AS same, {r6('a.cross_ - a.sx * b.sy / a.n')} AS "cross"
+  FROM mo a JOIN mo b ON b.lag = a.lag AND b.i = a.j AND b.j = a.i"""
+    out["feature_selection_small"] = greedy_selection([2, 4, 6], PAIRS, 4)
+    start = lambda seed: f"(('0x' || substr(md5('{seed}|' || lag), 1, 15))::BIGINT % 45)::INTEGER AS seed{seed}"
+    out["feature_start"] = with_(EV, *counts("ev", range(1, 7))) + \
+        f"SELECT DISTINCT lag, {start(0)}, {start(1)} FROM cnt"
     out["covariance_matrices"] = with_(*moments([2], 64)) + \
         f"SELECT lag, i, j, n, {r6('c0')} AS c0, {r6('ct')} AS ct FROM cv"
     out["tica_timescales"] = tica_sql()
@@ -735,14 +834,25 @@ SELECT (row_number() OVER (ORDER BY x.atom, y.atom) - 1)::INTEGER AS feature_id,
     out["feature_selection_pairs"] = with_(*selection(64)) + f"""
 SELECT lag, n_cols, rank, feature_id, {r6('t')} AS t FROM sel"""
     out["timescale_curve"] = with_(
-        *selection(4),
+        *selection(64),
         "cl AS (SELECT lag, list(c0 ORDER BY i, j) AS c0, list(ct ORDER BY i, j) AS ct FROM cv GROUP BY lag)",
-        *inverse("ci", "cl", "c0", 4, "lag"),
-        f"bb AS (SELECT lag, {lin(4, (1, 'a'), (1, eye(4)))} AS b FROM (SELECT lag, {mm('inv', 'ct', 4)} AS a FROM cl JOIN ci USING (lag)))",
-        *top_eigenvalues("bb", "lag", 4, 1)) + f"""
+        *inverse("ci", "cl", "c0", 64, "lag"),
+        f"bb AS (SELECT lag, {lin(64, (1, 'a'), (1, eye(64)))} AS b FROM (SELECT lag, {mm('inv', 'ct', 64)} AS a FROM cl JOIN ci USING (lag)))",
+        *top_eigenvalues("bb", "lag", 64, 1)) + f"""
 SELECT lag, n_cols, {r6('t * 0.1')} AS t FROM sel WHERE rank = 0 UNION ALL
-SELECT lag, 4::INTEGER, {r6('CASE WHEN mu > 1 AND mu < 2 THEN -lag / ln(mu - 1) END * 0.1')} FROM eig"""
-    out["tica_projection_few"] = projection_sql()
+SELECT lag, 64::INTEGER, {r6('CASE WHEN mu > 1 AND mu < 2 THEN -lag / ln(mu - 1) END * 0.1')} FROM eig"""
+    out["tica_projection_few"] = with_(*projection()) + f"""
+SELECT vec_id, traj_id, frame, {r6('max(y) FILTER (WHERE k = 0)')} AS y0,
+  {r6('max(y) FILTER (WHERE k = 1)')} AS y1 FROM ys GROUP BY vec_id, traj_id, frame"""
+    out["tica_projection"] = with_(*projection(2, 45, 10, distance_vectors(PAIRS))) + \
+        f"SELECT traj_id, frame, k::INTEGER AS k, {r6('y')} AS y FROM ys"
+    out["macrostates_two"] = with_(*two_macrostates()) + \
+        f"SELECT 1::INTEGER AS lag, state, macrostate, {r6('membership')} AS membership FROM lu"
+    # detailed balance binds nothing between two states: the reversible maximum is row-normalised
+    out["macrostate_series_two"] = with_(
+        *two_macrostates(), "ma AS (SELECT traj_id, frame, macrostate AS state FROM mi JOIN lu USING (state))",
+        *[c.replace("lags", "lags2").replace("cnt", "cnt2") for c in counts("ma", range(1, 11))]) + f"""
+SELECT (lag - 1)::INTEGER AS k, i, j, {r6('n / sum(n) OVER (PARTITION BY lag, i)')} AS p FROM cnt2"""
 
     # clustering and lumping
     out["k_centers"] = with_(*k_centers_ctes()) + \
@@ -750,17 +860,29 @@ SELECT lag, 4::INTEGER, {r6('CASE WHEN mu > 1 AND mu < 2 THEN -lag / ln(mu - 1)
     out["k_centers_found"] = with_(*k_centers_ctes()) + " UNION ALL ".join(
         f"SELECT {k}::INTEGER AS state, traj_id, frame FROM c{k}" for k in range(6))
     first = "md5(concat_ws('|', '0', traj_id, frame)), traj_id, frame"
-    runs = [("no_components", 2, 2, 6), ("no_components", 3, 3, 6), ("no_clusters", 6, 3, 6),
-            ("no_clusters", 9, 3, 9)]
+    runs = [("no_components", v, v, 6) for v in (2, 3, 5)] + [("no_clusters", v, 3, v) for v in (6, 9, 12)]
     out["clustering_sweep"] = " UNION ALL ".join(
         f"""SELECT '{name}' AS parameter, {value}::INTEGER AS value, state::INTEGER AS state,
   count(*)::BIGINT AS n FROM ({with_(*k_centers_ctes(k, width, first))} SELECT state FROM g{k - 1})
   GROUP BY state""" for name, value, width, k in runs)
+    axes = {"no_features": (20, 24, 28), "no_components": (2, 3, 4), "no_clusters": (700, 800, 900), "tica_lagtime": (2, 4, 6)}
+    base = {"no_features": 24, "no_components": 3, "no_clusters": 800, "tica_lagtime": 2}
+    named = ", ".join(str((name, v, *{**base, name: v}.values(), "-".join(map(str, {**base, name: v}.values()))))
+                      for name, vs in axes.items() for v in vs)
+    out["settings_table"] = f"""SELECT s.parameter, s.value::INTEGER AS value, s.no_features::INTEGER AS no_features,
+  s.no_components::INTEGER AS no_components, s.no_clusters::INTEGER AS no_clusters, s.tica_lagtime::INTEGER AS tica_lagtime,
+  s.run_id, (SELECT count(*) FROM embeddings) AS frames
+FROM (VALUES {named}) s(parameter, value, no_features, no_components, no_clusters, tica_lagtime, run_id)"""
     out["nearest_center"] = with_(
         VE, "ce AS (SELECT traj_id AS s, x AS c FROM ve WHERE frame = 0 AND traj_id < 4)",
         """nd AS (SELECT traj_id, frame, list_distance(x, c) AS d, s, row_number() OVER (
     PARTITION BY traj_id, frame ORDER BY list_distance(x, c), s) AS rn FROM ve CROSS JOIN ce)""") + \
         f"SELECT traj_id, frame, {r6('d')} AS distance, s::INTEGER AS state FROM nd WHERE rn = 1"
+    out["macrostate_series_trimmed"] = with_(*one_way(4), *mle_fit()) + \
+        f"SELECT (lag - 1)::INTEGER AS k, i, j, {r6('p')} AS p FROM ml"
+    out["macrostates_trimmed"] = with_(*one_way(4)) + """SELECT lag, s AS state, sum(n)::BIGINT AS n FROM (
+  SELECT lag, i AS s, n FROM cnt UNION ALL SELECT lag, j, n FROM cnt WHERE j <> i)
+  WHERE s NOT IN (SELECT s FROM st) GROUP BY lag, s"""
     out["macrostate_map"] = with_(
         MI, """ma AS (SELECT traj_id, frame, CASE WHEN state LIKE '%0' THEN 0 WHEN state LIKE '%3'
     THEN 2 ELSE 1 END AS state FROM mi)""", *counts("ma", [1, 2, 5])) + plain

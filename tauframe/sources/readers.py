@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from tauframe.session import materialise
 
 
 def read_index_list(spark: SparkSession, path: str) -> DataFrame:
@@ -17,12 +19,13 @@ def read_index_list(spark: SparkSession, path: str) -> DataFrame:
             .select((F.col("w").cast("int") - 1).alias("atom")).distinct())
 
 
-def read_topology(spark: SparkSession, path: str) -> DataFrame:
-    """``(serial, name, resname, resid, x, y, z)`` from fixed-width PDB atom records."""
+def read_topology(spark: SparkSession, path: str, extra: Sequence[str] = ()) -> DataFrame:
+    """``(serial, name, resname, resid, x, y, z)`` from fixed-width PDB atom records; ``extra`` names
+    folder columns (``name=value``) to keep."""
     cut = lambda start, length: F.trim(F.substring("value", start, length))
     records = spark.read.text(path).where(cut(1, 6).isin("ATOM", "HETATM"))
     return records.select(
-        cut(7, 5).cast("int").alias("serial"), cut(13, 4).alias("name"),
+        *extra, cut(7, 5).cast("int").alias("serial"), cut(13, 4).alias("name"),
         cut(18, 4).alias("resname"), cut(23, 4).cast("int").alias("resid"),
         cut(31, 8).cast("double").alias("x"), cut(39, 8).cast("double").alias("y"),
         cut(47, 8).cast("double").alias("z"))
@@ -35,11 +38,43 @@ def file_number(path: Column) -> Column:
     return F.regexp_replace(name, r"\D", "").cast("bigint")
 
 
+def trajectory_number(path: Column) -> Column:
+    """The number of a folder ``traj_id=..``, if the file lies in one, else that of the file name."""
+    folder = F.regexp_extract(path, r"/traj_id=(\d+)/", 1)
+    return F.when(folder != "", folder.cast("bigint")).otherwise(file_number(path))
+
+
 def list_trajectories(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """``(traj_id, path)`` of the matching files; only file listings are read."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
              .select("path"))
-    return files.select(file_number(F.col("path")).alias("traj_id"), "path")
+    return files.select(trajectory_number(F.col("path")).alias("traj_id"), "path")
+
+
+def read_frame_text(spark: SparkSession, path: str, pattern: str = "*", column: str = "m") -> DataFrame:
+    """``(traj_id, frame, m ARRAY<DOUBLE>)`` from whitespace text with one frame a line.
+
+    Files are split like any text: a frame's number is its place in the piece it was read with plus
+    what the earlier pieces of its trajectory hold. Pieces are ordered by the part number in the
+    file name, the name, and where they begin. Blank lines and lines that begin with ``#`` are no
+    frames. The parsed lines are written once, so numbers and counts are of one reading."""
+    meta = F.col("_metadata")
+    name = F.element_at(F.split(meta["file_path"], "/"), -1)
+    lines = spark.read.option("pathGlobFilter", pattern).text(path)
+    lines = lines.where((F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
+    rows = materialise(lines.select(
+        trajectory_number(meta["file_path"]).alias("traj_id"), meta["file_path"].alias("_file"),
+        meta["file_block_start"].alias("_begin"), F.coalesce(
+            F.nullif(F.regexp_extract(name, r"^part-(\d+)", 1), F.lit("")).cast("bigint"), F.lit(0)).alias("_part"),
+        F.monotonically_increasing_id().alias("_line"),
+        F.split(F.trim("value"), r"\s+").cast("array<double>").alias(column)), "lines")
+    order = Window.partitionBy("traj_id").orderBy("_part", "_file", "_begin").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = (rows.groupBy("traj_id", "_part", "_file", "_begin")
+              .agg(F.min("_line").alias("_first"), F.count(F.lit(1)).alias("_n"))
+              .withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0)))
+              .select("_file", "_begin", "_first", "_before"))
+    return rows.join(pieces, ["_file", "_begin"]).select(
+        "traj_id", (F.col("_line") - F.col("_first") + F.col("_before")).alias("frame"), column)
 
 
 def read_arrays(spark: SparkSession, path: str, pattern: str = "*.npy",

@@ -41,7 +41,7 @@ def write_tsv(df: DataFrame, path: str, general: bool = False, mode: str = "erro
     return path
 
 
-def matrix_line(m: str = "m") -> Column:
+def matrix_line(m: str | Column = "m") -> Column:
     """One row of numbers as text with 18 decimals, which reads back to the same DOUBLE."""
     return F.concat_ws(" ", F.transform(m, lambda v: F.format_string("%.18e", v)))
 
@@ -54,6 +54,33 @@ def write_matrix_text(flat: DataFrame, path: str, mode: str = "errorifexists") -
     return path
 
 
+def write_frame_text(frames: DataFrame, columns: Sequence[str | Column], path: str, mode: str = "errorifexists",
+                     parts: int | None = None) -> str:
+    """Numbers of every frame as whitespace text, one line a frame, a folder ``traj_id=..`` per
+    trajectory. Frames are cut by (trajectory, frame), so a long trajectory is written by several
+    tasks into files whose part numbers follow its frames. NULL is an error: it has no text form."""
+    held = [F.col(c) if isinstance(c, str) else c for c in columns]
+    number = [F.coalesce(c.cast("double"), F.raise_error("a frame holds NULL").cast("double")) for c in held]
+    rows = frames.select("traj_id", "frame", matrix_line(F.array(*number)).alias("value"))
+    rows = rows.repartitionByRange(*([parts] if parts else []), "traj_id", "frame")
+    (rows.sortWithinPartitions("traj_id", "frame").select("traj_id", "value")
+     .write.mode(mode).partitionBy("traj_id").text(path))
+    return path
+
+
+def write_text_files(rows: DataFrame, name: str, order: Sequence[str], line: str, path: str,
+                     mode: str = "errorifexists") -> str:
+    """One file per value of ``name`` (in a folder ``name=..``), its lines in the given order."""
+    (rows.repartition(name).sortWithinPartitions(name, *order).select(name, F.col(line).alias("value"))
+     .write.mode(mode).partitionBy(name).text(path))
+    return path
+
+
+def write_structures(structures: DataFrame, topology: DataFrame, path: str, mode: str = "errorifexists") -> str:
+    """A structure file per ``output_filename``, atoms in serial order."""
+    return write_text_files(pdb_lines(structures, topology), "output_filename", ["serial"], "line", path, mode)
+
+
 def write_choices(draws: DataFrame, path: str, mode: str = "errorifexists", tasks: int = 8) -> str:
     """The trajectories of every resample, one folder per resample, written by up to ``tasks``
     tasks each."""

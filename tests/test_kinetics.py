@@ -279,6 +279,49 @@ def test_feature_selection(walk):
     assert [r.feature_id for r in sorted(again, key=lambda r: r.rank)] == by[3]
 
 
+def selected_by_hand(g, n_cols, first):
+    """The published form: a pseudo-inverse of the chosen block for every column."""
+    chosen = [first]
+    while len(chosen) < n_cols:
+        approx = g[:, chosen] @ np.linalg.pinv(g[np.ix_(chosen, chosen)]) @ g[chosen]
+        lam, u = np.linalg.eigh((approx + approx.T) / 2)
+        gain = np.abs(np.diag(g - approx)) * np.abs(u[:, np.abs(lam).argmax()])
+        gain[chosen] = -1
+        chosen.append(int(gain.argmax()))
+    return chosen
+
+
+def test_rank_one_updates_equal_pseudo_inverses():
+    rng = np.random.default_rng(8)
+    for d in (3, 12, 45):
+        for definite in (True, False):
+            a = rng.normal(size=(d, d))
+            g = a @ a.T if definite else a + a.T
+            g = g / np.sqrt(np.outer(abs(np.diag(g)), abs(np.diag(g))))
+            got = tica.greedy_columns(g, np.eye(d), min(d, 28), 1)
+            assert got == selected_by_hand(g, min(d, 28), 1)
+
+
+def test_columns_that_others_explain_come_last():
+    a = np.random.default_rng(1).normal(size=(6, 6))
+    a[4], a[5] = a[0], 0
+    got = tica.greedy_columns(a @ a.T, np.eye(6), 6, 0)
+    assert sorted(got) == list(range(6)) and got[4:] == [4, 5]
+
+
+def test_more_columns_than_there_are(spark, walk):
+    moments = covariance.lagged_moments(walk[0], [2])
+    with pytest.raises(Exception, match="asked for"):
+        tica.select_features(moments, [4, 9]).collect()
+    rows = tica.select_features(moments, [4, 9], allow_fewer=True).collect()
+    assert {r.n_cols for r in rows} == {4, 5}
+    with pytest.raises(Exception, match="span 5"):
+        tica.tica_timescales(moments, 6).collect()
+    assert tica.tica_timescales(moments, 6, allow_fewer=True).count() == 5
+    starts = spark.range(1, 9).select("id", tica.start_column_of(F.lit(3), F.col("id"), 45).alias("c")).collect()
+    assert all(r.c == tica.start_column(3, r.id, 45) for r in starts)
+
+
 def test_several_columns_per_round():
     rng = np.random.default_rng(4)
     a = rng.normal(size=(12, 12))
@@ -422,8 +465,85 @@ def test_points_that_are_not_finite_are_an_error(spark):
 
 
 def test_far_off_means_keep_the_digits(spark, walk):
-    df, _ = walk
-    moved = df.withColumn("x", F.transform("x", lambda v: v + 1e7))
+    df, trajs = walk
+    moved = df.withColumn("x", F.transform("x", lambda v: v + 1e8))
     a, b = tica.fit_tica(df, 2, 3), tica.fit_tica(moved, 2, 3)
     assert np.allclose(a.eigenvalues, b.eigenvalues, atol=1e-6)
-    assert np.allclose(a.mean + 1e7, b.mean, rtol=1e-12)
+    assert np.allclose(a.mean + 1e8, b.mean, rtol=1e-12)
+    m = covariance.assemble(covariance.lagged_moments(moved, [2], chunk_rows=16).toPandas())
+    _, mean, c0, ct = numpy_moments(trajs, 2)
+    assert np.allclose(m.cov, c0, atol=1e-6) and np.allclose(m.lagged, ct, atol=1e-6)
+
+
+def test_partial_moments_add_up_in_any_order():
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(size=(2, 90, 4)) + 1e8
+    whole = covariance.Partial.of(x, y)
+    cuts = [0, 1, 2, 30, 90]
+    parts = [covariance.Partial.of(x[a:b], y[a:b]) for a, b in zip(cuts, cuts[1:])]
+    for order in ([0, 1, 2, 3], [3, 1, 0, 2]):
+        got = parts[order[0]]
+        for k in order[1:]:
+            got = got + parts[k]
+        assert got.n == 90
+        for name in ("mx", "my", "same", "cross"):
+            assert np.allclose(getattr(got, name), getattr(whole, name), atol=1e-5, rtol=1e-12)
+    e = x - x.mean(0)
+    assert np.allclose(whole.same, e.T @ e + (y - y.mean(0)).T @ (y - y.mean(0)), atol=1e-5)
+
+
+def test_sampling_reads_ranks_not_copies(spark, monkeypatch):
+    rows = [(f % 3, f, f % 2) for f in range(400)]
+    df = spark.createDataFrame(rows, "traj_id int, frame bigint, state int")
+    got = sampling.sample_states(df, 1000, seed=4)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    want = sorted(map(tuple, got.collect()))
+    assert len(want) == 2000 and len({r[1] for r in want}) == 1000
+    monkeypatch.setattr(sampling, "BUCKET_ROWS", 1)      # deeper buckets, same ranks
+    monkeypatch.setattr(sampling, "DIGITS", 1)
+    assert sorted(map(tuple, sampling.sample_states(df, 1000, seed=4).collect())) == want
+    assert sampling.sample_states(df.where("false"), 5).count() == 0
+
+
+# -- trimming over lags --------------------------------------------------------------------
+
+def test_states_without_a_way_back_are_trimmed(spark):
+    from tauframe.operators import counting, series
+
+    path = [0, 1, 0, 2, 1, 2, 0, 0, 1, 1, 2, 0, 1]
+    rows = [("m", 0, f, s) for f, s in enumerate([7, *path, 9])] + [("n", 0, f, s) for f, s in enumerate(path)]
+    df = spark.createDataFrame(rows, "model string, traj_id int, frame bigint, state int")
+    with pytest.raises(Exception, match="one direction"):
+        series.matrix_series(df, 2, reversible="mle", keys=["model"]).collect()
+    got = series.matrix_series(df, 2, reversible="mle", keys=["model"], trim=True).collect()
+    assert len(got) == 2 * 2 * 9
+    by = {m: {(r.k, r.i, r.j): r.p for r in got if r.model == m} for m in "mn"}
+    assert all(by["m"][c] == pytest.approx(by["n"][c]) for c in by["n"])
+    counts = counting.count_transitions(df, [1, 2], keys=["model"], traj=["model", "traj_id"])
+    kept = reversible.common_states(counts, ["model"])
+    lost = reversible.trimmed_states(counts, kept, ["model"]).collect()
+    assert {(r.model, r.lag, r.state, r.n) for r in lost} == {("m", lag, s, 1) for lag in (1, 2) for s in (7, 9)}
+
+
+def test_what_one_lag_loses_may_cut_another(spark):
+    """At lag 2 state 3 goes; at lag 1 it is the only bridge from 0, 1 to 4."""
+    rows = [(1, 0, 1, 9), (1, 1, 0, 9), (1, 1, 3, 5), (1, 3, 4, 5), (1, 4, 3, 5), (1, 3, 1, 5),
+            (2, 0, 1, 9), (2, 1, 0, 9), (2, 1, 4, 5), (2, 4, 1, 5), (2, 3, 4, 2)]
+    counts = spark.createDataFrame(rows, "lag int, i int, j int, n bigint")
+    assert {r.state for r in reversible.common_states(counts).collect()} == {0, 1}
+    apart = spark.createDataFrame([(1, 0, 1, 1), (1, 1, 0, 1), (2, 2, 3, 1), (2, 3, 2, 1)], "lag int, i int, j int, n bigint")
+    with pytest.raises(ValueError, match="every lag"):
+        reversible.common_states(apart)
+
+
+def test_absent_cells_are_zeros_per_model(spark):
+    from tauframe.operators import series
+
+    rows = [("a", 0, "x", "y", 1.0), ("a", 1, "y", "x", 0.5), (None, 0, "z", "z", 1.0), (None, 1, "z", "z", 1.0)]
+    df = spark.createDataFrame(rows, "model string, k int, i string, j string, p double")
+    got = {(r.model, r.k, r.i, r.j): r.p for r in series.fill_cells(df, ["model"], 2).collect()}
+    assert len(got) == 8 + 2 and got["a", 0, "x", "y"] == 1.0 and got["a", 1, "x", "x"] == 0.0 and got[None, 1, "z", "z"] == 1.0
+    with pytest.raises(Exception, match="lag steps 2"):
+        series.fill_cells(df, ["model"], 3).collect()
+    assert series.fill_cells(df.where("false"), [], 3).count() == 0
