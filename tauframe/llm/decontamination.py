@@ -42,7 +42,7 @@ KEY = ["own", "doc"]
 
 def words(text: Column | str) -> Column:
     """Runs of letters, digits and characters beyond ASCII; only A-Z are lower-cased."""
-    return F.filter(F.split(F.translate(whole(text), UPPER, LOWER), BETWEEN), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(whole(text), UPPER, LOWER), BETWEEN), "")
 
 
 def _bit(place: Column) -> Column:
@@ -58,12 +58,13 @@ def numbered_terms(items: DataFrame) -> DataFrame:
 
 
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings ``doc_id, own, doc, tid, place`` of the numbered terms. ``own`` and ``doc`` (id and
-    hash of the text) name a text; rows with both equal have equal postings."""
+    """Postings ``doc_id, own, doc, tid, place`` of the numbered terms. ``own`` and ``doc`` (hashes of id
+    and text) name a text; rows with both equal have equal postings. Marks alone carry the id."""
     rows = docs.select("doc_id", F.xxhash64("doc_id").alias("own"),
                        F.xxhash64(whole("text")).alias("doc"),
                        F.posexplode(F.concat(words("text"), F.array(F.lit("")))).alias("place", "term"))
-    return materialise(rows.join(terms, "term").select("doc_id", *KEY, "tid", "place"), "postings")
+    own_id = F.when(F.col("tid") == END, F.col("doc_id")).alias("doc_id")
+    return materialise(rows.join(terms, "term").select(own_id, *KEY, "tid", "place"), "postings")
 
 
 def term_counts(index: DataFrame) -> DataFrame:
@@ -98,16 +99,19 @@ def phrase_matches(index: DataFrame, ranked: DataFrame) -> DataFrame:
     moved = (lists.join(part("rank = 0").drop("rank"), "tid").select(*KEY, "wid", "size", (F.col("place") - F.col("offset")).alias("start"))
              .where("start >= 0"))
 
-    def held(candidates: DataFrame, which: str) -> DataFrame:
+    def held(candidates: DataFrame, which: str, among: DataFrame) -> DataFrame:
         """Candidates with each of the wanted terms that stands at its place."""
-        want = part(which).drop("size")
-        probe = candidates.join(want, "wid").withColumn("place", F.col("start") + F.col("offset")).drop("offset")
-        return probe.join(lists.join(want.select("tid").distinct(), "tid", "left_semi"),
-                          [*KEY, "tid", "place"], "left_semi")
+        probe = candidates.join(part(which).drop("size"), "wid")
+        probe = probe.withColumn("place", F.col("start") + F.col("offset")).drop("offset")
+        return probe.join(among, [*KEY, "tid", "place"], "left_semi")
 
     short = moved.where("size < 2").drop_duplicates()
-    two = materialise(held(moved.where("size > 1"), "rank = 1").select(*KEY, "wid", "size", "start"), "candidates")
-    full = (held(two, "rank > 1").groupBy(*KEY, "wid", "size", "start")
+    # a term may be the second of many phrases: only its postings are wanted, and the table of such
+    # terms is written, so the planner can broadcast it and no term is a group of its own
+    seconds = materialise(part("rank = 1").select("tid").distinct(), "seconds")
+    two = materialise(held(moved.where("size > 1"), "rank = 1", lists.join(seconds, "tid", "left_semi"))
+                      .select(*KEY, "wid", "size", "start"), "candidates")
+    full = (held(two, "rank > 1", lists).groupBy(*KEY, "wid", "size", "start")
             .agg(F.bit_or(_bit(F.col("rank"))).alias("bits"))
             .where(F.col("bits") == _bit(F.col("size")) - 4).drop("bits"))
     return short.unionByName(two.where("size = 2").drop_duplicates()).unionByName(full)
