@@ -6,7 +6,8 @@ minima over the set. Each of ``TREES`` trees sorts the documents by its own run
 longest prefixes. Links have a Jaccard index of 3/4 or more; one of exactly 3/4 meets in no tree with
 probability (1 - 0.75^3)^32 = 2.4e-8.
 
-Documents with equal sets are one node from the start (found by a 128-bit digest of the set).
+Documents with equal sets are one node from the start (found by a 128-bit digest of the set), numbered
+by its smallest id; where sets share that id, all but one are numbered above all ids.
 Components need no pair within a component twice, so candidates are confirmed in three steps:
 
 1. each node goes to its most crowded bucket; buckets are cut along the sorted order into runs of
@@ -27,9 +28,9 @@ for candidates only. What gathers by key is bounded: runs by ``RUN``, buckets by
 two blocks, delegates by components per bucket; everything else is combined before its shuffle.
 
 Defined results: fewer than 5 words are one shingle; no words (or a null text) have an empty set and
-are linked with nothing. Rows sharing an id are one document. A row with a null id is linked with
-nothing, has a null component and is kept. An empty table gives an empty result. Other columns are
-not read.
+are linked with nothing. Rows sharing an id are one document, also with different texts: their sets
+are linked from the start. A row with a null id is linked with nothing, has a null component and is
+kept. An empty table gives an empty result. Other columns are not read. Ids are below 2^62.
 """
 
 from __future__ import annotations
@@ -102,9 +103,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, k in enumerate(some):
             sigs[k] = sig[row].tobytes()
         yield pa.RecordBatch.from_arrays([
-            part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+            part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()),
             pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-            pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "set_key", "sig"])
+            pa.array(sigs, pa.binary())], ["doc_id", "text_key", "n_shingles", "set_key", "sig"])
 
 
 def _matrix(column) -> np.ndarray:
@@ -305,25 +306,46 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         _check_pairs, "a bigint, b bigint")
 
 
+def _numbered_sets(signed: DataFrame) -> DataFrame:
+    """``set_key, node, low, text_key``: each distinct set with its number, its smallest id, and a text of
+    that id which has the set."""
+    lows = (signed.where("sig is not null and doc_id is not null").groupBy("set_key")
+            .agg(F.min("doc_id").alias("low"), F.min_by("text_key", "doc_id").alias("text_key"))
+            .withColumn("key", F.xxhash64("set_key")))
+    firsts = lows.groupBy("low").agg(F.min("key").alias("first"))
+    above = F.col("key").bitwiseAND(F.lit(2**62 - 1)).bitwiseOR(F.lit(2**62))
+    return lows.join(firsts, "low").select(
+        "set_key", F.when(F.col("key") == F.col("first"), F.col("low")).otherwise(above).alias("node"), "low", "text_key")
+
+
+def _shared_ids(places: DataFrame) -> DataFrame:
+    """Links between the nodes that have rows of one id."""
+    several = places.where("doc_id is not null").groupBy("doc_id").agg(
+        F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc_id", "a")
+    return places.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     signed = materialise(docs.mapInArrow(
-        _sign, "doc_id bigint, n_shingles bigint, set_key binary, sig binary"), "signatures")
-    sets = (signed.where("sig is not null and doc_id is not null").groupBy("set_key")
-            .agg(F.min("doc_id").alias("node")))
+        _sign, "doc_id bigint, text_key bigint, n_shingles bigint, set_key binary, sig binary"), "signatures")
+    sets = materialise(_numbered_sets(signed), "sets")
     nodes = materialise(
-        signed.join(sets, (signed["set_key"] == sets["set_key"]) & (F.col("doc_id") == F.col("node")))
+        signed.join(sets, (signed["set_key"] == sets["set_key"]) & (F.col("doc_id") == F.col("low")))
         .select("node", "sig").dropDuplicates(["node"]), "nodes")
+    # a row without words is a node of its own under its id
+    places = materialise(signed.select("doc_id", "n_shingles", "set_key").join(sets.select("set_key", "node"), "set_key", "left")
+                         .select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node")), "places")
     met = materialise(nodes.mapInArrow(_plant, "bucket bigint, node bigint")
                       .withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1"), "buckets")
 
     # 1. runs of the most crowded buckets
     home = met.groupBy("node").agg(F.max(F.struct("n", "bucket")).alias("h")).select("node", "h.bucket")
     texts = materialise(
-        home.select("node").join(nodes, "node").join(
-            docs.withColumnRenamed("doc_id", "node").join(home.select("node"), "node", "left_semi"), "node")
-        .dropDuplicates(["node"]), "texts")
+        home.select("node").join(nodes, "node").join(sets.select("node", "low", "text_key"), "node")
+        .join(docs.withColumnRenamed("doc_id", "low"), ["low", "text_key"])
+        .dropDuplicates(["low", "text_key", "node"]).select("node", "sig", "text"), "texts")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ("bucket", "label", "node")
     runs = (home.join(nodes, "node").select("bucket", "node", "sig")
@@ -332,7 +354,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .mapInArrow(_cut_runs, "run bigint, node bigint"))
     links = saved(
         runs.join(texts, "node").repartition(parts, "run").sortWithinPartitions("run", "node")
-        .mapInArrow(_link_runs, "a bigint, b bigint"), "linked")
+        .mapInArrow(_link_runs, "a bigint, b bigint").unionByName(_shared_ids(places)), "linked")
     comp = components(links)
 
     # 2. delegates of components, next to each other in a bucket's order
@@ -415,8 +437,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                  .repartition(parts, "cell").sortWithinPartitions("cell", "node"))
         accept(cells.mapInArrow(_link_cells, "a bigint, b bigint"))
 
-    rows = signed.select("doc_id", "n_shingles", "set_key").join(sets, "set_key", "left").join(
-        comp, "node", "left")
+    rows = places.join(comp, "node", "left")
     same = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(
         F.coalesce("comp", "node", "doc_id"))
     return rows.select("doc_id", "n_shingles", same.alias("component_id")).withColumn(

@@ -170,7 +170,7 @@ def test_small_runs_and_dense_buckets_change_nothing(spark, monkeypatch):
     cut = next(near_dedup._cut_runs(iter([table])))
     assert cut.column("node").to_pylist() == [0, 1, 2, 2, 3, 4, 5] and len(set(cut.column("run").to_pylist())) == 3
     check_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), rows)
-    monkeypatch.setattr(near_dedup, "DENSE", 20)  # deeper regions: such close copies still meet
+    monkeypatch.setattr(near_dedup, "DENSE", 20)  # buckets above it are compared in cells
     check_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), rows)
 
 
@@ -193,6 +193,20 @@ def test_links_at_the_fringe_of_a_dense_family(spark, monkeypatch):
     check_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), rows)
 
 
+def test_rows_of_one_id_lose_no_link(spark):
+    """Different texts under one id are one document, linked with what either is linked with."""
+    rnd = random.Random(12)
+    say = lambda n: " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(n))
+    a, b, c, d = (say(60) for _ in range(4))
+    rows = [(4, a), (4, b), (9, b + " x"), (10, a + " y"), (9, c), (2, c + " z"), (30, d), (31, d), (31, None), (31, ""),
+            (40, None), (40, say(3)), (41, d + " q"), (50, a), (50, say(40)), (51, say(40)), (51, say(50))]
+    for turn in range(3):
+        rnd.shuffle(rows)
+        check_groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(turn + 1), rows)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.component_id for r in got if r.doc_id in (2, 4, 9, 10, 50)} == {2}
+
+
 def test_representatives_stay(docs):
     out = near_dedup.keep_representatives(docs)
     assert out.columns == docs.columns
