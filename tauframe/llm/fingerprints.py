@@ -1,7 +1,9 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections.
 
 Leaves are paragraphs (lines); a line is cut after its punctuation marks, so that an edit touches a
-small branch. Concatenated leaves give back the text exactly. A section is a run of
+small branch. What is still longer than ``LONG`` code points is cut after words whose digest starts
+with 0 or 1, and a word of that length after such characters, so texts without punctuation or blanks
+have small branches too. Concatenated leaves give back the text exactly. A section is a run of
 leaves that ends after a leaf whose digest starts with 0 or 1, so cuts follow content and an
 insertion moves no later section. Section digests are SHA-256 over their leaves' digests, and the
 root is SHA-256 over the sections' digests: equal roots mean equal texts.
@@ -24,14 +26,48 @@ Other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tauframe.llm.text import settled, span, table, whole
 from tauframe.session import materialise
 
-CUT = "(?<=\n)|(?<=[.!?,;:|] )"
+CUT = "(?<=\n)|(?<=[.!?,;:|] )|(?<=[。！？、，；：])"
 SECTION_END = "[01]"
+LONG = 120
+
+
+def _ends(items: Column, digest: Callable[[Column], Column]) -> Column:
+    """Places of the items after which a run ends: those whose digest says so, and the last."""
+    return F.filter(span(F.size(items) - 1), lambda i: digest(F.get(items, i)).rlike(f"^{SECTION_END}")
+                    | (i == F.size(items) - 1))
+
+
+def _runs(items: Column, ends: Column) -> Column:
+    start = lambda j: F.coalesce(F.get(ends, j - 1) + 1, F.lit(0))
+    return F.transform(ends, lambda e, j: F.slice(items, start(j) + 1, e - start(j) + 1))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.flatten(F.transform(F.array(value), use))
+
+
+def _pieces(part: Column) -> Column:
+    """A long part, cut after the words (in a long word: the characters) whose digest says so."""
+    units = F.flatten(F.transform(F.split(part, "(?<= )"), lambda w: F.when(
+        F.char_length(w) > LONG, F.regexp_extract_all(w, F.lit("(?s)."), F.lit(0))).otherwise(F.array(w))))
+    digest = lambda u: F.sha2(u, 256)
+    return _let(units, lambda u: _let(_ends(u, digest), lambda ends: F.transform(
+        _runs(u, ends), lambda run: F.array_join(run, ""))))
+
+
+def leaves(text: Column | str) -> Column:
+    """The text's leaves, in order."""
+    return F.filter(F.flatten(F.transform(F.split(whole(text), CUT), lambda s: F.when(
+        F.char_length(s) > LONG, _pieces(s)).otherwise(F.array(s)))), lambda s: s != "")
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str = "fingerprint", settle: bool = True) -> DataFrame:
@@ -39,15 +75,9 @@ def with_fingerprint(df: DataFrame, text: str, name: str = "fingerprint", settle
     rewritten below it."""
     own = [c for c in df.columns if c != name]
     df = df.select(F.col(text).alias("_text"), F.struct(*own).alias("_row"))
-    leaf = F.transform(F.filter(F.split(whole("_text"), CUT), lambda s: s != ""),
-                       lambda s: F.sha2(s, 256))
-    df = df.withColumn("_leaf", leaf)
-    df = df.withColumn("_end", F.filter(
-        span(F.size("_leaf") - 1),
-        lambda i: F.get("_leaf", i).rlike(f"^{SECTION_END}") | (i == F.size("_leaf") - 1)))
-    start = lambda j: F.coalesce(F.get("_end", j - 1) + 1, F.lit(0))
-    df = df.withColumn("_part", F.transform(
-        "_end", lambda e, j: F.slice("_leaf", start(j) + 1, e - start(j) + 1)))
+    df = df.withColumn("_leaf", F.transform(leaves("_text"), lambda s: F.sha2(s, 256)))
+    df = df.withColumn("_end", _ends(F.col("_leaf"), lambda d: d))
+    df = df.withColumn("_part", _runs(F.col("_leaf"), F.col("_end")))
     df = df.withColumn("_node", F.transform(
         "_part", lambda p: F.sha2(F.array_join(p, ""), 256)))
     body = F.zip_with("_node", "_part", lambda n, p: F.concat(
@@ -71,10 +101,14 @@ def _leaves(parts: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """1 for equal roots, else twice the shared distinct leaves over both sides' distinct leaves."""
-    la, lb = (F.array_distinct(_leaves(sections(x))) for x in (a, b))
-    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(
-        2.0 * F.size(F.array_intersect(la, lb)) / (F.size(la) + F.size(lb)))
+    """1 for equal roots, else twice the shared leaves over both sides' leaves. Sections that both sides
+    hold count with all their leaves; only the others are opened and compared leaf by leaf."""
+    own = lambda x, y: F.array_distinct(_leaves(F.array_except(sections(x), sections(y))))
+    found = F.struct(F.size(F.array_distinct(_leaves(F.array_intersect(sections(a), sections(b))))).alias("same"),
+                     own(a, b).alias("a"), own(b, a).alias("b"))
+    ratio = lambda f: F.array(2.0 * (f["same"] + F.size(F.array_intersect(f["a"], f["b"]))) / (
+        2 * f["same"] + F.size(f["a"]) + F.size(f["b"])))
+    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(F.get(_let(found, ratio), F.lit(0)))
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -156,9 +190,22 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Leaves by a mark set after each cut, everything else as lists.
-_TREE = r"""list_transform(list_filter(string_split(regexp_replace(replace({t}, chr(10),
-  chr(10) || chr(1)), '([.!?,;:|] )', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> ''),
-  lambda s: sha256(s))"""
+_CUT = r"""string_split(regexp_replace(replace({t}, chr(10), chr(10) || chr(1)), '([.!?,;:|] |[。！？、，；：])', '\1' || chr(1), 'g'), chr(1))"""
+_UNITS = r"""flatten(list_transform(string_split(replace(s, ' ', ' ' || chr(1)), chr(1)), lambda w: CASE WHEN length(w) > 120
+  THEN string_split(w, '') ELSE [w] END))"""
+_TREE = rf"""list_transform(list_filter(flatten(list_transform({_CUT}, lambda s: CASE WHEN length(s) > 120 THEN string_split(
+  array_to_string(list_transform({_UNITS}, lambda u: u || CASE WHEN sha256(u)[1] IN ('0', '1') THEN chr(1) ELSE '' END), ''), chr(1))
+  ELSE [s] END)), lambda s: s <> ''), lambda s: sha256(s))"""
+_OPENED = "list_distinct(flatten(list_transform({s}, lambda s: string_split(s[18:], ','))))"
+
+
+def _near(a: str, b: str) -> str:
+    same, ra, rb = (_OPENED.format(s=s) for s in (
+        f"list_intersect({a}, {b})", f"list_filter({a}, lambda x: NOT list_contains({b}, x))",
+        f"list_filter({b}, lambda x: NOT list_contains({a}, x))"))
+    return f"2.0 * (len({same}) + len(list_intersect({ra}, {rb}))) / (2 * len({same}) + len({ra}) + len({rb}))"
+
+
 SQL = {"op4_document_fingerprints": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS nxt,
@@ -173,22 +220,22 @@ sec AS (SELECT *, coalesce(sum((h[1] IN ('0', '1'))::INT) OVER (PARTITION BY doc
 node AS (SELECT doc_id, side, s, sha256(string_agg(h, '' ORDER BY i)) AS node,
          string_agg(h[:8], ',' ORDER BY i) AS ls FROM sec GROUP BY ALL),
 fp AS (SELECT doc_id, side, sha256(string_agg(node, '' ORDER BY s)) AS root,
+       list(node[:16] || ':' || ls ORDER BY s) AS secs,
        sha256(string_agg(node, '' ORDER BY s)) || '/'
        || string_agg(node[:16] || ':' || ls, '/' ORDER BY s) AS fp FROM node GROUP BY ALL),
-f AS (SELECT l.doc_id, l.side, list_transform(l.l, lambda x: x[:8]) AS leaves,
+f AS (SELECT l.doc_id, l.side, list_transform(l.l, lambda x: x[:8]) AS leaves, coalesce(secs, []) AS secs,
       coalesce(root, sha256('')) AS root, coalesce(fp, sha256('')) AS fp
       FROM l LEFT JOIN fp USING (doc_id, side)),
 j AS (SELECT e.doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256,
       a.fp AS fingerprint, b.fp AS edited_fingerprint, a.root AS ra, b.root AS rb, c.root AS rc,
-      list_distinct(a.leaves) AS la, list_distinct(b.leaves) AS lb, list_distinct(c.leaves) AS lc,
-      b.leaves AS all_b
+      a.leaves AS la, b.leaves AS lb, a.secs AS sa, b.secs AS sb, c.secs AS sc
       FROM e JOIN f a ON a.doc_id = e.doc_id AND a.side = 0
       JOIN f b ON b.doc_id = e.doc_id AND b.side = 1
       JOIN f c ON c.doc_id = e.nxt_id AND c.side = 0)
 SELECT doc_id, n_chars::BIGINT AS n_chars, edited_sha256, fingerprint, edited_fingerprint,
-  round(CASE WHEN ra = rb THEN 1.0 ELSE 2.0 * len(list_intersect(la, lb)) / (len(la) + len(lb)) END::DOUBLE, 9)
+  round(CASE WHEN ra = rb THEN 1.0 ELSE {_near('sa', 'sb')} END::DOUBLE, 9)
     AS near_edited,
-  round(CASE WHEN ra = rc THEN 1.0 ELSE 2.0 * len(list_intersect(la, lc)) / (len(la) + len(lc)) END::DOUBLE, 9)
+  round(CASE WHEN ra = rc THEN 1.0 ELSE {_near('sa', 'sc')} END::DOUBLE, 9)
     AS near_next,
-  len(list_filter(all_b, lambda x: NOT list_contains(la, x)))::BIGINT AS n_new_leaves
+  len(list_filter(lb, lambda x: NOT list_contains(la, x)))::BIGINT AS n_new_leaves
 FROM j"""}

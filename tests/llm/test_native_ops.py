@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -95,6 +96,32 @@ def test_edits_are_located(spark):
     assert r.d[0].digest == hashlib.sha256(b"An edited line.\n").hexdigest()[:8]
 
 
+def test_texts_without_punctuation_have_small_branches(spark):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8)))
+    glyph = lambda: chr(rnd.randint(0x4E00, 0x9FA5))
+    texts = [" ".join(word() for _ in range(400)), "".join(glyph() + ("。" if k % 12 == 0 else "") for k in range(480)),
+             "".join(glyph() for _ in range(480)), "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(3000)),
+             " ".join(word() for _ in range(20_000)), "🙂" * 50 + "".join(chr(0x1F300 + rnd.randint(0, 400)) for _ in range(400))]
+    rows = []
+    for k, t in enumerate(texts):
+        cut = len(t) - len(t) // 4
+        rows.append((k, t, t[:cut] + "".join(rnd.choice("klmnopq ") for _ in range(len(t) // 4)), "new words first " + t))
+    df = spark.createDataFrame(rows, "doc_id int, a string, b string, c string")
+    for name in "abc":
+        df = fingerprints.with_fingerprint(df, name, f"f{name}")
+    got = df.select("doc_id", "a", fingerprints.leaves("a").alias("l"),
+                    fingerprints.likeness(F.col("fa"), F.col("fb")).alias("edited"),
+                    fingerprints.likeness(F.col("fa"), F.col("fc")).alias("moved"))
+    assert no_python(got)
+    for r in got.collect():
+        assert "".join(r.l) == r.a and len(r.l) > 10
+        assert 0.5 <= r.edited < 1 and 0.9 <= r.moved < 1, r.doc_id
+    # one character over and over: nothing or everything is a cut, the text is whole either way
+    same = spark.createDataFrame([("x" * 500,), ("y" * 500,), ("a " * 300,), ("",), (None,)], "t string")
+    assert all("".join(r.l) == (r.t or "") for r in same.select("t", fingerprints.leaves("t").alias("l")).collect())
+
+
 def test_pairs_with_the_next_document(docs):
     rows = fingerprints.pair_with_next(docs).collect()
     assert len(rows) == docs.count()
