@@ -51,6 +51,29 @@ def test_licenses_equal_exact_search(spark):
     assert licenses.scan(df.where("false")).count() == 0
 
 
+def test_licenses_that_differ_in_a_few_words(spark):
+    """The version, Lesser, Affero or NC decides, also next to another licence's notice."""
+    program = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+    later = "General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    given = {
+        0: (program + later.format(2), {"GPL-2.0-or-later"}), 1: (program + later.format(3), {"GPL-3.0-or-later"}),
+        2: (program + "Lesser " + later.format(3), {"LGPL-3.0-or-later"}),
+        3: (program.replace("program", "library") + "Lesser " + later.format("2.1"), {"LGPL-2.1-or-later"}),
+        4: (program + "Affero " + later.format(3), {"AGPL-3.0-or-later"}),
+        5: ("The text is under the GNU General Public License, version 2. This work is licensed under the GNU General Public License, version 2.", {"GPL-2.0"}),
+        6: ("This work is licensed under the GNU General Public License, version 3.", {"GPL-3.0"}),
+        7: ("Licensed under CC BY-NC-SA 4.0. Licensed under CC BY 4.0. Licensed under CC BY-SA 4.0.", {"CC-BY-NC-SA-4.0", "CC-BY-4.0", "CC-BY-SA-4.0"}),
+        8: (program + later.format(2) + " Released under the MIT License. " + program + later.format(3),
+            {"GPL-2.0-or-later", "MIT", "GPL-3.0-or-later"}),
+        9: ((program + later.format(2) + " ") * 300, {"GPL-2.0-or-later"}),
+    }
+    df = spark.createDataFrame([(k, t) for k, (t, _) in given.items()], "doc_id int, text string")
+    got = {}
+    for r in licenses.scan(df).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert got == {k: names for k, (_, names) in given.items()}
+
+
 def test_bands_keep_the_miss_small():
     compiled = licenses.compiled()
     for size, block, members in licenses.scan_groups(compiled):
