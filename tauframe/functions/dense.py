@@ -165,8 +165,9 @@ def fit_reversible(counts: np.ndarray, tol: float = 1e-11, max_steps: int = 200)
     At the maximum (Prinz et al., J. Chem. Phys. 134, 174105, 2011) the flux between two states is
     ``(c_ij + c_ji) / (q_i + q_j)``. The logarithms of q maximise a concave function of the counts
     that leave a state, so Newton steps with step halving converge whatever the exchange rates; each
-    state's equation holds to ``tol`` of its own counts. Raises if that is not reached, or if states
-    are connected in one direction only (then there is no maximum; trim the counts first).
+    state's equation holds to ``tol`` of its own counts, or, where rounding does not let ``max_steps``
+    reach that (counts many orders of magnitude apart), to 1e-7 of them. Raises if neither is reached,
+    or if states are connected in one direction only (then there is no maximum; trim the counts first).
     """
     counts = np.asarray(counts, float)
     d = len(counts)

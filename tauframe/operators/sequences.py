@@ -19,7 +19,7 @@ from tauframe.functions.hashing import digest_bucket
 from tauframe.session import materialise
 
 HOT_ROWS = 4_000_000     # longest run of rows ranked inside one task
-SMALL_BYTES = 256 << 20  # tables estimated below this are ranked without looking at their rows
+SMALL_BYTES = 8 << 20    # tables estimated below this are ranked without counting their rows
 CHUNK_ROWS = 1 << 16     # frames in one chunk of a trajectory
 RANK_ROWS = 1_000_000    # rows of one group ranked by one task
 

@@ -39,7 +39,7 @@ def matrix_series(dtraj: DataFrame, n_lags: int, stride: int = 1, reversible: st
         counts = between(counts, common_states(counts, keys), keys)
     tpm = transition_matrix(counts, [*keys, "lag"], reversible)
     step = ((F.col("lag") - start) / stride).cast("int")
-    return fill_cells(tpm.select(*keys, step.alias("k"), "i", "j", "p"), keys, n_lags)
+    return fill_cells(materialise(tpm.select(*keys, step.alias("k"), "i", "j", "p"), "series"), keys, n_lags)
 
 
 def fill_cells(series: DataFrame, keys: Sequence[str] = (), n_lags: int | None = None) -> DataFrame:
@@ -47,10 +47,9 @@ def fill_cells(series: DataFrame, keys: Sequence[str] = (), n_lags: int | None =
     one of the steps 0 .. n_lags - 1 (up to its last one, unless given) is an error.
 
     The grid is built from one row per model that names its states and steps, so steps are filled in
-    parallel; both uses of ``series`` read the same columns, so its shuffle is shared."""
+    parallel. ``series`` is read twice and should be a written table."""
     keys = list(keys)
-    # the filter is always true; it keeps the columns of both uses alike
-    names = series.where("p >= 0 or p < 0").groupBy(*keys).agg(
+    names = series.groupBy(*keys).agg(
         F.array_union(F.collect_set("i"), F.collect_set("j")).alias("_s"), F.collect_set("k").alias("_k"))
     wanted = F.lit(n_lags) if n_lags else F.array_max("_k") + 1
     lacking = F.array_except(F.sequence(F.lit(0), wanted - 1), "_k")

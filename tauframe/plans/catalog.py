@@ -11,7 +11,7 @@ from tauframe.operators import (clustering, counting, covariance, features, lump
                                 reversible, sampling, sequences, series, spectrum, tica)
 from tauframe.operators.many_centers import Run, k_centers_many
 from tauframe.plans import bindings as bind
-from tauframe.plans import settings, sweep
+from tauframe.plans import pipeline, settings, sweep
 from tauframe.session import materialise, scratch_path
 from tauframe.sources import readers, sinks
 
@@ -79,8 +79,8 @@ def path_number_order(spark, sf_dir):
 @query
 def features_parquet_roundtrip(spark, sf_dir):
     path = sinks.write_new(bind.vector_features(spark, sf_dir), scratch_path(spark, "features"))
-    return readers.read_rows(spark, path).select(
-        "vec_id", "traj_id", "frame", F.size("x").alias("width"), r6(F.col("x")[0]).alias("x0"))
+    return (readers.read_rows(spark, path).select("vec_id", "traj_id", "frame", F.posexplode("x").alias("pos", "v"))
+            .select("vec_id", "traj_id", "frame", "pos", r6("v").alias("v")))
 
 
 @query
@@ -148,7 +148,7 @@ def resample_choices(spark, sf_dir):
     numbered = spectrum.number_trajectories(bind.event_states(spark, sf_dir))
     path = sinks.write_choices(spectrum.bootstrap_draws(numbered, 5), scratch_path(spark, "choice"))
     return (spark.read.schema("traj_id bigint, weight bigint, boot_id int").parquet(path)
-            .where(F.col("boot_id") == 2).select("boot_id", "traj_id", "weight"))
+            .select("boot_id", "traj_id", "weight"))
 
 
 # -- sequences and counts ------------------------------------------------------------------
@@ -357,8 +357,7 @@ def negatives_clipped(spark, sf_dir):
 
 @query
 def state_dropped(spark, sf_dir):
-    tpm = _series(spark, sf_dir).where(F.col("k") == 0)
-    return rounded(reversible.drop_state(tpm, "error").drop("k"), "p")
+    return rounded(reversible.drop_state(_series(spark, sf_dir), "error"), "p")
 
 
 # -- memory models -------------------------------------------------------------------------
@@ -444,8 +443,7 @@ def rmse_from_flat(spark, sf_dir):
 
 @query
 def mean_first_passage(spark, sf_dir):
-    made = _series(spark, sf_dir).where(F.col("k") < 3)
-    return rounded(spectrum.mean_first_passage(made, 200.0, ["k"]), "mfpt")
+    return rounded(spectrum.mean_first_passage(_series(spark, sf_dir), 200.0, ["k"]), "mfpt")
 
 
 @query
@@ -789,6 +787,17 @@ def _one_way_states(spark, sf_dir):
         (F.col("frame") == 2) & (F.col("traj_id") % 3 == 0), 7).otherwise(rule).alias("state"))
 
 
+@query
+def kinetic_chain(spark, sf_dir):
+    """From coordinates to a memory kernel: distances, projection, clustering, trimming, lumping, the
+    macrostates' reversible series and its kernel."""
+    dtraj = pipeline.discretise(_distances(spark, sf_dir), lag=2, n_components=3, n_clusters=8)
+    model = pipeline.macro_model(dtraj, micro_lag=1, n_macro=2, n_lags=6, dt=DT, kernel_steps=4)
+    kernel = model.kernel.select(F.lit("kernel").alias("part"), F.col("n").alias("k"), "i", "j", F.col("kernel").alias("p"))
+    both = model.series.select(F.lit("series").alias("part"), "k", "i", "j", "p").unionByName(kernel)
+    return both.select("part", "k", "i", "j", r6("p").alias("value"))
+
+
 @query
 def macrostate_series_trimmed(spark, sf_dir):
     """Reversible matrices over a lag sweep, on the states connected both ways at every lag."""

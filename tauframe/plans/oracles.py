@@ -140,12 +140,12 @@ def row_of_matrices(length: int = 12) -> str:
     return f"SELECT {cols} FROM mats"
 
 
-def kernel(steps: int = 8, dt: float = 1.0) -> tuple[list[str], Steps]:
-    """Matrices t0.., kernel k0.. and rate ``g`` of the event series in one row."""
-    d = D5
-    pre = [EV, *series(), "t0s AS (SELECT m FROM mats WHERE k = 0)",
+def kernel(steps: int = 8, dt: float = 1.0, d: int = D5, given: list[str] | None = None, length: int = 12
+           ) -> tuple[list[str], Steps]:
+    """Matrices t0.., kernel k0.. and rate ``g`` in one row, of the event series or of ``mats`` in ``given``."""
+    pre = [*([EV, *series()] if given is None else given), "t0s AS (SELECT m FROM mats WHERE k = 0)",
            *inverse("ti", "t0s", "m", d)]
-    s = Steps(f"SELECT a.*, ti.inv FROM ({row_of_matrices()}) a CROSS JOIN ti")
+    s = Steps(f"SELECT a.*, ti.inv FROM ({row_of_matrices(length)}) a CROSS JOIN ti")
     s.add(h0=lin(d, (1 / dt, "t1"), (-1 / dt, "t0")))
     s.add(g=mm("inv", "h0", d))
     for n in range(steps):
@@ -529,26 +529,55 @@ def projection(lag: int = 1, d: int = 64, n: int = 2, base: tuple = (VE,)) -> li
     (x[c + 1] - m[c + 1]) * w[c + 1])) AS y FROM ve CROSS JOIN vf CROSS JOIN me)"""]
 
 
-def two_macrostates() -> list[str]:
-    """``lu(state, macrostate, membership)`` of the 20 event microstates. With two macrostates the
-    memberships are the second eigenvector, moved and scaled to 0 .. 1."""
-    d = 20
+def two_macrostates(d: int = 20, base: list[str] | None = None, cnt: str = "cnt", states: str = "mi",
+                    kept: str = "SELECT DISTINCT state AS s FROM mi") -> list[str]:
+    """``lu(state, macrostate, membership)`` of the kept ones among d states. With two macrostates the
+    memberships are the second eigenvector, moved and scaled to 0 .. 1. States that are not kept have
+    empty rows and columns, which leaves the eigenvector alone."""
     size = f"list_transform(range({d}), lambda c: abs(s[c * {d + 1} + 1]))"
-    return [MI, *counts("mi", [1]), SYM,
-            """tr AS (SELECT lag, i, j, n / sum(n) OVER (PARTITION BY i) AS p,
-    sum(n) OVER (PARTITION BY j) / sum(n) OVER () AS pi FROM sym)""",
-            "ms AS (SELECT DISTINCT state AS s FROM mi)",
-            """bb AS (SELECT 1 AS lag, list(coalesce(p, 0) + CASE WHEN a.s = b.s THEN 1 ELSE 0 END - 2 * w.pi ORDER BY a.s, b.s) AS b
-    FROM ms a CROSS JOIN ms b LEFT JOIN tr ON tr.i = a.s AND tr.j = b.s
-    JOIN (SELECT DISTINCT j, pi FROM tr) w ON w.j = b.s)""",
-            *top_eigenvalues("bb", "lag", d, 1),
-            f"ve2 AS (SELECT list_transform(range({d}), lambda x: s[x * {d} + list_position({size}, list_max({size}))]) AS v FROM pr0)",
-            """ch AS (SELECT s AS state, (v[r] - list_min(v)) / (list_max(v) - list_min(v)) AS c, r
-    FROM ve2 CROSS JOIN (SELECT s, row_number() OVER (ORDER BY s) AS r FROM ms))""",
-            """lu AS (SELECT state, CASE WHEN (c > 0.5) = (SELECT c > 0.5 FROM ch WHERE r = 1) THEN 0 ELSE 1 END::INTEGER AS macrostate,
+    return [*([MI, *counts("mi", [1])] if base is None else base), f"kp AS ({kept})",
+            f"""sy AS (SELECT i, j, sum(n) / 2.0 AS n FROM (SELECT i, j, n FROM {cnt} UNION ALL SELECT j, i, n FROM {cnt})
+    WHERE i IN (SELECT s FROM kp) AND j IN (SELECT s FROM kp) GROUP BY i, j)""",
+            """tr AS (SELECT i, j, n / sum(n) OVER (PARTITION BY i) AS p,
+    sum(n) OVER (PARTITION BY j) / sum(n) OVER () AS pi FROM sy)""",
+            f"ms AS (SELECT DISTINCT state AS s FROM {states})",
+            """bm AS (SELECT 1 AS one, list(CASE WHEN x.s IS NULL OR y.s IS NULL THEN 0 ELSE coalesce(p, 0)
+      + CASE WHEN a.s = b.s THEN 1 ELSE 0 END - 2 * w.pi END ORDER BY a.s, b.s) AS b
+    FROM ms a CROSS JOIN ms b LEFT JOIN kp x ON x.s = a.s LEFT JOIN kp y ON y.s = b.s LEFT JOIN tr ON tr.i = a.s AND tr.j = b.s
+    LEFT JOIN (SELECT DISTINCT j, pi FROM tr) w ON w.j = b.s)""",
+            *[c.replace("sq0", "ls0").replace("pr0", "lp0").replace("bp0", "lb0").replace("ei0", "le0").replace("de0", "ld0")
+              .replace("eig ", "leig ") for c in top_eigenvalues("bm", "one", d, 1)],
+            f"ve2 AS (SELECT list_transform(range({d}), lambda x: s[x * {d} + list_position({size}, list_max({size}))]) AS v FROM lp0)",
+            """rv AS (SELECT m.s AS state, v[r] AS v FROM ve2 CROSS JOIN (SELECT s, row_number() OVER (ORDER BY s) AS r FROM ms) m
+    JOIN kp USING (s))""",
+            "ch AS (SELECT state, (v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()) AS c FROM rv)",
+            """lu AS (SELECT state, CASE WHEN (c > 0.5) = (SELECT c > 0.5 FROM ch ORDER BY state LIMIT 1) THEN 0 ELSE 1 END::INTEGER AS macrostate,
     greatest(c, 1 - c) AS membership FROM ch)"""]
 
 
+def chain_sql(k: int = 8, n_lags: int = 6, kernel_steps: int = 4) -> str:
+    """Distances, projection, clustering, trimming, lumping, macrostate series, memory kernel."""
+    renamed = lambda rows, tag: [c.replace("lags", f"lags{tag}").replace("cnt", f"cnt{tag}") for c in rows]
+    given = [*projection(2, 45, 3, distance_vectors(PAIRS)),
+             "yv AS (SELECT traj_id, frame, list(y ORDER BY k) AS x FROM ys GROUP BY traj_id, frame)",
+             *k_centers_from("yv", k, HASHED), f"dt AS (SELECT traj_id, frame, state::INTEGER AS state FROM g{k - 1})",
+             *renamed(counts("dt", [1]), 8),
+             """wr AS (SELECT i AS a, i AS b FROM cnt8 UNION SELECT j, j FROM cnt8
+    UNION SELECT wr.a, c.j FROM wr JOIN cnt8 c ON c.i = wr.b)""",
+             "wm AS (SELECT x.a, min(x.b) AS comp FROM wr x JOIN wr y ON y.a = x.b AND y.b = x.a GROUP BY x.a)",
+             """wb AS (SELECT comp FROM wm JOIN (SELECT s, sum(n) AS w FROM (SELECT i AS s, n FROM cnt8 UNION ALL SELECT j, n FROM cnt8)
+    GROUP BY s) ON s = wm.a GROUP BY comp ORDER BY sum(w) DESC, comp LIMIT 1)""",
+             *two_macrostates(k, [], "cnt8", "dt", "SELECT a AS s FROM wm WHERE comp = (SELECT comp FROM wb)"),
+             "ma AS (SELECT traj_id, frame, macrostate AS state FROM dt JOIN lu USING (state))",
+             *renamed(counts("ma", range(1, n_lags + 1)), 9),
+             "ser AS (SELECT (lag - 1)::INTEGER AS k, i, j, n / sum(n) OVER (PARTITION BY lag, i) AS p FROM cnt9)",
+             "mats AS (SELECT k, list(p ORDER BY i, j) AS m FROM ser GROUP BY k)"]
+    pre, s = kernel(kernel_steps, 1.0, 2, given, n_lags)
+    cells = "cells AS (SELECT i, j, row_number() OVER (ORDER BY i, j) AS pos FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(i, j))"
+    return with_(*pre, cells, *s.ctes) + f"SELECT 'series' AS part, k, i, j, {r6('p')} AS value FROM ser UNION ALL " + unpack(
+        s, {n: f"k{n}" for n in range(kernel_steps)}, "k", "value").replace("SELECT z.k", "SELECT 'kernel', z.k", 1)
+
+
 def timescales_sql() -> str:
     d = D5
     return with_(
@@ -561,11 +590,11 @@ SELECT lag, k::INTEGER AS k, {r6('mu - 1')} AS eigenvalue,
   {r6('CASE WHEN mu > 1 AND mu < 2 THEN -lag / ln(mu - 1) END')} AS t FROM eig"""
 
 
-def k_centers_ctes(k: int = 6, width: int = 64, start: str = "traj_id, frame") -> list[str]:
-    """``g{k-1}``: every point with its distance to, and number of, its nearest center."""
-    cut = VE.replace("embedding::DOUBLE[]", f"embedding[1:{width}]::DOUBLE[]")
-    out = [cut, f"c0 AS (SELECT traj_id, frame, x FROM ve ORDER BY {start} LIMIT 1)",
-           "g0 AS (SELECT ve.traj_id, ve.frame, ve.x, list_distance(ve.x, c0.x) AS distance, 0 AS state FROM ve CROSS JOIN c0)"]
+def k_centers_from(source: str, k: int, start: str = "traj_id, frame") -> list[str]:
+    """``g{k-1}``: every point of ``source(traj_id, frame, x)`` with its distance to, and number of, its
+    nearest center."""
+    out = [f"c0 AS (SELECT traj_id, frame, x FROM {source} ORDER BY {start} LIMIT 1)",
+           f"g0 AS (SELECT v.traj_id, v.frame, v.x, list_distance(v.x, c0.x) AS distance, 0 AS state FROM {source} v CROSS JOIN c0)"]
     for s in range(1, k):
         out += [f"c{s} AS (SELECT traj_id, frame, x FROM g{s - 1} ORDER BY distance DESC, traj_id, frame LIMIT 1)",
                 f"""h{s} AS (SELECT g.*, list_distance(g.x, c.x) AS e FROM g{s - 1} g CROSS JOIN c{s} c)""",
@@ -574,6 +603,13 @@ def k_centers_ctes(k: int = 6, width: int = 64, start: str = "traj_id, frame") -
     return out
 
 
+def k_centers_ctes(k: int = 6, width: int = 64, start: str = "traj_id, frame") -> list[str]:
+    return [VE.replace("embedding::DOUBLE[]", f"embedding[1:{width}]::DOUBLE[]"), *k_centers_from("ve", k, start)]
+
+
+HASHED = "md5(concat_ws('|', '0', traj_id, frame)), traj_id, frame"
+
+
 def distances(pairs) -> str:
     rows = ", ".join(f"({f}::INTEGER, {i}, {j})" for f, (i, j) in enumerate(pairs))
     square = " + ".join(f"pow(x[3 * i + {c}] - x[3 * j + {c}], 2)" for c in (1, 2, 3))
@@ -614,7 +650,7 @@ def sql() -> dict[str, str]:
     out["index_list_read"] = "SELECT DISTINCT (p_size - 1)::INTEGER AS atom FROM part"
     out["path_number_order"] = "SELECT page_id, page_id AS traj_id FROM pages"
     out["features_parquet_roundtrip"] = with_(VE) + f"""SELECT vec_id, traj_id, frame,
-  len(x)::INTEGER AS width, {r6('x[1]')} AS x0 FROM ve"""
+  k::INTEGER AS pos, {r6('x[k + 1]')} AS v FROM ve CROSS JOIN (SELECT unnest(range(64)) AS k)"""
     out["load_one_frame"] = with_(VE, VC) + f"""SELECT vec_id, traj_id, frame, k::INTEGER AS pos,
   {r6('x[k + 1]')} AS v FROM vc CROSS JOIN (SELECT unnest(range(66)) AS k)
   WHERE traj_id = 3 AND frame = 2"""
@@ -625,8 +661,7 @@ SELECT k, a.r AS i, b.r AS j, {r6('p')} AS p FROM ser JOIN nr a ON a.s = i JOIN
     out["manifest_tsv"] = with_(*samples(10)) + """SELECT state AS macro_state,
   'macro' || state || '_sample' || sample_no || '.pdb' AS output_filename, traj_id AS traj_index,
   frame AS frame_index FROM sa"""
-    out["resample_choices"] = with_(EV, *draws("ev", 5)) + \
-        "SELECT boot_id, traj_id, weight FROM dr WHERE boot_id = 2"
+    out["resample_choices"] = with_(EV, *draws("ev", 5)) + "SELECT boot_id, traj_id, weight FROM dr"
 
     out["frames_text_roundtrip"] = with_(EV) + """SELECT traj_id, frame, value AS psi,
   json_extract_string(props, '$.k')::DOUBLE AS phi FROM ev"""
@@ -699,7 +734,7 @@ SELECT (SELECT bool_and(abs(s - 1) < 1e-3) FROM (SELECT sum(p) AS s FROM ser GRO
     out["negatives_clipped"] = with_(*ser) + \
         f"SELECT k, i, j, {r6('greatest(dp, 0)')} AS p FROM ({slope(1.0)})"
     out["state_dropped"] = with_(*ser) + \
-        f"SELECT i, j, {r6('p')} AS p FROM ser WHERE k = 0 AND i <> 'error' AND j <> 'error'"
+        f"SELECT k, i, j, {r6('p')} AS p FROM ser WHERE i <> 'error' AND j <> 'error'"
 
     # memory models
     pre, s = kernel()
@@ -756,7 +791,7 @@ UNION ALL SELECT -1, c.i, c.j, (c.i = c.j)::DOUBLE, (c.i = c.j)::DOUBLE, (c.i =
     out["rmse_from_flat"] = rmse(False)
     out["rmse_sweep_compat"] = rmse(True)
     out["mean_first_passage"] = with_(
-        *ser, CELLS, "tm AS (SELECT k, m AS t FROM mats WHERE k < 3)",
+        *ser, CELLS, "tm AS (SELECT k, m AS t FROM mats)",
         *passage("tm", "k", 200.0)) + \
         f"SELECT k, c.i, c.j, {r6('m[c.pos]')} AS mfpt FROM mf CROSS JOIN cells c"
     pre, s = kernel()
@@ -846,6 +881,7 @@ SELECT vec_id, traj_id, frame, {r6('max(y) FILTER (WHERE k = 0)')} AS y0,
   {r6('max(y) FILTER (WHERE k = 1)')} AS y1 FROM ys GROUP BY vec_id, traj_id, frame"""
     out["tica_projection"] = with_(*projection(2, 45, 10, distance_vectors(PAIRS))) + \
         f"SELECT traj_id, frame, k::INTEGER AS k, {r6('y')} AS y FROM ys"
+    out["kinetic_chain"] = chain_sql()
     out["macrostates_two"] = with_(*two_macrostates()) + \
         f"SELECT 1::INTEGER AS lag, state, macrostate, {r6('membership')} AS membership FROM lu"
     # detailed balance binds nothing between two states: the reversible maximum is row-normalised
@@ -859,11 +895,10 @@ SELECT (lag - 1)::INTEGER AS k, i, j, {r6('n / sum(n) OVER (PARTITION BY lag, i)
         f"SELECT traj_id, frame, {r6('distance')} AS distance, state::INTEGER AS state FROM g5"
     out["k_centers_found"] = with_(*k_centers_ctes()) + " UNION ALL ".join(
         f"SELECT {k}::INTEGER AS state, traj_id, frame FROM c{k}" for k in range(6))
-    first = "md5(concat_ws('|', '0', traj_id, frame)), traj_id, frame"
     runs = [("no_components", v, v, 6) for v in (2, 3, 5)] + [("no_clusters", v, 3, v) for v in (6, 9, 12)]
     out["clustering_sweep"] = " UNION ALL ".join(
         f"""SELECT '{name}' AS parameter, {value}::INTEGER AS value, state::INTEGER AS state,
-  count(*)::BIGINT AS n FROM ({with_(*k_centers_ctes(k, width, first))} SELECT state FROM g{k - 1})
+  count(*)::BIGINT AS n FROM ({with_(*k_centers_ctes(k, width, HASHED))} SELECT state FROM g{k - 1})
   GROUP BY state""" for name, value, width, k in runs)
     axes = {"no_features": (20, 24, 28), "no_components": (2, 3, 4), "no_clusters": (700, 800, 900), "tica_lagtime": (2, 4, 6)}
     base = {"no_features": 24, "no_components": 3, "no_clusters": 800, "tica_lagtime": 2}

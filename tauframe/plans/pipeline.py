@@ -41,10 +41,8 @@ def macro_model(dtraj: DataFrame, micro_lag: int, n_macro: int, n_lags: int, dt:
                 kernel_steps: int) -> Model:
     """Microstates -> trimmed counts -> lumping -> reversible macrostate series -> kernel."""
     counts = materialise(counting.count_transitions(dtraj, [micro_lag]), "counts")
-    keep = reversible.ergodic_states(counts)
-    inside = counts.join(keep.select("lag", keep["state"].alias("i")), ["lag", "i"]).join(
-        keep.select("lag", keep["state"].alias("j")), ["lag", "j"])
+    inside = reversible.between(counts, reversible.ergodic_states(counts))
     lumped = materialise(lumping.lump_states(inside, n_macro), "lumping")
     macro = lumping.apply_lumping(dtraj, lumped)
-    made = materialise(series_ops.matrix_series(macro, n_lags, reversible="mle"), "series")
+    made = materialise(series_ops.matrix_series(macro, n_lags, reversible="mle", trim=True), "series")
     return Model(dtraj, lumped, macro, made, memory.memory_kernel(made, dt, kernel_steps))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
-from pyspark.sql.functions import arrow_udf
+from pyspark.sql import Column, DataFrame, functions as F
+
+from tauframe.functions import numbers
 
 
 def overwrite(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
@@ -20,22 +20,11 @@ def write_new(df: DataFrame, path: str) -> str:
     return path
 
 
-@arrow_udf(T.StringType())
-def _general(values: pa.Array) -> pa.Array:
-    return pa.array([None if v is None else "%g" % v for v in values.to_pylist()], pa.string())
-
-
-def general_number(col: Column | str) -> Column:
-    """A DOUBLE as C's ``%g`` prints it. The JVM's own formatter rounds the shortest decimal
-    form instead of the binary value, so ties come out differently there."""
-    return _general(F.col(col) if isinstance(col, str) else col)
-
-
 def write_tsv(df: DataFrame, path: str, general: bool = False, mode: str = "errorifexists") -> str:
     """Tab-separated with a header; ``general`` prints DOUBLE columns as ``%g``. Refuses a target
     that exists unless ``mode`` says otherwise, as the other text writers do."""
     if general:
-        df = df.select(*[general_number(n).alias(n) if t == "double" else F.col(n)
+        df = df.select(*[numbers.general(n).alias(n) if t == "double" else F.col(n)
                          for n, t in df.dtypes])
     df.write.mode(mode).option("sep", "\t").option("header", True).csv(path)
     return path

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tauframe.functions import numbers
 from tauframe.operators import series
 from tauframe.session import scratch_path, shared_dir
 from tauframe.sources import readers, sinks
@@ -83,12 +84,18 @@ def test_write_new_refuses_existing(spark, tmp_path):
 
 def test_general_number(spark):
     rng = np.random.default_rng(1)
-    values = [0.0, 1.0, -1.5, 100000.0, 999999.5, 1e6, 1234567.0, 0.0001, 0.00001234, -2e-10, 1e300,
-              123456.789, 0.1 + 0.2, 99999.95]
+    values = [0.0, -0.0, 1.0, -1.5, 100000.0, 999999.5, 1e6, 1234567.0, 0.0001, 0.00001234, -2e-10, 1e300,
+              123456.789, 0.1 + 0.2, 99999.95, float("inf"), -float("inf"), float("nan"), None, 1.7976931348623157e308,
+              5e-324, 1e-323, 2.5e-322, 2.225073858507201e-308, 2.2250738585072014e-308]
     values += (rng.normal(size=60) * 10.0 ** rng.integers(-9, 12, 60)).tolist()
+    # ties of six digits by their shortest form, of every size, and exact ones
+    values += [float(f"{k}5e{e}") for k, e in zip(rng.integers(10**5, 10**6, 300), rng.integers(-330, 300, 300))]
+    values += [k + 0.5 for k in (100000, 100001, 123456, 999999)] + [k / 2**7 for k in rng.integers(1, 10**7, 60).tolist()]
+    values += [k * 5e-324 for k in rng.integers(1, 2**50, 40).tolist()]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    for r in df.select("v", sinks.general_number("v").alias("s")).collect():
-        assert r.s == "%g" % r.v
+    for r in df.select("v", numbers.general("v").alias("s")).collect():
+        assert r.s == (None if r.v is None else "%g" % r.v)
+    assert "Python" not in df.select(numbers.general("v"))._jdf.queryExecution().toString()
 
 
 def test_tsv(spark, tmp_path):
