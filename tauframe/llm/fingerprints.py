@@ -35,13 +35,14 @@ from tauframe.llm.text import settled, span, table, whole
 from tauframe.session import materialise
 
 CUT = "(?<=\n)|(?<=[.!?,;:|] )|(?<=[。！？、，；：])"
-SECTION_END = "[01]"
-LONG = 120
+#: A digest below it (one in eight) ends a run.
+SECTION_END = "2"
+LONG = 200
 
 
 def _ends(items: Column, digest: Callable[[Column], Column]) -> Column:
     """Places of the items after which a run ends: those whose digest says so, and the last."""
-    return F.filter(span(F.size(items) - 1), lambda i: digest(F.get(items, i)).rlike(f"^{SECTION_END}")
+    return F.filter(span(F.size(items) - 1), lambda i: (digest(F.get(items, i)) < SECTION_END)
                     | (i == F.size(items) - 1))
 
 
@@ -103,12 +104,14 @@ def _leaves(parts: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """1 for equal roots, else twice the shared leaves over both sides' leaves. Sections that both sides
     hold count with all their leaves; only the others are opened and compared leaf by leaf."""
-    own = lambda x, y: F.array_distinct(_leaves(F.array_except(sections(x), sections(y))))
-    found = F.struct(F.size(F.array_distinct(_leaves(F.array_intersect(sections(a), sections(b))))).alias("same"),
-                     own(a, b).alias("a"), own(b, a).alias("b"))
-    ratio = lambda f: F.array(2.0 * (f["same"] + F.size(F.array_intersect(f["a"], f["b"]))) / (
-        2 * f["same"] + F.size(f["a"]) + F.size(f["b"])))
-    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(F.get(_let(found, ratio), F.lit(0)))
+    def compared(s: Column) -> Column:
+        alike = F.size(F.array_distinct(_leaves(F.array_intersect(s["a"], s["b"]))))
+        own = lambda x, y: F.array_distinct(_leaves(F.array_except(s[x], s[y])))
+        return _let(F.struct(alike.alias("same"), own("a", "b").alias("a"), own("b", "a").alias("b")), lambda f: F.array(
+            2.0 * (f["same"] + F.size(F.array_intersect(f["a"], f["b"]))) / (2 * f["same"] + F.size(f["a"]) + F.size(f["b"]))))
+
+    both = F.struct(sections(a).alias("a"), sections(b).alias("b"))
+    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(F.get(_let(both, compared), F.lit(0)))
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -191,9 +194,9 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Leaves by a mark set after each cut, everything else as lists.
 _CUT = r"""string_split(regexp_replace(replace({t}, chr(10), chr(10) || chr(1)), '([.!?,;:|] |[。！？、，；：])', '\1' || chr(1), 'g'), chr(1))"""
-_UNITS = r"""flatten(list_transform(string_split(replace(s, ' ', ' ' || chr(1)), chr(1)), lambda w: CASE WHEN length(w) > 120
+_UNITS = r"""flatten(list_transform(string_split(replace(s, ' ', ' ' || chr(1)), chr(1)), lambda w: CASE WHEN length(w) > 200
   THEN string_split(w, '') ELSE [w] END))"""
-_TREE = rf"""list_transform(list_filter(flatten(list_transform({_CUT}, lambda s: CASE WHEN length(s) > 120 THEN string_split(
+_TREE = rf"""list_transform(list_filter(flatten(list_transform({_CUT}, lambda s: CASE WHEN length(s) > 200 THEN string_split(
   array_to_string(list_transform({_UNITS}, lambda u: u || CASE WHEN sha256(u)[1] IN ('0', '1') THEN chr(1) ELSE '' END), ''), chr(1))
   ELSE [s] END)), lambda s: s <> ''), lambda s: sha256(s))"""
 _OPENED = "list_distinct(flatten(list_transform({s}, lambda s: string_split(s[18:], ','))))"
