@@ -87,7 +87,7 @@ def bootstrap_draws(numbered: DataFrame, n_boot: int, seed: int = 0) -> DataFram
     """``(boot_id, traj_id, weight)``: each resample draws as many trajectories, with
     replacement, as there are; ``weight`` is how often one was drawn."""
     return (_slots(numbered, n_boot, seed).groupBy("boot_id", "idx").agg(F.count(F.lit(1)).alias("weight"))
-            .join(numbered, "idx").select("boot_id", "traj_id", "weight"))
+            .join(numbered.hint("merge"), "idx").select("boot_id", "traj_id", "weight"))
 
 
 def bootstrap_counts(dtraj: DataFrame, lags: Sequence[int], draws: DataFrame) -> DataFrame:
@@ -102,7 +102,8 @@ def bootstrap_counts(dtraj: DataFrame, lags: Sequence[int], draws: DataFrame) ->
 
 def _resampled(dtraj: DataFrame, lags: Sequence[int], picks: DataFrame) -> DataFrame:
     per_traj = count_transitions(dtraj, lags, keys=["traj_id"])
-    return (per_traj.join(picks, "traj_id")
+    # the planner takes a list for one value, so it would send all draws of all trajectories to every task
+    return (per_traj.join(picks.hint("merge"), "traj_id")
             .select("lag", "i", "j", "n", F.explode("_picks").alias("_pick"))
             .groupBy(F.col("_pick.boot_id").alias("boot_id"), "lag", "i", "j")
             .agg(F.sum(F.col("n") * F.col("_pick.weight")).alias("n")))
@@ -115,7 +116,7 @@ def bootstrap_timescales(dtraj: DataFrame, lags: Sequence[int], n_boot: int, n:
     numbered = number_trajectories(dtraj, seed)
     picks = (_slots(numbered, n_boot, seed).groupBy("idx")
              .agg(F.collect_list(F.struct("boot_id", F.lit(1).alias("weight"))).alias("_picks"))
-             .join(numbered, "idx").select("traj_id", "_picks"))
+             .join(numbered.hint("merge"), "idx").select("traj_id", "_picks"))
     return implied_timescales(_resampled(dtraj, lags, picks), ["boot_id", "lag"], n)
 
 

@@ -191,6 +191,17 @@ def test_bootstrap_is_a_weighted_recount(skewed):
     assert counts == sorted(expect)
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_draws_are_not_broadcast(skewed):
+    numbered = spectrum.number_trajectories(skewed)
+    draws = spectrum.bootstrap_draws(numbered, 4)
+    for df in (draws, spectrum.bootstrap_counts(skewed, [1, 3], draws), spectrum.bootstrap_timescales(skewed, [1, 3], 4)):
+        assert "SortMergeJoin" in plan(df) and "Broadcast" not in plan(df)
+
+
 def test_fold_counts_add_up(skewed):
     assigned = spectrum.assign_folds(skewed, 2, 3)
     rows = spectrum.fold_counts(skewed, 1, assigned, 3).collect()
