@@ -202,6 +202,14 @@ def test_draws_are_not_broadcast(skewed):
         assert "SortMergeJoin" in plan(df) and "Broadcast" not in plan(df)
 
 
+def test_summary_of_resamples_sends_no_draws_around(skewed):
+    its = spectrum.bootstrap_timescales(skewed, [1, 3], 4, 2)
+    summary = spectrum.timescale_summary(its)
+    assert "Broadcast" not in plan(summary)
+    assert [(r.lag, r.k, r.n_finite) for r in summary.orderBy("lag", "k").collect()] == [
+        (lag, k, its.where(f"lag = {lag} and k = {k} and t is not null").count()) for lag in (1, 3) for k in (0, 1)]
+
+
 def test_fold_counts_add_up(skewed):
     assigned = spectrum.assign_folds(skewed, 2, 3)
     rows = spectrum.fold_counts(skewed, 1, assigned, 3).collect()
