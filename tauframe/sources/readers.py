@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tauframe.session import materialise
 
+SPARK_TEXT = r"/part-\d+-[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}[^/]*\.txt[^/]*$"
+
 
 def read_index_list(spark: SparkSession, path: str) -> DataFrame:
     """``(atom INT)``: whitespace-separated 1-based numbers -> distinct 0-based numbers."""
@@ -44,36 +46,61 @@ def trajectory_number(path: Column) -> Column:
     return F.when(folder != "", folder.cast("bigint")).otherwise(file_number(path))
 
 
+def holds_many(path: Column) -> Column:
+    """Whether a file is one of those that ``write_frame_text`` fills with many trajectories: text that
+    Spark wrote outside of a folder ``traj_id=..``."""
+    return path.rlike(SPARK_TEXT) & ~path.rlike(r"/traj_id=\d+/")
+
+
+def line_trajectory(line: Column) -> Column:
+    """The number that a line begins with (``12: ..``)."""
+    number = F.regexp_extract(line, r"^\s*(-?\d+):", 1)
+    return F.when(number == "", F.raise_error("a line does not name its trajectory").cast("bigint")).otherwise(
+        number.cast("bigint"))
+
+
+def _holds_frame(line: Column) -> Column:
+    return (F.trim(line) != "") & ~F.ltrim(line).startswith("#")
+
+
 def list_trajectories(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """``(traj_id, path)`` of the matching files; only file listings are read."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-             .select("path"))
-    return files.select(trajectory_number(F.col("path")).alias("traj_id"), "path")
+    """``(traj_id, path)`` of the matching files. Only file listings are read, and the lines of files
+    that hold many trajectories."""
+    read = lambda form: spark.read.format(form).option("pathGlobFilter", pattern).load(path)
+    files = read("binaryFile").select("path").where(~holds_many(F.col("path")))
+    lines = read("text").select("value", F.col("_metadata.file_path").alias("path")).where(holds_many(F.col("path")))
+    named = lines.where(_holds_frame(F.col("value"))).select(line_trajectory(F.col("value")).alias("traj_id"), "path")
+    return files.select(trajectory_number(F.col("path")).alias("traj_id"), "path").unionByName(named.distinct())
 
 
 def read_frame_text(spark: SparkSession, path: str, pattern: str = "*", column: str = "m") -> DataFrame:
     """``(traj_id, frame, m ARRAY<DOUBLE>)`` from whitespace text with one frame a line.
 
-    Files are split like any text: a frame's number is its place in the piece it was read with plus
-    what the earlier pieces of its trajectory hold. Pieces are ordered by the part number in the
-    file name, the name, and where they begin. Blank lines and lines that begin with ``#`` are no
-    frames. The parsed lines are written once, so numbers and counts are of one reading."""
+    Files are split like any text: a frame's number is its place among its trajectory's lines of the
+    piece it was read with plus what the earlier pieces hold of its trajectory. Pieces are ordered by
+    the part number in the file name, the name, and where they begin; a trajectory's lines follow each
+    other. Blank lines and lines that begin with ``#`` are no frames. The parsed lines are written
+    once, so numbers and counts are of one reading."""
     meta = F.col("_metadata")
     name = F.element_at(F.split(meta["file_path"], "/"), -1)
-    lines = spark.read.option("pathGlobFilter", pattern).text(path)
-    lines = lines.where((F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
+    lines = spark.read.option("pathGlobFilter", pattern).text(path).where(_holds_frame(F.col("value")))
+    lines = lines.select("value", meta["file_path"].alias("_file"), meta["file_block_start"].alias("_begin"), F.coalesce(
+        F.nullif(F.regexp_extract(name, r"^part-(\d+)", 1), F.lit("")).cast("bigint"), F.lit(0)).alias("_part"),
+        holds_many(meta["file_path"]).alias("_many"))
+    words = F.when(F.col("_many"), F.regexp_replace("value", r"^[^:]*:", "")).otherwise(F.col("value"))
     rows = materialise(lines.select(
-        trajectory_number(meta["file_path"]).alias("traj_id"), meta["file_path"].alias("_file"),
-        meta["file_block_start"].alias("_begin"), F.coalesce(
-            F.nullif(F.regexp_extract(name, r"^part-(\d+)", 1), F.lit("")).cast("bigint"), F.lit(0)).alias("_part"),
-        F.monotonically_increasing_id().alias("_line"),
-        F.split(F.trim("value"), r"\s+").cast("array<double>").alias(column)), "lines")
+        F.when(F.col("_many"), line_trajectory(F.col("value"))).otherwise(trajectory_number(F.col("_file"))).alias("traj_id"),
+        "_file", "_begin", "_part", F.monotonically_increasing_id().alias("_line"),
+        F.split(F.trim(words), r"\s+").cast("array<double>").alias(column)), "lines")
     order = Window.partitionBy("traj_id").orderBy("_part", "_file", "_begin").rowsBetween(Window.unboundedPreceding, -1)
+    mixed = F.raise_error("lines of several trajectories are mixed in a file").cast("bigint")
     pieces = (rows.groupBy("traj_id", "_part", "_file", "_begin")
-              .agg(F.min("_line").alias("_first"), F.count(F.lit(1)).alias("_n"))
+              .agg(F.min("_line").alias("_first"), F.max("_line").alias("_last"), F.count(F.lit(1)).alias("_n"))
               .withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0)))
-              .select("_file", "_begin", "_first", "_before"))
-    return rows.join(pieces, ["_file", "_begin"]).select(
+              .select("traj_id", "_file", "_begin", F.when(F.col("_last") - F.col("_first") >= F.col("_n"), mixed)
+                      .otherwise(F.col("_first")).alias("_first"), "_before"))
+    # a row per trajectory and piece, whose file names are nothing in the written table's size
+    return rows.join(pieces.hint("merge"), ["traj_id", "_file", "_begin"]).select(
         "traj_id", (F.col("_line") - F.col("_first") + F.col("_before")).alias("frame"), column)
 
 

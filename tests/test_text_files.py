@@ -30,6 +30,40 @@ def test_frames_keep_their_order_in_pieces(spark, tmp_path, small_pieces):
         sinks.write_frame_text(df.selectExpr("traj_id", "frame", "nullif(a, 0) AS a"), ["a"], str(tmp_path / "bad"))
 
 
+def text_files(path):
+    return [f"{d}/{f}" for d, _, names in os.walk(path) for f in names if f.endswith(".txt")]
+
+
+def test_many_trajectories_need_few_files(spark, tmp_path, small_pieces):
+    rows = [(t, f, t + f / 7) for t in range(-3, 400) for f in range(1 + t % 4)]
+    df = spark.createDataFrame(rows, "traj_id bigint, frame bigint, a double").repartition(6)
+    path = sinks.write_frame_text(df, ["a"], str(tmp_path / "t"), parts=3)
+    assert len(text_files(path)) <= 3
+    back = readers.read_frame_text(spark, path)
+    assert "Broadcast" not in back._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.traj_id, r.frame, *r.m) for r in back.collect()) == rows
+    listed = readers.list_trajectories(spark, path, "*.txt").select("traj_id").distinct().collect()
+    assert {r.traj_id for r in listed} == set(range(-3, 400))
+    with pytest.raises(Exception, match="NULL"):
+        sinks.write_frame_text(df.selectExpr("nullif(traj_id, 7) AS traj_id", "frame", "a"), ["a"], str(tmp_path / "bad"))
+
+
+def test_a_folder_per_trajectory(spark, tmp_path, small_pieces):
+    rows = [(t, f, t + f / 7) for t, n in ((0, 60), (3, 1), (12, 40)) for f in range(n)]
+    df = spark.createDataFrame(rows, "traj_id bigint, frame bigint, a double")
+    path = sinks.write_frame_text(df, ["a"], str(tmp_path / "t"), parts=2, folders=True)
+    assert {f for f in os.listdir(path) if f.startswith("traj_id=")} == {"traj_id=0", "traj_id=3", "traj_id=12"}
+    assert sorted((r.traj_id, r.frame, *r.m) for r in readers.read_frame_text(spark, path).collect()) == rows
+    assert {r.traj_id for r in readers.list_trajectories(spark, path, "*.txt").collect()} == {0, 3, 12}
+
+
+def test_lines_that_cannot_be_numbered_are_errors(spark, tmp_path):
+    for name, lines, message in (("mixed", ["1: 0.5", "2: 0.5", "1: 0.25"], "mixed"), ("bare", ["1 0.5"], "name its")):
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(str(tmp_path / name))
+        with pytest.raises(Exception, match=message):
+            readers.read_frame_text(spark, str(tmp_path / name)).collect()
+
+
 def test_plain_files_are_numbered_by_name(spark, tmp_path, small_pieces):
     for n, lines in (("run2.txt", 120), ("run10.txt", 40)):
         (tmp_path / n).write_text("# psi phi\n" + "\n".join(f" {k}  {k / 2} " + ("\n" if k % 9 == 0 else "") for k in range(lines)))
