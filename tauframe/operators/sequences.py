@@ -45,17 +45,23 @@ def ranked(df: DataFrame, group: Sequence[str], bucket: str, order: Sequence[Col
 
 
 def cells(df: DataFrame, traj: str, order_by: Sequence[str], payload: Sequence[str | Column],
-          n_cells: int) -> DataFrame:
+          parts: int, cut_rows: int | None = None) -> DataFrame:
     """``(traj_id, _o0, .., _tie, *payload, _cell)``, saved: rows range-partitioned by trajectory and
-    full order key, so cells hold like numbers of rows whatever the keys look like (outliers, ties
-    in the first key, strings). A hash of the row splits ties of the whole key."""
+    full order key, so partitions hold like numbers of rows whatever the keys look like (outliers, ties
+    in the first key, strings). A hash of the row splits ties of the whole key. A partition is a cell;
+    with ``cut_rows`` it is sorted and cut into cells of so many rows, at no task per cell."""
     keys = [F.col(c).alias(f"_o{k}") for k, c in enumerate(order_by)]
     rows = df.select(F.col(traj).alias("traj_id"), *keys, *payload)
     hashed = [f.name for f in rows.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     rows = rows.withColumn("_tie", F.xxhash64(*hashed))
     order = ["traj_id", *(f"_o{k}" for k in range(len(order_by))), "_tie"]
-    return materialise(rows.repartitionByRange(n_cells, *order)
-                       .withColumn("_cell", F.spark_partition_id()), "cells")
+    spread = rows.repartitionByRange(parts, *order)
+    if cut_rows is None:
+        return materialise(spread.withColumn("_cell", F.spark_partition_id()), "cells")
+    # the id is the partition and, below 2^33, the place in it
+    placed = spread.sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    place = F.col("_id") % 2**33
+    return materialise(placed.withColumn("_cell", F.col("_id") - place + F.floor(place / cut_rows)).drop("_id"), "cells")
 
 
 def missing_keys(df: DataFrame, traj: str, order_by: Sequence[str]) -> DataFrame:
@@ -87,7 +93,11 @@ def index_frames(df: DataFrame, traj: str, order_by: Sequence[str], payload: Seq
         by = Window.partitionBy(traj).orderBy(*order_by)
         frame = (F.row_number().over(by) - 1).cast("bigint")
         return rows.select(F.col(traj).alias("traj_id"), frame.alias("frame"), *payload)
-    saved = cells(rows, traj, order_by, payload, -(-total // hot_rows))
+    n_cells = -(-total // hot_rows)
+    # a task, and a sample sent to the driver, per partition: small cells share partitions
+    shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(n_cells, max(-(-total // HOT_ROWS), shuffle))
+    saved = cells(rows, traj, order_by, payload, parts, hot_rows if parts < n_cells else None)
     keys = [*(f"_o{k}" for k in range(len(order_by))), "_tie"]
     return ranked(saved, ["traj_id"], "_cell", keys, "frame").select(
         "traj_id", "frame", *[c for c in saved.columns if c not in ("traj_id", "_cell", *keys)])

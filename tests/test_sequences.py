@@ -120,6 +120,18 @@ def test_split_index_equals_plain(spark, kind):
     assert "_cell" in split._jdf.queryExecution().analyzed().toString()
 
 
+def test_many_small_cells_share_partitions(spark, monkeypatch):
+    saved = []
+    monkeypatch.setattr(sequences, "materialise", lambda df, label: saved.append(df) or df.persist())
+    df = spark.range(3000).selectExpr("id % 7 as user", "(id * 7919) % 3000 as t", "id")
+    frames = got(sequences.index_frames(df, "user", ["t"], ["id"], hot_rows=10))
+    assert frames == got(sequences.index_frames(df, "user", ["t"], ["id"], hot_rows=None))
+    assert saved[0].rdd.getNumPartitions() <= 4          # the session's shuffle partitions
+    sizes = [r["count"] for r in saved[0].groupBy("_cell").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 10 and len(sizes) < 300 + 4
+    saved[0].unpersist()
+
+
 @pytest.mark.parametrize("kind", ["outlier", "ties", "tiny range", "strings", "all equal"])
 def test_cells_are_of_like_size(spark, kind):
     key = {"outlier": lambda k: 10.0 ** 12 if k == 0 else float(k), "ties": lambda k: float(k % 2),
