@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tauframe.sources import readers, sinks
 
@@ -48,6 +49,17 @@ def test_many_trajectories_need_few_files(spark, tmp_path, small_pieces):
         sinks.write_frame_text(df.selectExpr("nullif(traj_id, 7) AS traj_id", "frame", "a"), ["a"], str(tmp_path / "bad"))
 
 
+def test_files_do_not_grow_with_trajectories(spark, tmp_path):
+    made = []
+    for n in (20, 200):
+        df = spark.range(n).selectExpr("id AS traj_id", "explode(sequence(0L, 1L)) AS frame").withColumn("psi", F.col("frame") / 3)
+        path = sinks.write_frame_text(df, ["psi", "psi"], str(tmp_path / f"n{n}"), parts=7)
+        made.append(len(text_files(path)))
+        back = readers.read_frame_text(spark, path)
+        assert sorted((r.traj_id, r.frame, *r.m) for r in back.collect()) == [(t, f, f / 3, f / 3) for t in range(n) for f in (0, 1)]
+    assert max(made) <= 7
+
+
 def test_a_folder_per_trajectory(spark, tmp_path, small_pieces):
     rows = [(t, f, t + f / 7) for t, n in ((0, 60), (3, 1), (12, 40)) for f in range(n)]
     df = spark.createDataFrame(rows, "traj_id bigint, frame bigint, a double")
